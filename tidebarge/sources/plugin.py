@@ -1,0 +1,95 @@
+"""A pluggable source on Spark's Python data source interface.
+
+A driver says what a source contains (schema), how to split it (partitions) and
+how to read one split (Arrow batches). Spark does the rest. ``ArrowFileSource``
+is the shipped driver: Parquet files, one partition per row group.
+"""
+
+from __future__ import annotations
+
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import from_arrow_schema
+
+
+@dataclass
+class RowGroup(InputPartition):
+    path: str
+    index: int
+
+
+def _open(path: str):
+    from pyarrow import fs, parquet
+
+    if "://" in path:
+        filesystem, inner = fs.FileSystem.from_uri(path)
+    else:
+        filesystem, inner = fs.LocalFileSystem(), path
+    return filesystem, inner, parquet
+
+
+def _files(path: str) -> list[str]:
+    from pyarrow import fs
+
+    filesystem, inner, _ = _open(path)
+    info = filesystem.get_file_info(inner)
+    if info.type == fs.FileType.File:
+        return [path]
+    found = filesystem.get_file_info(fs.FileSelector(inner, recursive=True))
+    prefix = path[: len(path) - len(inner)] if "://" in path else ""
+    return sorted(prefix + f.path for f in found if f.path.endswith(".parquet"))
+
+
+class RowGroupReader(DataSourceReader):
+    def __init__(self, path: str, columns: list[str]):
+        self.path, self.columns = path, columns
+
+    def partitions(self):
+        splits = []
+        for path in _files(self.path):
+            filesystem, inner, parquet = _open(path)
+            with filesystem.open_input_file(inner) as f:
+                splits += [RowGroup(path, i) for i in range(parquet.ParquetFile(f).num_row_groups)]
+        return splits
+
+    def read(self, partition: RowGroup):
+        filesystem, inner, parquet = _open(partition.path)
+        with filesystem.open_input_file(inner) as f:
+            yield from parquet.ParquetFile(f).iter_batches(row_groups=[partition.index], columns=self.columns)
+
+
+class ArrowFileSource(DataSource):
+    """``spark.read.format("arrow_files").option("path", p).option("columns", json_list).load()``"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "arrow_files"
+
+    def _columns(self) -> list[str]:
+        return json.loads(self.options.get("columns", "null")) or self._file_schema().names
+
+    def _file_schema(self):
+        filesystem, inner, parquet = _open(_files(self.options["path"])[0])
+        with filesystem.open_input_file(inner) as f:
+            return parquet.read_schema(f)
+
+    def schema(self):
+        full = self._file_schema()
+        import pyarrow as pa
+
+        return from_arrow_schema(pa.schema([full.field(c) for c in self._columns()]), prefer_timestamp_ntz=True)
+
+    def reader(self, schema) -> DataSourceReader:
+        return RowGroupReader(self.options["path"], self._columns())
+
+
+def register(spark: SparkSession, driver: type[DataSource] = ArrowFileSource) -> None:
+    spark.dataSource.register(driver)
+
+
+def scan(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    register(spark)
+    return spark.read.format("arrow_files").option("path", path).option("columns", json.dumps(columns)).load()
