@@ -1,6 +1,6 @@
 """The package's operators bound to the given tables, one named query each."""
 
-from . import moving  # noqa: F401
+from . import converting, moving  # noqa: F401
 from .registry import ORACLES, QUERIES, TABLES
 
 __all__ = ["ORACLES", "QUERIES", "TABLES"]
