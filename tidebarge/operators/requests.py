@@ -21,11 +21,26 @@ BURST_WINDOW_SECONDS = 60
 _END = np.iinfo(np.int64).max
 
 
+# strict JSON: nothing Spark's reader would let pass by default
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def is_json(col: Column) -> Column:
+    """Is the text exactly one JSON value? Repeated keys are fine, as in any plain syntax check.
+
+    Spark's JSON functions stop after the first value and overlook what follows.
+    Inside an array and inside an object, trailing text breaks at least one of the two.
+    """
+    in_array = F.from_json(F.concat(F.lit("["), col, F.lit("]")), "array<string>", _STRICT)
+    in_object = F.from_json(F.concat(F.lit('{"b":'), col, F.lit("}")), "map<string,string>", _STRICT)
+    return in_array.isNotNull() & in_object.isNotNull()
+
+
 def body_class(col: Column, empty_text: str = EMPTY_BODY) -> Column:
     """The body itself when it is valid JSON, else a fixed remark."""
     return (
         F.when(col.isNull() | (col == ""), F.lit(empty_text))
-        .when(F.try_parse_json(col).isNull(), F.lit(INVALID_JSON))
+        .when(~is_json(col), F.lit(INVALID_JSON))
         .otherwise(col)
     )
 
