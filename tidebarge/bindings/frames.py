@@ -102,3 +102,13 @@ def statements(t: Tables) -> DataFrame:
 
 STATEMENTS = """st as (select 'd' || doc_id statement_id, text from documents
 union all select 'c-' || conv_id || '-' || turn, text from conversations)"""
+
+
+# windows of six hours that open at a request, two requests each
+BURSTS = """with recursive w(user_id, s) as (select user_id, min(ts) from events group by 1
+  union all select w.user_id, min(e.ts) from w join events e on e.user_id = w.user_id and e.ts >= w.s + interval 6 hours
+  group by w.user_id),
+c as (select w.user_id, w.s, count(*) n from w join events e
+  on e.user_id = w.user_id and e.ts >= w.s and e.ts < w.s + interval 6 hours group by 1, 2)
+select cast(user_id as varchar) client, cast(sum(n) as bigint) requests, cast(sum(greatest(n - 2, 0)) as bigint) refused,
+  count(*) windows from c group by 1"""

@@ -10,7 +10,7 @@ from ..operators import filters, numbering, relations, requests, retention, runl
 from ..plans.specs import FilterCondition
 from ..sources.tables import run_select
 from . import frames
-from .frames import SYSTEM_LOG, TABLE_LOGS, sql_ts, system_log, table_logs, ts_text
+from .frames import BURSTS, SYSTEM_LOG, TABLE_LOGS, sql_ts, system_log, table_logs, ts_text
 from .registry import Tables, query
 
 # --- predicates -----------------------------------------------------------------
@@ -524,7 +524,7 @@ def latency(t: Tables) -> DataFrame:
     return requests.latency_by(asked.join(pages, "page_id"), "uri", "start", "stop")
 
 
-@query("burst_audit")
+@query("burst_audit", BURSTS)
 def burst_audit(t: Tables) -> DataFrame:
     """At most two requests in six hours per user (events are minutes to hours apart)."""
     marked = requests.burst_audit(t.events, "user_id", "ts", "event_id", limit=2, window_seconds=6 * 3600)

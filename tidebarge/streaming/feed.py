@@ -17,11 +17,15 @@ FANOUT_SHARDS = 8
 
 
 def table_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """A table folder as a stream. ``max_files`` bounds a micro-batch: a slow reader falls behind, nothing is lost."""
+    """A table (folder or single file) as a stream.
+
+    ``max_files`` bounds a micro-batch: a slow reader falls behind, nothing is lost.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    # as a pattern the path may also be one file, which a plain stream path may not
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain_to_table(stream: DataFrame, label: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
