@@ -119,28 +119,37 @@ def cast_float(col: Column, bits: int = 64, kind: str = "text") -> Cast:
 
 
 def plain_number_text(col: Column) -> Column:
-    """Shortest text of a double without an exponent: 1.0E20 -> 100000000000000000000, 2.0 -> 2."""
-    text = col.cast("string")
+    """Shortest text of a double without an exponent: 1.0E20 -> 100000000000000000000, 2.0 -> 2.
+
+    Common magnitudes need no more than trimming; the digits are moved by hand
+    only beyond what a decimal holds exactly.
+    """
+    size = F.abs(col)
+
+    def trimmed(text: Column) -> Column:
+        return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+
+    return (
+        F.when(F.isnan(col), F.lit("NaN"))
+        .when(size == float("inf"), F.when(col > 0, F.lit("+Inf")).otherwise(F.lit("-Inf")))
+        # Spark prints these without an exponent
+        .when((size < 1e7) & ((size >= 1e-3) | (size == 0)), trimmed(col.cast("string")))
+        # at most 17 significant digits, so ten decimals are enough from 10^7 on
+        .when((size >= 1e7) & (size < 1e27), trimmed(col.cast("string").cast("decimal(38,10)").cast("string")))
+        .otherwise(_shifted_digits(col.cast("string")))
+    )
+
+
+def _shifted_digits(text: Column) -> Column:
+    """``d.dddE±n`` with n outside -3..26, written out."""
     sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     mantissa = F.regexp_extract(text, r"^-?([0-9.]+)", 1)
     exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
-    whole = F.substring_index(mantissa, ".", 1)
     fraction = F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
-    digits = F.concat(whole, fraction)
-    right = F.length(fraction) - exponent  # digits after the point once the exponent is applied
-    large = F.concat(digits, F.repeat(F.lit("0"), -right))
-    split_at = F.concat(
-        F.substr(digits, F.lit(1), F.length(digits) - right), F.lit("."), F.substr(digits, F.length(digits) - right + 1)
-    )
+    digits = F.concat(F.substring_index(mantissa, ".", 1), fraction)
+    large = F.concat(digits, F.repeat(F.lit("0"), exponent - F.length(fraction)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    with_exponent = F.when(exponent < 0, small).when(right <= 0, large).otherwise(split_at)
-    plain = F.concat(whole, F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)))
-    return (
-        F.when(F.isnan(col), F.lit("NaN"))
-        .when(text == "Infinity", F.lit("+Inf"))
-        .when(text == "-Infinity", F.lit("-Inf"))
-        .when(text.isNotNull(), F.concat(sign, F.when(exponent.isNull(), plain).otherwise(with_exponent)))
-    )
+    return F.concat(sign, F.when(exponent < 0, small).otherwise(large))
 
 
 def cast_text(col: Column, kind: str) -> Cast:

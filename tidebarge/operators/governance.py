@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,34 +38,56 @@ COMMENTS = r"--[^\n]*\z|/\*[\s\S]*?\*/"
 COMMENTS_STRICT = r"--[^\n]*|/\*[\s\S]*?\*/"
 
 
-def unsafe_hits(col: Column) -> Column:
-    """Refused words and marks in a statement, as an array.
+def unsafe_hits(low: Column) -> Column:
+    """Refused words and marks in a lower-case statement, as an array.
 
     A word counts only with a blank on both sides, so a leading word or a line
     break goes unseen; :func:`unsafe_strict` sees those.
     """
-    low = F.lower(col)
     words = [F.when(low.contains(f" {w} "), F.lit(w)) for w in UNSAFE_WORDS]
     marks = [F.when(low.contains(m), F.lit(m)) for m in UNSAFE_MARKS]
     return F.array_compact(F.array(*words, *marks))
 
 
-def unsafe_strict(col: Column) -> Column:
+def unsafe_strict(low: Column) -> Column:
     """True when a refused word stands anywhere as a word, or a comment mark is present."""
-    return col.rlike(rf"(?i)\b({'|'.join(UNSAFE_WORDS)})\b|/\*|\*/|--")
+    marked = reduce(or_, [low.contains(m) for m in UNSAFE_MARKS])
+    return marked | low.rlike(rf"(?:^|[^a-z0-9_])(?:{'|'.join(UNSAFE_WORDS)})(?![a-z0-9_])")
+
+
+def _screened(df: DataFrame, statement: str) -> DataFrame:
+    """Lower-case text and whether any word or mark is in it at all.
+
+    Both are columns of their own, so they are computed once and the finer checks
+    run only on the few statements that need them.
+    """
+    low = F.col("__low")
+    return df.withColumn("__low", F.lower(F.col(statement))).withColumn(
+        "__any", reduce(or_, [low.contains(w) for w in (*UNSAFE_MARKS, *UNSAFE_WORDS)])
+    )
 
 
 def sql_safety(df: DataFrame, statement: str) -> DataFrame:
-    hits = unsafe_hits(F.col(statement))
-    return df.withColumn("hits", hits).withColumn("is_safe", F.size("hits") == 0).withColumn(
-        "is_safe_strict", ~unsafe_strict(F.col(statement))
+    """Adds ``hits``, ``is_safe`` and ``is_safe_strict`` to a table of statements."""
+    low, found = F.col("__low"), F.col("__any")
+    none = F.array().cast("array<string>")
+    return (
+        _screened(df, statement)
+        .select(
+            *df.columns,
+            F.when(found, unsafe_hits(low)).otherwise(none).alias("hits"),
+            (~(found & unsafe_strict(low))).alias("is_safe_strict"),
+        )
+        .withColumn("is_safe", F.size("hits") == 0)
     )
 
 
 def sql_safety_counts(df: DataFrame, statement: str) -> DataFrame:
     """Statements per refused word."""
     return (
-        df.select(F.explode(unsafe_hits(F.col(statement))).alias("word"))
+        _screened(df, statement)
+        .where("__any")
+        .select(F.explode(unsafe_hits(F.col("__low"))).alias("word"))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("statements"))
     )
