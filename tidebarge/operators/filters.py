@@ -72,11 +72,11 @@ def with_status(df: DataFrame, status: str | None, column: str = "status") -> Da
 def in_id_list(df: DataFrame, column: str, ids) -> DataFrame:
     """Rows whose id is in a list (pushed to the scan) or in a frame of ids (semi join)."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
+        return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi").select(*df.columns)
     ids = list(ids)
     if len(ids) > ID_LITERALS:
         frame = df.sparkSession.createDataFrame([(i,) for i in ids], f"{column} bigint")
-        return df.join(frame, column, "left_semi")
+        return df.join(frame, column, "left_semi").select(*df.columns)
     return df.where(F.col(column).isin(ids))
 
 

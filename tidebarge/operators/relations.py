@@ -20,7 +20,7 @@ def key_columns(columns: DataFrame, key_usage: DataFrame, on: Sequence[str]) ->
     listed = key_usage.select(*on).distinct().withColumn("__k", F.lit(True))
     return columns.join(listed, list(on), "left").withColumn(
         "is_key", F.when(F.col("__k"), F.lit(YES)).otherwise(F.lit(NO))
-    ).drop("__k")
+    ).select(*columns.columns, "is_key")
 
 
 def last_run(owners: DataFrame, logs: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -31,7 +31,8 @@ def last_run(owners: DataFrame, logs: DataFrame, ids: Sequence[str]) -> DataFram
         F.col("status").alias("run_status"),
         F.col("error_info").alias("last_error"),
     )
-    return owners.join(run, [*ids, "last_run"], "left").fillna("", ["run_status", "last_error"])
+    joined = owners.join(run, [*ids, "last_run"], "left").fillna("", ["run_status", "last_error"])
+    return joined.select(*owners.columns, "run_status", "last_error")
 
 
 def first_gap(df: DataFrame, id_column: str, group: Sequence[str] = ()) -> DataFrame:
@@ -69,7 +70,7 @@ def status_overlay(plugins: DataFrame, reports: DataFrame) -> DataFrame:
     return (
         plugins.join(reports.select("plugin_uuid", "reported_status"), "plugin_uuid", "left")
         .withColumn("status", F.coalesce("reported_status", implied))
-        .drop("reported_status")
+        .select(*plugins.columns, "status")
     )
 
 
@@ -78,4 +79,4 @@ def tag_loaded(jobs: DataFrame, online: DataFrame, id_column: str) -> DataFrame:
     live = online.select(id_column).distinct().withColumn("__on", F.lit(True))
     return jobs.join(live, id_column, "left").withColumn(
         "load_status", F.when(F.col("__on"), F.lit("loaded")).otherwise(F.lit("unloaded"))
-    ).drop("__on")
+    ).select(*jobs.columns, "load_status")

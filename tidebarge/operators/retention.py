@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 def keep_latest(logs: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Only the newest log of each owner. The maxima are pre-aggregated; a hot owner is not gathered in one task."""
     newest = logs.groupBy(*ids).agg(F.max("start_time").alias("start_time"))
-    return logs.join(newest, [*ids, "start_time"], "left_semi")
+    return logs.join(newest, [*ids, "start_time"], "left_semi").select(*logs.columns)
 
 
 def delete_keys(df: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(doomed.select(*keys), list(keys), "left_anti")
+    return df.join(doomed.select(*keys), list(keys), "left_anti").select(*df.columns)
 
 
 def delete_one(df: DataFrame, key: dict[str, object]) -> DataFrame:
@@ -37,7 +37,7 @@ def delete_on_date(df: DataFrame, date: str, column: str = "log_date") -> DataFr
 def keep_n_dates(df: DataFrame, n: int, column: str = "log_date") -> DataFrame:
     """Rows of the ``n`` newest dates present. The broadcast side has at most ``n`` rows."""
     newest = df.select(column).distinct().orderBy(F.col(column).desc()).limit(n)
-    return df.join(F.broadcast(newest), column, "left_semi")
+    return df.join(F.broadcast(newest), column, "left_semi").select(*df.columns)
 
 
 def clear_user_log(df: DataFrame, user_id: int, log_id: int | None = None) -> DataFrame:

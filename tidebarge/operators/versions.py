@@ -29,7 +29,7 @@ def oldest_of_repeated(df: DataFrame, keys: Sequence[str], stamp: str = PULL_STA
 
 def in_grouped(df: DataFrame, grouped: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows whose column tuple is in ``grouped`` (``(a, b) IN (subquery)``)."""
-    return df.join(grouped.select(*columns), list(columns), "left_semi")
+    return df.join(grouped.select(*columns), list(columns), "left_semi").select(*df.columns)
 
 
 def drop_oldest_version(df: DataFrame, keys: Sequence[str], stamp: str = PULL_STAMP) -> DataFrame:
@@ -41,7 +41,7 @@ def drop_oldest_version(df: DataFrame, keys: Sequence[str], stamp: str = PULL_ST
     hot key spread over tasks; what remains skewed is split by AQE (left side of
     an anti join).
     """
-    return df.join(oldest_of_repeated(df, keys, stamp), [*keys, stamp], "left_anti")
+    return df.join(oldest_of_repeated(df, keys, stamp), [*keys, stamp], "left_anti").select(*df.columns)
 
 
 def latest_version(

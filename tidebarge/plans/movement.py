@@ -41,7 +41,7 @@ def replace_rows(target: DataFrame, batch: DataFrame, keys: Sequence[str], order
     """
     newest = last_per_key(batch, keys, order_by)
     kept = target.join(newest.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(newest)
+    return kept.unionByName(newest).select(*target.columns)
 
 
 def pull(
