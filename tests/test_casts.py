@@ -158,7 +158,8 @@ def test_uuid_spellings(spark):
 
 def test_cast_table_splits_input(spark):
     df = spark.createDataFrame([(1, "5", 1.0), (2, "x", 1.5), (3, None, 2.0), (4, "400", None)], "id int, a string, b double")
-    good, rejects = conform.cast_table(df, {"a": "int8", "b": "uint8"}, ["id"], required=["a"])
+    cast = conform.cast_table(df, {"a": "int8", "b": "uint8"}, ["id"], required=["a"])
+    good, rejects = conform.good_rows(cast), conform.rejected_values(cast, ["id"])
     assert rows(good) == [(1, 5, 1)]
     assert rows(rejects) == sorted(
         [(2, "a", casts.NOT_A_NUMBER), (2, "b", casts.INVALID_FLOAT), (3, "a", casts.UNSUPPORTED), (4, "a", casts.OUT_OF_RANGE)],

@@ -245,3 +245,30 @@ def test_push_on_change_runs_named_specs_only(spark, tmp_path):
     got = jobs.push_on_change(feed.table_stream(spark, path), specs, lambda s: data[s.source_table], target, "push-test")
     assert rows(got) == [(1, "new"), (2, "kept")]
     assert rows(push(specs[0], data["a"], got)) == rows(got)
+
+
+def test_push_on_change_is_replayable_and_later_specs_win(spark, tmp_path):
+    path = str(tmp_path / "changes")
+    for m in ("w:b", "w:a"):
+        spark.createDataFrame([(m,)], "message string").coalesce(1).write.mode("append").parquet(path)
+    specs = [PushSpec(s, "t", "", key_columns=("k",)) for s in ("a", "b")]
+    data = {s: spark.createDataFrame([(1, s), (2, s)] if s == "b" else [(1, s)], "k int, v string") for s in "ab"}
+    target = spark.createDataFrame([(1, "old"), (3, "kept")], "k int, v string")
+    together = jobs.push_on_change(feed.table_stream(spark, path), specs, lambda s: data[s.source_table], target, "push-one")
+    assert rows(together) == [(1, "b"), (2, "b"), (3, "kept")]
+    with pytest.raises(ValueError):
+        jobs.push_on_change(feed.table_stream(spark, path), [PushSpec("a", "t", "")], lambda s: data["a"], target)
+
+
+def test_write_with_watermark(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (5, None)], "id int, ts timestamp")
+    state = (FilterCondition("id", "integer", "0"), FilterCondition("ts", "datetime", "2020-01-01"))
+    count, moved = sinks.write_with_watermark(df, str(tmp_path / "t"), state)
+    assert count == 2 and moved == (FilterCondition("id", "integer", "5"), state[1])
+
+
+def test_write_split_casts_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "5"), (2, "x")], "id int, a string")
+    good, bad = sinks.write_split(conform.cast_table(df, {"a": "int8"}, ["id"]), str(tmp_path / "t"))
+    assert rows(good) == [(1, 5)]
+    assert rows(conform.rejected_values(bad, ["id"])) == [(2, "a", "not a number")]

@@ -444,10 +444,10 @@ CAST_TABLE_SQL = f"""with {RAW_SQL}, c as (select event_id,
 def cast_table(t: Tables) -> DataFrame:
     """Rejects per column, and the good rows with both fields empty."""
     rows = raw_text(t).withColumn("kind", F.nullif("event_type", F.lit("error")))
-    good, rejects = conform.cast_table(
+    cast = conform.cast_table(
         rows, {"txt": "int16", "value": "int8", "kind": "text"}, ["event_id"], required=["txt", "kind"]
     )
-    return rejects.unionByName(good.select("event_id", F.lit("").alias("column"), F.lit("").alias("reason")))
+    return cast.select("event_id", F.inline_outer("rejects")).fillna("", ["column", "reason"])
 
 
 @query(
@@ -618,7 +618,6 @@ def _coarse_sql() -> str:
 @query("coarse_type", _coarse_sql())
 def coarse_type(t: Tables) -> DataFrame:
     described = profile.profile_tables({n: getattr(t, n) for n in TABLES}, KEYS)
-    counts = profile.table_inventory({n: getattr(t, n) for n in TABLES}).select("table_code", "row_count")
-    return described.select("table_code", "column_code", conform.coarse_type(F.col("data_type")).alias("class")).join(
-        counts, "table_code"
+    return described.select(
+        "table_code", "column_code", conform.coarse_type(F.col("data_type")).alias("class"), "row_count"
     )

@@ -60,7 +60,7 @@ def _profile_sql() -> str:
             parts.append(
                 f"select '{table}' table_code, '{name}' column_code, {i} ordinal, '{dtype}' data_type, {is_key} is_key, "
                 f"{length} max_length, {digits.get(dtype, 0)} \"precision\", 0 scale, "
-                f"count(*) > count({name}) has_null, count(*) - count({name}) null_count, '' \"comment\" from {table}"
+                f"count(*) > count({name}) has_null, count(*) - count({name}) null_count, count(*) row_count, '' \"comment\" from {table}"
             )
     return " union all ".join(parts)
 

@@ -162,28 +162,30 @@ def _cast_for(want: str, col: Column, kind: str) -> casts.Cast:
 
 def cast_table(
     df: DataFrame, wanted: dict[str, str], row_id: Sequence[str], required: Sequence[str] = ()
-) -> tuple[DataFrame, DataFrame]:
-    """Cast every column of ``wanted`` (column -> int8..uint64, float32/64, text, bool, time).
+) -> DataFrame:
+    """Cast every column of ``wanted`` (column -> int8..uint64, float32/64, text, bool, time) in one projection.
 
-    Returns good rows, and rejects ``(row_id..., column, reason)``. Every input
-    row is in exactly one of the two. Both come from one projection over the
-    input, no shuffle.
+    Adds ``rejects``: one ``(column, reason)`` per value that does not fit, empty
+    for a good row. ``good_rows`` and ``rejected_values`` split the result; to
+    write both without casting twice, write it once (``sinks.tables.write_split``).
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     values, reasons = [], []
     for name, want in wanted.items():
         dtype = fields[name]
-        kind = "time" if want == "time" and isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)) \
-            else casts.kind_of(dtype)
+        is_time = isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        kind = "time" if want == "time" and is_time else casts.kind_of(dtype)
         value, reason = casts.required(_cast_for(want, F.col(name), kind), F.col(name), name not in required)
         values.append(value.alias(name))
         reasons.append(F.when(reason.isNotNull(), F.struct(F.lit(name).alias("column"), reason.alias("reason"))))
     kept = [c for c in row_id if c not in wanted]
-    cast = df.select(*kept, *values, F.array_compact(F.array(*reasons)).alias("__rejects"))
-    good = cast.where(F.size("__rejects") == 0).drop("__rejects")
-    rejects = (
-        cast.where(F.size("__rejects") > 0)
-        .select(*row_id, F.explode("__rejects").alias("__r"))
-        .select(*row_id, F.col("__r.column").alias("column"), F.col("__r.reason").alias("reason"))
-    )
-    return good, rejects
+    return df.select(*kept, *values, F.array_compact(F.array(*reasons)).alias("rejects"))
+
+
+def good_rows(cast: DataFrame) -> DataFrame:
+    return cast.where(F.size("rejects") == 0).drop("rejects")
+
+
+def rejected_values(cast: DataFrame, row_id: Sequence[str]) -> DataFrame:
+    """``(row_id..., column, reason)`` per rejected value. Every row is good or in here."""
+    return cast.select(*row_id, F.inline("rejects"))

@@ -60,8 +60,9 @@ def typed_values(df: DataFrame, data_type: str, value: str) -> DataFrame:
     )
 
 
-def contains_any(df: DataFrame, columns: Sequence[str], text: str) -> DataFrame:
-    return df.where(reduce(or_, [F.col(c).contains(text) for c in columns]))
+def contains_any(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Rows where any of the columns holds its text (``LIKE '%x%'`` joined by OR)."""
+    return df.where(reduce(or_, [F.col(c).contains(x) for c, x in wanted.items()]))
 
 
 def with_status(df: DataFrame, status: str | None, column: str = "status") -> DataFrame:

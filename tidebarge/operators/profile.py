@@ -39,11 +39,11 @@ def _digits(dtype: T.DataType) -> tuple[int, int]:
 
 
 def column_profile(df: DataFrame, table: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Column descriptors from the schema plus measured length and NULL count.
+    """Column descriptors from the schema plus measured length, NULLs and rows.
 
     One aggregate over the table (combined map-side), then turned to rows.
     """
-    measures, rows = [], []
+    measures, rows = [F.count(F.lit(1)).alias("__rows")], []
     for i, f in enumerate(df.schema.fields):
         length = F.max(F.length(F.col(f.name))) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(None)
         measures += [
@@ -63,6 +63,7 @@ def column_profile(df: DataFrame, table: str, keys: Sequence[str] = ()) -> DataF
                 F.lit(scale).alias("scale"),
                 (F.col(f"__null{i}") > 0).alias("has_null"),
                 F.col(f"__null{i}").alias("null_count"),
+                F.col("__rows").alias("row_count"),
                 F.lit((f.metadata or {}).get("comment", "")).alias("comment"),
             )
         )

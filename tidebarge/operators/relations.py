@@ -38,17 +38,22 @@ def last_run(owners: DataFrame, logs: DataFrame, ids: Sequence[str]) -> DataFram
 def first_gap(df: DataFrame, id_column: str, group: Sequence[str] = ()) -> DataFrame:
     """Smallest free id from 1 upwards, overall or per group.
 
-    Every used id and 0 propose their successor; the smallest proposal not in
-    use wins. The anti join runs on group and id, both unique together, so no
-    group lands in one task.
+    Every used id proposes its successor, and 1 is always proposed; the smallest
+    proposal nobody uses wins. One aggregate on group and id tells used from
+    proposed: no join, duplicates collapse before the shuffle, and a large group
+    is spread over its ids.
     """
-    ids = df.select(*group, F.col(id_column).cast("bigint").alias("__id")).distinct()
-    zero = ids.select(*group).distinct().withColumn("__id", F.lit(0).cast("bigint")) if group else (
-        df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("__id"))
+    used = F.col(id_column).cast("bigint")
+
+    def candidate(value, is_used):
+        return F.struct(value.cast("bigint").alias("__id"), F.lit(is_used).alias("__used"))
+
+    candidates = df.select(
+        *group, F.inline(F.array(candidate(used, True), candidate(used + 1, False), candidate(F.lit(1), False)))
     )
-    proposals = ids.unionByName(zero).withColumn("__id", F.col("__id") + 1)
-    free = proposals.join(ids, [*group, "__id"], "left_anti")
-    return free.groupBy(*group).agg(F.min("__id").alias("first_gap"))
+    free = candidates.groupBy(*group, "__id").agg(F.max("__used").alias("__used")).where("not __used")
+    # an empty table has no proposals: its first free id is 1
+    return free.groupBy(*group).agg(F.coalesce(F.min("__id"), F.lit(1)).alias("first_gap"))
 
 
 def with_sentinel(df: DataFrame, id_column: str) -> DataFrame:

@@ -40,7 +40,8 @@ def replace_rows(target: DataFrame, batch: DataFrame, keys: Sequence[str], order
     it is not shuffled at all. NULL keys never match (``key_integrity`` reports them).
     """
     newest = last_per_key(batch, keys, order_by)
-    kept = target.join(newest.select(*keys), list(keys), "left_anti")
+    # distinct keys collapse before the shuffle, so a key the batch repeats often stays cheap
+    kept = target.join(batch.select(*keys).distinct(), list(keys), "left_anti")
     return kept.unionByName(newest).select(*target.columns)
 
 
@@ -51,7 +52,8 @@ def pull(
 
     ``rows`` is the result of the spec's SELECT. Without a watermark the target is
     replaced. With one the rows are added, superseded versions go, and the watermark
-    moves to the maxima of the new target.
+    moves to the maxima of the new target. ``sinks.tables.write_with_watermark``
+    writes the target and reads the maxima off in the same pass.
 
     ``dedup="latest"`` keeps one newest row per key. ``dedup="oldest"`` removes
     only the oldest version per repeated key (see ``drop_oldest_version``).

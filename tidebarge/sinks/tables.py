@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..plans.specs import PULL_STAMP
+from ..operators.versions import as_watermark_text
+from ..plans.specs import PULL_STAMP, FilterCondition
 
 PLACEHOLDER_CAP = 65535
 
@@ -25,12 +30,25 @@ def append_counted(df: DataFrame, path: str, max_rows_per_file: int = 0) -> int:
     return seen.get["rows"]
 
 
+def write_with_watermark(
+    df: DataFrame, path: str, state: Iterable[FilterCondition]
+) -> tuple[int, tuple[FilterCondition, ...]]:
+    """Write a new table once; the row count and the advanced watermark are observed on the way."""
+    state, types, seen = tuple(state), dict(df.dtypes), Observation()
+    maxima = [as_watermark_text(F.max(c.column), types[c.column]).alias(f"m{i}") for i, c in enumerate(state)]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *maxima).write.mode("error").parquet(path)
+    got = seen.get
+    new = tuple(c if got[f"m{i}"] is None else replace(c, value=got[f"m{i}"]) for i, c in enumerate(state))
+    return got["rows"], new
+
+
 def swap_in(spark: SparkSession, table: str, df: DataFrame, new_location: str) -> None:
     """Full refresh: write the new content aside, then point the table at it.
 
     The data is written once and the switch is a catalog change, so readers see
     the old table or the new one, never an empty one; if the write fails the old
-    content is untouched. ``new_location`` must be unused.
+    content is untouched. ``new_location`` must be unused; the former location is
+    left for readers still on it and for the caller to clean up.
     """
     df.write.mode("error").parquet(new_location)
     if spark.catalog.tableExists(table):
@@ -40,6 +58,18 @@ def swap_in(spark: SparkSession, table: str, df: DataFrame, new_location: str) -
         spark.catalog.createTable(table, path=new_location, source="parquet")
 
 
+def write_split(cast: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write a cast table once, good and rejected rows in folders of their own; returns both, read back.
+
+    Rejected rows keep their ``rejects``, see ``conform.rejected_values``.
+    """
+    cast.withColumn("is_good", F.size("rejects") == 0).write.partitionBy("is_good").mode("error").parquet(path)
+    schema = T.StructType([*cast.schema.fields, T.StructField("is_good", T.BooleanType())])
+    written = cast.sparkSession.read.schema(schema).parquet(path)
+    good = written.where("is_good").drop("is_good", "rejects")
+    return good, written.where("not is_good").drop("is_good")
+
+
 def truncate(spark: SparkSession, table: str) -> None:
     """Empty a managed table, keeping its schema."""
     spark.sql(f"TRUNCATE TABLE {table}")

@@ -103,4 +103,5 @@ def write_replace(
 ) -> None:
     """Push to a table with a primary key. ``df`` holds one row per key; ``writers`` bounds open connections."""
     check_batch(batch, len(df.columns))
-    df.coalesce(writers).foreachPartition(replace_partition(connect, table, df.columns, batch, mark))
+    # a shuffle, so that only the writing is bound to this few tasks, not the work before it
+    df.repartition(writers).foreachPartition(replace_partition(connect, table, df.columns, batch, mark))

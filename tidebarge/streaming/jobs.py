@@ -6,14 +6,18 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.versions import latest_version
-from ..plans.movement import push
+from ..plans.movement import last_per_key, replace_rows
 from ..plans.specs import PULL_STAMP, PushSpec
 from ..session import fresh_path
 from .feed import drain_batches
 
 
+def _with_fields(df: DataFrame, **types: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in types.items()]])
+
+
 def scheduled_pull(
     stream: DataFrame, keys: Sequence[str], tiebreak: Sequence[str], label: str = "pull", first_stamp: int = 0,
     existing: DataFrame | None = None,
@@ -22,7 +26,7 @@ def scheduled_pull(
 
     The stream's checkpoint is the watermark. A batch goes to a folder of its
     own, so a replay overwrites it. ``pull_time`` rises by one per batch. Returns
-    the newest version per key.
+    the newest version per key; ``existing`` holds one row per key already.
     """
     spark = stream.sparkSession
     out = fresh_path(spark, label)
@@ -33,9 +37,9 @@ def scheduled_pull(
         )
 
     drain_batches(stream, label, load)
-    loaded = spark.read.parquet(out).drop("batch")
-    everything = loaded if existing is None else existing.unionByName(loaded)
-    return latest_version(everything, keys, PULL_STAMP, tiebreak)
+    loaded = spark.read.schema(_with_fields(stream, **{PULL_STAMP: T.LongType()})).parquet(out).drop("batch")
+    order = [PULL_STAMP, *tiebreak]
+    return last_per_key(loaded, keys, order) if existing is None else replace_rows(existing, loaded, keys, order)
 
 
 def push_on_change(
@@ -47,24 +51,30 @@ def push_on_change(
 ) -> DataFrame:
     """Run the push of every spec whose source table is named in a micro-batch of changes.
 
-    A batch reads the target left by the batch before and writes a new one, so a
-    replayed batch gives the same result. Specs are configuration; of the changes
-    only the set of known table names in the batch reaches the driver.
+    All specs push into ``target`` by the same keys. A batch writes only the rows
+    it pushes, in a folder of its own (overwritten on replay), not the target;
+    the result is the target with the newest pushed row per key in place. Within
+    a batch, later specs win. Of the changes only the known table names reach the
+    driver, at most one per spec.
     """
+    keyed = {tuple(s.key_columns) for s in specs}
+    if len(keyed) != 1 or not (keys := keyed.pop()):
+        raise ValueError("specs must share one non-empty set of key columns")
     spark = target.sparkSession
     out = fresh_path(spark, label)
-    target.write.parquet(f"{out}/v=-1")
-    by_source = {s.source_table: s for s in specs if s.enabled}
+    by_source = {s.source_table: (i, s) for i, s in enumerate(specs) if s.enabled}
+    schema = _with_fields(target, __spec=T.IntegerType())
 
     def apply(frame: DataFrame, batch_id: int) -> None:
         name = F.substring_index("message", ":", -1)
-        touched = frame.select(name.alias("t")).where(F.col("t").isin(list(by_source))).distinct()
-        current = spark.read.parquet(f"{out}/v={batch_id - 1}")
-        for source in sorted(r.t for r in touched.collect()):  # at most one row per spec
-            current = push(by_source[source], rows_of(by_source[source]), current)
-        current.write.mode("overwrite").parquet(f"{out}/v={batch_id}")
-        last["v"] = batch_id
-
-    last = {"v": -1}
+        touched = frame.select(name.alias("t")).where(F.col("t").isin(list(by_source))).distinct().collect()
+        pushed = spark.createDataFrame([], schema)
+        for i, spec in sorted((by_source[r.t] for r in touched), key=lambda x: x[0]):
+            rows = last_per_key(rows_of(spec), keys, spec.order_columns).select(*target.columns)
+            pushed = pushed.unionByName(rows.withColumn("__spec", F.lit(i)))
+        pushed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
     drain_batches(changes, label, apply)
-    return spark.read.parquet(f"{out}/v={last['v']}")
+    pushed = spark.read.schema(_with_fields(target, __spec=T.IntegerType(), batch=T.LongType())).parquet(out)
+    ranked = target.withColumns({"__spec": F.lit(None).cast("int"), "batch": F.lit(None).cast("long")})
+    return replace_rows(ranked, pushed, keys, ["batch", "__spec"]).drop("__spec", "batch")
