@@ -93,6 +93,36 @@ def mark_requests(
     return passed, opened, start, count
 
 
+def mark_sorted(
+    clients: np.ndarray, t: np.ndarray, window: int, limit: int, carry: tuple[str | None, int | None, int]
+) -> tuple[np.ndarray, np.ndarray, tuple[str, int, int]]:
+    """Fold rows ordered by client and time; ``carry`` is the last client with its open window and count.
+
+    A pause of a whole window length always opens a new window, so rows fall into
+    runs that do not touch each other. A run shorter than a window is one window;
+    only longer runs are walked.
+    """
+    n = len(t)
+    fresh = np.ones(n, dtype=bool)
+    fresh[1:] = (clients[1:] != clients[:-1]) | (t[1:] - t[:-1] >= window)
+    starts = np.flatnonzero(fresh)
+    ends = np.append(starts[1:], n)
+    run = np.cumsum(fresh) - 1
+    opened = t[starts][run]
+    passed = np.arange(n) - starts[run] < limit
+    walk = t[ends - 1] - t[starts] >= window
+    carried = clients[0] == carry[0]
+    walk[0] |= carried
+    start, count = int(t[starts[-1]]), min(limit, int(n - starts[-1]))
+    for k in np.flatnonzero(walk):
+        lo, hi = starts[k], ends[k]
+        before = carry[1:] if k == 0 and carried else (None, 0)
+        passed[lo:hi], opened[lo:hi], s, c = mark_requests(t[lo:hi], *before, window, limit)
+        if hi == n:
+            start, count = s, c
+    return passed, opened, (clients[-1], start, count)
+
+
 def step_function(t: np.ndarray, window: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(upto, exit start, exit count): entering with a window closing at e, the first ``upto >= e`` applies.
 
@@ -113,49 +143,44 @@ def step_function(t: np.ndarray, window: int, limit: int) -> tuple[np.ndarray, n
     return t[:m][keep], t[exits][keep], np.minimum(limit, n - exits)[keep]
 
 
-def _runs(clients: np.ndarray) -> Iterator[tuple[int, int]]:
-    edges = np.flatnonzero(clients[1:] != clients[:-1]) + 1
-    bounds = [0, *edges.tolist(), len(clients)]
-    yield from zip(bounds[:-1], bounds[1:])
-
-
 _SUMMARY = "client string, slice int, seq int, upto long, exit_start long, exit_count int, n long"
 
 
 def _summarise(window: int, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = slice_id = start = None
-        count, seen, pieces = 0, 0, []
+        first = last = slice_id = None
+        head, tail = [], []  # times of the slice's first client, and of its last one if that is another
         for b in batches:
+            if len(b) == 0:
+                continue
             clients, t = b["client"].to_numpy(), b["ts_us"].to_numpy()
-            for lo, hi in _runs(clients):
-                if slice_id is None:
-                    first, slice_id = clients[lo], int(b[_SLICE].iloc[0])
-                if clients[lo] == first:
-                    pieces.append(t[lo:hi])
-                if clients[lo] != last:
-                    last, start, count, seen = clients[lo], None, 0, 0
-                seen += hi - lo
-                if last != first:
-                    _, _, start, count = mark_requests(t[lo:hi], start, count, window, limit)
+            if slice_id is None:
+                first, slice_id = clients[0], int(b[_SLICE].iloc[0])
+            if clients[0] == first:
+                head.append(t[clients == first])
+            if clients[-1] != last:
+                last, tail = clients[-1], []
+            if last != first:
+                tail.append(t[clients == last])
         if slice_id is None:
             return
-        t = np.concatenate(pieces)
+        t = np.concatenate(head)
         upto, exit_start, exit_count = step_function(t, window, limit)
-        k = len(upto)
         yield pd.DataFrame(
             {
-                "client": first, "slice": slice_id, "seq": np.arange(k + 1),
+                "client": first, "slice": slice_id, "seq": np.arange(len(upto) + 1),
                 # past every entry all requests still belong to the entering window
                 "upto": np.append(upto, _END), "exit_start": np.append(exit_start, -1),
                 "exit_count": np.append(exit_count, -1), "n": len(t),
             }
         )
         if last != first:
+            t = np.concatenate(tail)
+            _, _, start, count = mark_requests(t, None, 0, window, limit)
             yield pd.DataFrame(
                 {
                     "client": [last], "slice": [slice_id], "seq": [0], "upto": [_END],
-                    "exit_start": [start], "exit_count": [count], "n": [seen],
+                    "exit_start": [start], "exit_count": [count], "n": [len(t)],
                 }
             )
 
@@ -188,24 +213,19 @@ def _chain(window: int, limit: int):
 
 def _mark(window: int, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, start, count, at = None, None, 0, -1
+        carry, at = None, -1
         for b in batches:
-            pos = b[_POS].to_numpy()
-            if len(pos) == 0:
+            if len(b) == 0:
                 continue
+            pos = b[_POS].to_numpy()
             if pos[0] <= at or (np.diff(pos) <= 0).any():
                 raise RuntimeError("slice rows out of order")
             at = int(pos[-1])
             clients, t = b["client"].to_numpy(), b["ts_us"].to_numpy()
-            entry = b["open_start"]
-            passed = np.empty(len(t), dtype=bool)
-            opened = np.empty(len(t), dtype=np.int64)
-            for lo, hi in _runs(clients):
-                if clients[lo] != client:
-                    client, start, count = clients[lo], None, 0
-                    if not pd.isna(entry.iloc[lo]):
-                        start, count = int(entry.iloc[lo]), int(b["open_count"].iloc[lo])
-                passed[lo:hi], opened[lo:hi], start, count = mark_requests(t[lo:hi], start, count, window, limit)
+            if carry is None:
+                entered = b["open_start"].iloc[0]
+                carry = (None, None, 0) if pd.isna(entered) else (clients[0], int(entered), int(b["open_count"].iloc[0]))
+            passed, opened, carry = mark_sorted(clients, t, window, limit, carry)
             yield pd.DataFrame(
                 {"client": clients, "request_id": b["request_id"], "ts_us": t, "allowed": passed, "window_us": opened}
             )
