@@ -91,7 +91,9 @@ def test_scaled_int(spark):
      ("2021-05-10 17:36:14.123", "2021-05-10 17:36:14.123"), ("2021-05-10 17:36:14", "2021-05-10 17:36:14"),
      ("2006年01月02日 15时04分05秒", "2006-01-02 15:04:05"), ("2006年01月02日15时04分05秒", "2006-01-02 15:04:05"),
      ("02 Jan 06 15:04 MST", "2006-01-02 15:04:00"), ("Monday, 02-Jan-06 15:04:05 MST", "2006-01-02 15:04:05"),
-     ("02 Dec 70 15:04 GMT+3", "1970-12-02 12:04:00"), ("x", None), ("2021-13-40", None), ("02 Xan 06 15:04 MST", None),
+     ("02 Dec 70 15:04 GMT+3", "1970-12-02 12:04:00"), ("29 Feb 72 9:04 UTC", "1972-02-29 09:04:00"),
+     ("01 jan 68 00:00 EST", "2068-01-01 00:00:00"), ("30 Feb 72 15:04 UTC", None),
+     ("Friday, 29-Dec-69 5:04:05.123456789 CEST", "1969-12-29 05:04:05.123456"), ("x", None), ("2021-13-40", None), ("02 Xan 06 15:04 MST", None),
      ("2021-05-10 17:36:14Z", None), ("9" * 20, None), ("9223372036854775807", None), ("", None)],
 )
 def test_parse_time(spark, value, want):
@@ -156,6 +158,28 @@ def test_uuid_spellings(spark):
     assert df.where(text.valid_uuid(F.col("s")) != F.col("want")).count() == 0
 
 
+def test_decimals(spark):
+    from decimal import Decimal
+
+    far, long = casts.OUT_OF_RANGE, "fraction longer than scale"
+    got = run(spark, ["1.25", " 12.500 ", "1.255", "1000", "x", "1e2", None], "string", lambda c: casts.cast_decimal(c, 5, 2))
+    assert got == [Decimal("1.25"), Decimal("12.50"), long, far, casts.NOT_A_NUMBER, casts.NOT_A_NUMBER, None]
+    assert run(spark, [2.5, 1e9, float("nan")], "double", lambda c: casts.cast_decimal(c, 5, 1, "float")) == [
+        Decimal("2.5"), far, casts.NOT_A_NUMBER]
+
+
+def test_cast_table_wider_types(spark):
+    df = spark.createDataFrame(
+        [(1, "1.1.1.1", "a,b", "(1,2)", "2024-01-02", {"k": "v"}), (2, "1.1", "c", "1", "soon", None)],
+        "id int, ip string, tags string, p string, d string, m map<string,string>")
+    cast = conform.cast_table(df, {"ip": "ipv4", "tags": "array", "p": "point", "d": "date", "m": "map"}, ["id"])
+    row = conform.good_rows(cast).first()
+    assert (row.ip, row.tags, tuple(row.p), row.d, row.m) == ("1.1.1.1", ["a", "b"], (1.0, 2.0), dt.date(2024, 1, 2), {"k": "v"})
+    assert [r.column for r in conform.rejected_values(cast, ["id"]).collect()] == ["ip", "p", "d"]
+    text_map = conform.cast_table(df, {"ip": "map"}, ["id"])
+    assert conform.good_rows(text_map).count() == 0
+
+
 def test_cast_table_splits_input(spark):
     df = spark.createDataFrame([(1, "5", 1.0), (2, "x", 1.5), (3, None, 2.0), (4, "400", None)], "id int, a string, b double")
     cast = conform.cast_table(df, {"a": "int8", "b": "uint8"}, ["id"], required=["a"])

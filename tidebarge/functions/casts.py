@@ -191,6 +191,24 @@ def decimal_to_scaled_int(col: Column, scale: int) -> Cast:
     return _settle(col, number, reason)
 
 
+def cast_decimal(col: Column, precision: int, scale: int, kind: str = "text") -> Cast:
+    """decimal(p,s) up to 38 digits, from text or numbers. A longer fraction is rejected, not rounded."""
+    text = plain_number_text(col) if kind == "float" else F.btrim(col.cast("string"), F.lit(BLANKS))
+    fraction = F.when(text.contains("."), F.rtrim(F.substring_index(text, ".", -1), F.lit("0"))).otherwise(F.lit(""))
+    number = text.try_cast(f"decimal({precision},{scale})")
+    reason = (
+        F.when(~text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), F.lit(NOT_A_NUMBER))
+        .when(F.length(fraction) > scale, F.lit("fraction longer than scale"))
+        .when(text.isNotNull() & number.isNull(), F.lit(OUT_OF_RANGE))
+    )
+    return _settle(col, number, reason)
+
+
+def cast_checked(col: Column, valid: Column, reason: str) -> Cast:
+    """Text that must pass a check to be stored."""
+    return F.when(valid, col), F.when(col.isNotNull() & ~valid, F.lit(reason))
+
+
 def required(cast: Cast, col: Column, nullable: bool) -> Cast:
     """A NULL in a non-nullable column is a reject; in a nullable one it stays NULL."""
     value, reason = cast

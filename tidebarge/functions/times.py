@@ -15,12 +15,11 @@ ISO_BLANK = r"^\d{4}-\d{2}-\d{2} \d{1,2}:\d{2}:\d{2}([.,]\d+)?\z"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}\z"
 CJK = r"^(\d{4})年(\d{2})月(\d{2})日 ?(\d{1,2})时(\d{2})分(\d{2}(?:[.,]\d+)?)秒\z"
 ZONE_NAME = r"(?:UTC|GMT[+-]\d{1,2}|[A-Z]{3}|[A-Z]{3,4}T|WITA|ChST|MeST)"
-RFC822 = r"^(\d{2}) ([A-Za-z]{3}) (\d{2}) (\d{1,2}:\d{2}) (" + ZONE_NAME + r")\z"
+RFC822 = r"^\d{2} [A-Za-z]{3} \d{2} \d{1,2}:\d{2} " + ZONE_NAME + r"\z"
 RFC850 = (
     r"^(?i:Sunday|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday), "
-    r"(\d{2})-([A-Za-z]{3})-(\d{2}) (\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?) (" + ZONE_NAME + r")\z"
+    r"\d{2}-[A-Za-z]{3}-\d{2} \d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,9})?" + " " + ZONE_NAME + r"\z"
 )
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 MILLIS_ABOVE = 10**12
 
@@ -30,22 +29,16 @@ def _stamp(text: Column) -> Column:
     return F.translate(text, ",", ".").try_cast("timestamp")
 
 
-def _from_parts(text: Column, pattern: str) -> Column:
-    """Day, month name, two-digit year, clock and zone name to a timestamp.
+def _named_month(body: Column, pattern: str, zone: Column) -> Column:
+    """Day, month name, two-digit year and clock to a timestamp.
 
-    A zone name carries no offset of its own and is read as UTC, except ``GMT+h``.
+    Years 69 to 99 are of the last century. A zone name carries no offset of its
+    own and is read as UTC, except ``GMT+h``.
     """
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, pattern, i)
-
-    at = F.instr(F.lit(MONTHS), F.lower(part(2)))
-    month = F.when(at % 3 == 1, F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0"))
-    year = F.when(part(3) >= "69", F.concat(F.lit("19"), part(3))).otherwise(F.concat(F.lit("20"), part(3)))
-    clock = F.when(F.length(part(4)) <= 5, F.concat(part(4), F.lit(":00"))).otherwise(part(4))
-    base = _stamp(F.concat(year, F.lit("-"), month, F.lit("-"), part(1), F.lit(" "), clock))
-    hours = F.coalesce(F.regexp_extract(part(5), r"^GMT([+-]\d{1,2})\z", 1).try_cast("int"), F.lit(0))
-    return base - F.make_dt_interval(hours=hours)
+    base = F.try_to_timestamp(F.translate(body, ",", "."), F.lit(pattern))
+    base = F.when(F.year(base) >= 2069, base - F.expr("interval '100' year")).otherwise(base)
+    hours = F.when(zone.startswith("GMT"), F.substr(zone, F.lit(4)).try_cast("int"))
+    return F.when(hours.isNull(), base).otherwise(base - F.make_dt_interval(hours=hours))
 
 
 def parse_time(col: Column, kind: str = "text") -> Cast:
@@ -65,13 +58,14 @@ def parse_time(col: Column, kind: str = "text") -> Cast:
     number = F.when(col.rlike(r"^[+-]?\d+\z"), col.try_cast("bigint"))
     seconds = F.when((number <= MILLIS_ABOVE) & (number >= -MILLIS_ABOVE), number)
     millis = F.when((number > MILLIS_ABOVE) & (number < 9 * 10**15), number)
+    zone, dashed = F.substring_index(col, " ", -1), F.substring_index(col, ", ", -1)
     # each shape is tried only where its pattern matches, so a row pays for one parse
     value = (
         F.when(col.rlike(r"^[+-]?\d+\z"), F.coalesce(F.timestamp_millis(millis), F.timestamp_seconds(seconds)))
         .when(col.rlike(ISO_T) | col.rlike(ISO_BLANK) | col.rlike(ISO_DATE), _stamp(col))
         .when(col.rlike(CJK), _stamp(F.regexp_replace(col, CJK, "$1-$2-$3 $4:$5:$6")))
-        .when(col.rlike(RFC822), _from_parts(col, RFC822))
-        .when(col.rlike(RFC850), _from_parts(col, RFC850))
+        .when(col.rlike(RFC822), _named_month(F.substring_index(col, " ", 4), "dd MMM yy H:mm", zone))
+        .when(col.rlike(RFC850), _named_month(F.substring_index(dashed, " ", 2), "dd-MMM-yy H:mm:ss[.SSSSSSSSS]", zone))
     )
     return value, F.when(col.isNotNull() & value.isNull(), F.lit(UNREADABLE))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import casts, times
+from ..functions import casts, text, times
 from ..plans.specs import PULL_STAMP, ColumnDescriptor
 
 # source type -> (warehouse type, Spark type). Fixed values.
@@ -144,6 +144,13 @@ def coarse_type(data_type: Column) -> Column:
     )
 
 
+_CHECKED = {"uuid": text.valid_uuid, "ipv4": text.valid_ipv4, "ipv6": text.valid_ipv6}
+_EMPTY = {
+    "array": "array<string>", "map": "map<string,string>", "point": "struct<x:double,y:double>", "uuid": "string",
+    "ipv4": "string", "ipv6": "string",
+}
+
+
 def _cast_for(want: str, col: Column, kind: str) -> casts.Cast:
     if want.startswith("int"):
         return casts.cast_signed(col, int(want[3:]), kind)
@@ -155,15 +162,34 @@ def _cast_for(want: str, col: Column, kind: str) -> casts.Cast:
         return casts.cast_text(col, kind)
     if want == "bool":
         return casts.cast_bool_strict(col, kind)
-    if want == "time":
-        return times.parse_time(col, kind)
+    if want in ("time", "date"):
+        if kind in ("other", "bool"):
+            return F.lit(None).cast("timestamp"), F.when(col.isNotNull(), F.lit(casts.UNSUPPORTED))
+        value, reason = times.parse_time(col.cast("string") if kind == "binary" else col, kind)
+        return (value.cast("date") if want == "date" else value), reason
+    if want.startswith("decimal("):
+        precision, scale = (int(x) for x in want[8:-1].split(","))
+        return casts.cast_decimal(col, precision, scale, kind)
+    if kind == "other" and want in ("array", "map"):
+        return col, F.lit(None).cast("string")
+    if kind == "text" and want == "array":
+        return text.split_array(col), F.lit(None).cast("string")
+    if kind == "text" and want == "point":
+        return text.parse_point(col)
+    if kind == "text" and want in _CHECKED:
+        return casts.cast_checked(col, _CHECKED[want](col), f"not a valid {want}")
+    if want in _EMPTY:
+        return F.lit(None).cast(_EMPTY[want]), F.when(col.isNotNull(), F.lit(casts.UNSUPPORTED))
     raise ValueError(f"unknown type {want}")
 
 
 def cast_table(
     df: DataFrame, wanted: dict[str, str], row_id: Sequence[str], required: Sequence[str] = ()
 ) -> DataFrame:
-    """Cast every column of ``wanted`` (column -> int8..uint64, float32/64, text, bool, time) in one projection.
+    """Cast every column of ``wanted`` in one projection.
+
+    Types: int8..int64, uint8..uint64, float32, float64, decimal(p,s), text, bool, time, date, uuid, ipv4,
+    ipv6, point, array, map.
 
     Adds ``rejects``: one ``(column, reason)`` per value that does not fit, empty
     for a good row. ``good_rows`` and ``rejected_values`` split the result; to
@@ -174,7 +200,7 @@ def cast_table(
     for name, want in wanted.items():
         dtype = fields[name]
         is_time = isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
-        kind = "time" if want == "time" and is_time else casts.kind_of(dtype)
+        kind = "time" if want in ("time", "date") and is_time else casts.kind_of(dtype)
         value, reason = casts.required(_cast_for(want, F.col(name), kind), F.col(name), name not in required)
         values.append(value.alias(name))
         reasons.append(F.when(reason.isNotNull(), F.struct(F.lit(name).alias("column"), reason.alias("reason"))))

@@ -38,36 +38,30 @@ def _digits(dtype: T.DataType) -> tuple[int, int]:
     return known.get(type(dtype), 0), 0
 
 
+def _text(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def column_profile(df: DataFrame, table: str, keys: Sequence[str] = ()) -> DataFrame:
     """Column descriptors from the schema plus measured length, NULLs and rows.
 
-    One aggregate over the table (combined map-side), then turned to rows.
+    One aggregate over the table (combined map-side), then turned to rows. The
+    expressions are SQL text: a wide table would take thousands of Column calls.
     """
-    measures, rows = [F.count(F.lit(1)).alias("__rows")], []
+    measures, rows = ["count(1) as __rows"], []
     for i, f in enumerate(df.schema.fields):
-        length = F.max(F.length(F.col(f.name))) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(None)
-        measures += [
-            F.coalesce(length.cast("bigint"), F.lit(0)).alias(f"__len{i}"),
-            F.count_if(F.col(f.name).isNull()).alias(f"__null{i}"),
-        ]
+        name = "`" + f.name.replace("`", "``") + "`"
+        sized = isinstance(f.dataType, (T.StringType, T.BinaryType))
+        measures.append(f"cast({f'coalesce(max(length({name})), 0)' if sized else '0'} as bigint) as __len{i}")
+        measures.append(f"count_if({name} is null) as __null{i}")
         precision, scale = _digits(f.dataType)
         rows.append(
-            F.struct(
-                F.lit(table).alias("table_code"),
-                F.lit(f.name).alias("column_code"),
-                F.lit(i + 1).alias("ordinal"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                F.lit(f.name in keys).alias("is_key"),
-                F.col(f"__len{i}").alias("max_length"),
-                F.lit(precision).alias("precision"),
-                F.lit(scale).alias("scale"),
-                (F.col(f"__null{i}") > 0).alias("has_null"),
-                F.col(f"__null{i}").alias("null_count"),
-                F.col("__rows").alias("row_count"),
-                F.lit((f.metadata or {}).get("comment", "")).alias("comment"),
-            )
+            f"named_struct('table_code', {_text(table)}, 'column_code', {_text(f.name)}, 'ordinal', {i + 1}, "
+            f"'data_type', {_text(f.dataType.simpleString())}, 'is_key', {str(f.name in keys).lower()}, "
+            f"'max_length', __len{i}, 'precision', {precision}, 'scale', {scale}, 'has_null', __null{i} > 0, "
+            f"'null_count', __null{i}, 'row_count', __rows, 'comment', {_text((f.metadata or {}).get('comment', ''))})"
         )
-    return df.agg(*measures).select(F.inline(F.array(*rows)))
+    return df.selectExpr(*measures).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def profile_tables(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]]) -> DataFrame:
