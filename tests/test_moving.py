@@ -272,3 +272,24 @@ def test_write_split_casts_once(spark, tmp_path):
     good, bad = sinks.write_split(conform.cast_table(df, {"a": "int8"}, ["id"]), str(tmp_path / "t"))
     assert rows(good) == [(1, 5)]
     assert rows(conform.rejected_values(bad, ["id"])) == [(2, "a", "not a number")]
+
+
+def test_streams_without_input(spark, tmp_path):
+    path = str(tmp_path / "nothing")
+    spark.createDataFrame([], "id int, v string, message string, ts timestamp").write.parquet(path)
+    assert feed.drain_to_table(feed.table_stream(spark, path), "none").count() == 0
+    assert feed.liveness_stream(feed.table_stream(spark, path), "id", "ts", "none").count() == 0
+    existing = spark.createDataFrame([(1, "a", 0)], "id int, v string, pull_time bigint")
+    stream = feed.table_stream(spark, path).select("id", "v")
+    assert rows(jobs.scheduled_pull(stream, ["id"], ["v"], "none", existing=existing)) == [(1, "a", 0)]
+    got = jobs.push_on_change(feed.table_stream(spark, path), [PushSpec("a", "t", "", key_columns=("id",))],
+                              lambda s: existing, existing, "none")
+    assert rows(got) == rows(existing)
+
+
+def test_streams_over_an_empty_folder(spark, tmp_path):
+    path = tmp_path / "empty"
+    path.mkdir()
+    stream = spark.readStream.schema("id int, v string").parquet(str(path))
+    assert feed.drain_to_table(stream, "void").count() == 0
+    assert jobs.scheduled_pull(stream, ["id"], ["v"], "void").count() == 0

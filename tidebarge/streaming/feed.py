@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.versions import latest_version
 from ..session import fresh_path
@@ -55,6 +56,13 @@ def drain_batches(stream: DataFrame, label: str, apply, mode: str = "append", ch
     query.awaitTermination()
 
 
+def batch_folder(spark: SparkSession, label: str, schema: T.StructType) -> str:
+    """A folder for one sub-folder per micro-batch, readable before (or without) any batch."""
+    out = fresh_path(spark, label)
+    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
+    return out
+
+
 def change_messages(loads: DataFrame, database: str, table: str, origin: str, ts: str) -> DataFrame:
     """``database:table`` after each load, with the host that did it."""
     return loads.select(
@@ -97,8 +105,8 @@ def liveness_stream(beats: DataFrame, host: str, ts: str, label: str = "liveness
     the newest row per host. State is one row per host.
     """
     spark = beats.sparkSession
-    out = fresh_path(spark, label)
     last = last_heartbeats(beats, host, ts)
+    out = batch_folder(spark, label, last.schema)
 
     def apply(frame: DataFrame, batch_id: int) -> None:
         frame.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from ..plans.movement import last_per_key, replace_rows
 from ..plans.specs import PULL_STAMP, PushSpec
-from ..session import fresh_path
-from .feed import drain_batches
+from .feed import batch_folder, drain_batches
 
 
 def _with_fields(df: DataFrame, **types: T.DataType) -> T.StructType:
@@ -29,7 +28,8 @@ def scheduled_pull(
     the newest version per key; ``existing`` holds one row per key already.
     """
     spark = stream.sparkSession
-    out = fresh_path(spark, label)
+    schema = _with_fields(stream, **{PULL_STAMP: T.LongType()})
+    out = batch_folder(spark, label, schema)
 
     def load(frame: DataFrame, batch_id: int) -> None:
         frame.withColumn(PULL_STAMP, F.lit(first_stamp + batch_id).cast("bigint")).write.mode("overwrite").parquet(
@@ -37,7 +37,7 @@ def scheduled_pull(
         )
 
     drain_batches(stream, label, load)
-    loaded = spark.read.schema(_with_fields(stream, **{PULL_STAMP: T.LongType()})).parquet(out).drop("batch")
+    loaded = spark.read.schema(schema).parquet(out).drop("batch")
     order = [PULL_STAMP, *tiebreak]
     return last_per_key(loaded, keys, order) if existing is None else replace_rows(existing, loaded, keys, order)
 
@@ -61,9 +61,9 @@ def push_on_change(
     if len(keyed) != 1 or not (keys := keyed.pop()):
         raise ValueError("specs must share one non-empty set of key columns")
     spark = target.sparkSession
-    out = fresh_path(spark, label)
     by_source = {s.source_table: (i, s) for i, s in enumerate(specs) if s.enabled}
     schema = _with_fields(target, __spec=T.IntegerType())
+    out = batch_folder(spark, label, schema)
 
     def apply(frame: DataFrame, batch_id: int) -> None:
         name = F.substring_index("message", ":", -1)
