@@ -14,7 +14,7 @@ from ..operators.versions import latest_version
 from ..session import fresh_path
 
 EXPIRY_SECONDS = 60
-FANOUT_SHARDS = 8
+FANOUT_LANES = 32
 
 
 def table_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -73,18 +73,21 @@ def change_messages(loads: DataFrame, database: str, table: str, origin: str, ts
     )
 
 
-def fan_out(changes: DataFrame, hosts: DataFrame, shards: int = FANOUT_SHARDS) -> DataFrame:
+def fan_out(changes: DataFrame, hosts: DataFrame, lanes: int = FANOUT_LANES) -> DataFrame:
     """Each change to every known host but its sender, expired hosts included.
 
-    The output is changes x hosts by definition. It is made by an equi-join on
-    host shards, so neither side has to fit in one place and no sender is hot.
-    Works on a stream of changes.
+    The output is changes x hosts by definition. Changes are dealt over lanes and
+    the host list is copied to each lane, so this is an equi-join with as many
+    keys as lanes: a change is moved once, no sender or host is hot, and Spark
+    broadcasts the host list only when it is small. Works on a stream of changes.
     """
-    dealt = changes.withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    known = hosts.select(F.col("host_id").alias("receiver")).distinct().withColumn(
-        "__shard", F.pmod(F.xxhash64("receiver"), F.lit(shards)).cast("int")
+    dealt = changes.withColumn("__lane", F.pmod(F.xxhash64("change_id"), F.lit(lanes)).cast("int"))
+    known = (
+        hosts.select(F.col("host_id").alias("receiver"))
+        .distinct()
+        .withColumn("__lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     )
-    return dealt.join(known, "__shard").where(F.col("receiver") != F.col("origin")).drop("__shard")
+    return dealt.join(known, "__lane").where(F.col("receiver") != F.col("origin")).drop("__lane")
 
 
 def last_heartbeats(beats: DataFrame, host: str, ts: str) -> DataFrame:
