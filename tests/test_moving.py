@@ -293,3 +293,22 @@ def test_streams_over_an_empty_folder(spark, tmp_path):
     stream = spark.readStream.schema("id int, v string").parquet(str(path))
     assert feed.drain_to_table(stream, "void").count() == 0
     assert jobs.scheduled_pull(stream, ["id"], ["v"], "void").count() == 0
+
+
+def test_plugin_writes_and_replaces(spark, tmp_path):
+    path = str(tmp_path / "written")
+    df = spark.range(10).selectExpr("id", "cast(id as string) name").repartition(3)
+    plugin.write(df, path)
+    plugin.write(df, path)
+    assert plugin.scan(spark, path, ["id", "name"]).count() == 20
+    plugin.write(df.where("id < 4"), path, "overwrite")
+    assert rows(plugin.scan(spark, path, ["name", "id"])) == [(str(i), i) for i in range(4)]
+
+
+def test_plugin_failed_write_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "written")
+    plugin.write(spark.range(5), path)
+    broken = spark.range(9).selectExpr("if(id = 8, raise_error('gone'), id) id")
+    with pytest.raises(Exception):
+        plugin.write(broken, path, "overwrite")
+    assert plugin.scan(spark, path, ["id"]).count() == 5

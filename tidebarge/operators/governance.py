@@ -139,7 +139,7 @@ def endpoints(df: DataFrame, address: str) -> DataFrame:
 
 def protect(df: DataFrame, column: str, key: Column) -> DataFrame:
     """Encrypt a text column (AES-GCM, random IV, base64). ``key`` comes from the caller's secret store."""
-    return df.withColumn(column, F.translate(F.base64(F.aes_encrypt(F.col(column), key)), "\r\n", ""))
+    return df.withColumn(column, F.replace(F.base64(F.aes_encrypt(F.col(column), key)), F.lit("\r\n"), F.lit("")))
 
 
 def reveal(df: DataFrame, column: str, key: Column) -> DataFrame:

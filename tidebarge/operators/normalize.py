@@ -54,7 +54,7 @@ def bit_text(col: Column) -> Column:
 
 def base64_text(col: Column) -> Column:
     """Base64 in one line (Spark puts line breaks into long values)."""
-    return F.translate(F.base64(col), "\r\n", "")
+    return F.replace(F.base64(col), F.lit("\r\n"), F.lit(""))
 
 
 def json_text(col: Column) -> Column:

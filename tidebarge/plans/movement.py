@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import versions
 from ..sinks.tables import load_count, stamp
@@ -27,8 +28,12 @@ class PullResult:
 
 
 def last_per_key(batch: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """The row that would win if the batch were applied in ``order_by`` order (a total order)."""
-    order = [F.col(c).desc() for c in order_by] or [F.lit(0)]
+    """The row that would win if the batch were applied in ``order_by`` order (a total order).
+
+    Without an order any fixed one will do: the rows' hashes, so that a recomputed task picks the same row.
+    """
+    hashable = [f.name for f in batch.schema.fields if not isinstance(f.dataType, T.MapType)]
+    order = [F.col(c).desc() for c in order_by] or [F.xxhash64(*hashable)]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return batch.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 

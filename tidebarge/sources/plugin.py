@@ -1,17 +1,19 @@
 """A pluggable source on Spark's Python data source interface.
 
-A driver says what a source contains (schema), how to split it (partitions) and
-how to read one split (Arrow batches). Spark does the rest. ``ArrowFileSource``
-is the shipped driver: Parquet files, one partition per row group.
+A driver says what a source contains (schema), how to split it (partitions), how
+to read one split and how to write one (Arrow batches). Spark does the rest.
+``ArrowFileSource`` is the shipped driver: Parquet files, one partition per row
+group when read, one file per partition when written.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_schema
 
 
@@ -36,6 +38,8 @@ def _files(path: str) -> list[str]:
 
     filesystem, inner, _ = _open(path)
     info = filesystem.get_file_info(inner)
+    if info.type == fs.FileType.NotFound:
+        return []
     if info.type == fs.FileType.File:
         return [path]
     found = filesystem.get_file_info(fs.FileSelector(inner, recursive=True))
@@ -61,6 +65,47 @@ class RowGroupReader(DataSourceReader):
             yield from parquet.ParquetFile(f).iter_batches(row_groups=[partition.index], columns=self.columns)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    path: str
+
+
+class PartWriter(DataSourceArrowWriter):
+    """Tasks write pending files; the commit renames those of successful tasks, which readers then see."""
+
+    PENDING = ".pending"
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
+
+    def write(self, iterator):
+        filesystem, inner, parquet = _open(self.path)
+        filesystem.create_dir(inner, recursive=True)
+        target = f"{inner}/part-{uuid.uuid4().hex}.parquet{self.PENDING}"
+        writer = None
+        for batch in iterator:
+            writer = writer or parquet.ParquetWriter(target, batch.schema, filesystem=filesystem)
+            writer.write_batch(batch)
+        if writer:
+            writer.close()
+        return Written(target if writer else "")
+
+    def commit(self, messages):
+        filesystem, _, _ = _open(self.path)
+        old = _files(self.path) if self.overwrite else []
+        for m in messages:
+            if m and m.path:
+                filesystem.move(m.path, m.path.removesuffix(self.PENDING))
+        for path in old:
+            filesystem.delete_file(_open(path)[1])
+
+    def abort(self, messages):
+        filesystem, _, _ = _open(self.path)
+        for m in messages:
+            if m and m.path:
+                filesystem.delete_file(m.path)
+
+
 class ArrowFileSource(DataSource):
     """``spark.read.format("arrow_files").option("path", p).option("columns", json_list).load()``"""
 
@@ -72,7 +117,10 @@ class ArrowFileSource(DataSource):
         return json.loads(self.options.get("columns", "null")) or self._file_schema().names
 
     def _file_schema(self):
-        filesystem, inner, parquet = _open(_files(self.options["path"])[0])
+        files = _files(self.options["path"])
+        if not files:
+            raise FileNotFoundError(self.options["path"])
+        filesystem, inner, parquet = _open(files[0])
         with filesystem.open_input_file(inner) as f:
             return parquet.read_schema(f)
 
@@ -85,6 +133,9 @@ class ArrowFileSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return RowGroupReader(self.options["path"], self._columns())
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return PartWriter(self.options["path"], overwrite)
+
 
 def register(spark: SparkSession, driver: type[DataSource] = ArrowFileSource) -> None:
     spark.dataSource.register(driver)
@@ -93,3 +144,8 @@ def register(spark: SparkSession, driver: type[DataSource] = ArrowFileSource) ->
 def scan(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     register(spark)
     return spark.read.format("arrow_files").option("path", path).option("columns", json.dumps(columns)).load()
+
+
+def write(df: DataFrame, path: str, mode: str = "append") -> None:
+    register(df.sparkSession)
+    df.write.format("arrow_files").option("path", path).mode(mode).save()
