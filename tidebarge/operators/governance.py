@@ -99,7 +99,15 @@ def table_names(col: Column, strict_comments: bool = False) -> Column:
     The search runs over the whole statement, so names in nested selects are
     found without descending into parentheses.
     """
-    clean = F.regexp_replace(col, COMMENTS_STRICT if strict_comments else COMMENTS, "")
+    return _names_in(_without_comments(col, strict_comments))
+
+
+def _without_comments(col: Column, strict: bool) -> Column:
+    marked = col.contains("--") | col.contains("/*")
+    return F.when(marked, F.regexp_replace(col, COMMENTS_STRICT if strict else COMMENTS, "")).otherwise(col)
+
+
+def _names_in(clean: Column) -> Column:
     lists = F.regexp_extract_all(clean, F.lit(FROM_LIST), F.lit(1))
     listed = F.flatten(F.transform(lists, lambda x: F.split(x, ",")))
     joined = F.regexp_extract_all(clean, F.lit(JOIN_NAME), F.lit(1))
@@ -110,7 +118,8 @@ def table_names(col: Column, strict_comments: bool = False) -> Column:
 
 def table_lineage(df: DataFrame, statement: str, keep: Sequence[str] = (), strict_comments: bool = False) -> DataFrame:
     """One row per statement and table it reads."""
-    return df.select(*keep, F.explode(table_names(F.col(statement), strict_comments)).alias("table_name"))
+    clean = df.select(*keep, _without_comments(F.col(statement), strict_comments).alias("__clean"))
+    return clean.select(*keep, F.explode(_names_in(F.col("__clean"))).alias("table_name"))
 
 
 def lineage_counts(lineage: DataFrame) -> DataFrame:
