@@ -312,3 +312,25 @@ def test_plugin_failed_write_changes_nothing(spark, tmp_path):
     with pytest.raises(Exception):
         plugin.write(broken, path, "overwrite")
     assert plugin.scan(spark, path, ["id"]).count() == 5
+
+
+@pytest.mark.parametrize(
+    "sql, error",
+    [("select 1 from t where x drop table t", "unsafe"), ("select 1 -- c", "unsafe"), ("select 1", "no table"),
+     ("select * from select", "reserved"), ("select * from `select`", None), ("select id from checked_t where id > ?", None)],
+)
+def test_statements_are_checked_before_they_run(spark, sql, error):
+    from tidebarge.sources.tables import check_select
+
+    if error is None:
+        check_select(spark, sql)
+        return
+    with pytest.raises(ValueError, match=error):
+        run_select(spark, sql)
+
+
+def test_run_select_binds_in_order(spark):
+    got = run_select(
+        spark, "select id from checked_t where id >= ? and id < ?",
+        [FilterCondition("id", "integer", "3"), FilterCondition("id", "integer", "5")], {"checked_t": spark.range(9)})
+    assert rows(got) == [(3,), (4,)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import _TIME_TYPES, typed_literal
+from ..operators.governance import CORE_RESERVED, sql_safety, table_names
 from ..plans.specs import FilterCondition
 
 
@@ -36,10 +37,31 @@ def bind_values(spark: SparkSession, conditions: Iterable[FilterCondition]) -> l
     return list(row)
 
 
+def check_select(spark: SparkSession, sql: str, reserved: Iterable[str] = CORE_RESERVED) -> None:
+    """Refuse a statement that is unsafe, names no table, or names one by a reserved word."""
+    statement = spark.range(1).select(F.lit(sql).alias("sql"))  # the audits' own expressions, on one row
+    hits, names = (
+        sql_safety(statement, "sql").select("hits", table_names(F.col("sql")).alias("names")).first()
+    )
+    if hits:
+        raise ValueError(f"unsafe statement: {', '.join(hits)}")
+    if not names:
+        raise ValueError("the statement names no table")
+    refused = sorted({n.upper() for n in names} & {w.upper() for w in reserved})
+    if refused:
+        raise ValueError(f"table named by a reserved word: {', '.join(refused)}")
+
+
 def run_select(
-    spark: SparkSession, sql: str, conditions: Sequence[FilterCondition] = (), views: dict[str, DataFrame] | None = None
+    spark: SparkSession,
+    sql: str,
+    conditions: Sequence[FilterCondition] = (),
+    views: dict[str, DataFrame] | None = None,
+    check: bool = True,
 ) -> DataFrame:
     """A user SELECT over the session's tables, or over ``views``, with the watermark bound to its marks."""
+    if check:
+        check_select(spark, sql)
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
     args = bind_values(spark, conditions)
