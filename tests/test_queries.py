@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidebarge.bindings import TABLES
+from tidebarge.bindings import ORACLES, QUERIES, TABLES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -22,10 +22,10 @@ def canon(df):
     return sorted(tuple("" if v is None or v != v else repr(v) for v in r) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_matches_sql(spark, db, name):
-    got = entry.queries()[name](spark, FOLDER).toPandas()
-    want = db.execute(entry.oracle_sql()[name]).df()
+    got = QUERIES[name](spark, FOLDER).toPandas()
+    want = db.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canon(got) == canon(want)
 
