@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding.
 
 Each pre-token is merged with a rank queue: a bucket per merge rank holds the places (in a linked
-list of tokens) where a pair of that rank begins, and a bitmap of three levels marks the buckets in
-use. Find-first-set on the bitmaps gives the lowest rank in three steps, however long the pre-token
+list of tokens) where a pair of that rank begins, and a bitmap of two levels marks the buckets in
+use. Find-first-set on both levels gives the lowest rank in two steps, however long the pre-token
 is; entries overtaken by another merge are skipped when they come up. A pre-token of n bytes costs
 O(n) queue steps, where scanning for the best pair would cost O(n^2).
 
 Texts are independent, so encoding is one pass without a shuffle; a worker remembers the ids of
-pre-tokens it has met (at most ``REMEMBERED``).
+pre-tokens it has met (a bounded number).
 
 Null text: no ids. Empty text: no ids. Null ids decode to no bytes. Other columns pass through; a
 column with the name of the result is replaced.
@@ -16,6 +16,7 @@ column with the name of the result is replaced.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .base import bounded_batches, put
 
-#: Pre-tokens a worker remembers before it starts anew (about 200 bytes each).
-REMEMBERED = 1 << 17
+#: Pre-tokens of a generation that a worker remembers (two generations, about 160 bytes each).
+REMEMBERED = 1 << 18
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -43,85 +44,94 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.longest = max(map(len, ranks))
-        # bits of a bitmap word such that three levels cover all ranks
-        self.shift = max(1, -(-max(ranks.values()).bit_length() // 3))
+        # bits of a bitmap word such that two levels of words cover all ranks
+        self.shift = max(1, -(-max(ranks.values()).bit_length() // 2))
+        self.bits = [1 << i for i in range(1 << self.shift)]
 
     def encode(self, piece: bytes) -> list[int]:
-        ranks, longest, s = self.ranks, self.longest, self.shift
-        if (whole := ranks.get(piece)) is not None:
+        rank_of, shift, bits = self.ranks.get, self.shift, self.bits
+        if (whole := rank_of(piece)) is not None:
             return [whole]
-        n, mask = len(piece), (1 << s) - 1
+        n, mask, longest = len(piece), len(bits) - 1, self.longest
         after = list(range(1, n + 1))  # where the token after the one at i begins
         before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the pair that begins at i now; -1: none
+        pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that begins at i; -1: none
+        pair.append(-1)
         buckets: dict[int, list[int]] = {}
-        low: dict[int, int] = {}
-        mid: dict[int, int] = {}
-        top = 0
-
-        def push(at: int, end: int) -> None:
-            nonlocal top
-            rank = ranks.get(piece[at:end], -1) if end - at <= longest else -1
-            pair[at] = rank
-            if rank < 0:
-                return
-            bucket = buckets.get(rank)
-            if bucket:
-                heappush(bucket, at)
-                return
-            buckets[rank] = [at]
-            w, v = rank >> s, rank >> 2 * s
-            low[w] = low.get(w, 0) | 1 << (rank & mask)
-            mid[v] = mid.get(v, 0) | 1 << (w & mask)
-            top |= 1 << v
-
-        for i in range(n - 1):
-            push(i, i + 2)
+        words: dict[int, int] = {}  # lower level: ranks in use
+        top = 0  # upper level: words in use
+        for at, rank in enumerate(pair):
+            if rank >= 0:
+                if bucket := buckets.get(rank):
+                    bucket.append(at)  # ascending, so a heap already
+                else:
+                    buckets[rank] = [at]
+                    w = rank >> shift
+                    words[w] = words.get(w, 0) | bits[rank & mask]
+                    top |= bits[w]
         while top:
-            v = (top & -top).bit_length() - 1
-            w = v << s | ((mid[v] & -mid[v]).bit_length() - 1)
-            rank = w << s | ((low[w] & -low[w]).bit_length() - 1)
+            w = (top & -top).bit_length() - 1
+            word = words[w]
+            rank = w << shift | (word & -word).bit_length() - 1
             bucket = buckets[rank]
-            at = heappop(bucket)
+            at = heappop(bucket) if len(bucket) > 1 else bucket.pop()
             if not bucket:
-                low[w] &= low[w] - 1
-                if not low[w]:
-                    mid[v] &= mid[v] - 1
-                    if not mid[v]:
-                        top &= top - 1
+                words[w] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
             if pair[at] != rank:
                 continue  # overtaken
             gone = after[at]
-            end = after[gone]
-            after[at] = end
-            pair[gone] = -1
+            after[at] = end = after[gone]
+            pair[gone] = pair[at] = -1
+            # the merged token has a new pair on either side
             if end < n:
                 before[end] = at
-                push(at, after[end])
-            else:
-                pair[at] = -1
-            if before[at] >= 0:
-                push(before[at], end)
+                if (stop := after[end]) - at <= longest and (rank := rank_of(piece[at:stop], -1)) >= 0:
+                    pair[at] = rank
+                    if bucket := buckets.get(rank):
+                        heappush(bucket, at)
+                    else:
+                        buckets[rank] = [at]
+                        w = rank >> shift
+                        words[w] = words.get(w, 0) | bits[rank & mask]
+                        top |= bits[w]
+            if (left := before[at]) >= 0:
+                rank = rank_of(piece[left:end], -1) if end - left <= longest else -1
+                pair[left] = rank
+                if rank >= 0:
+                    if bucket := buckets.get(rank):
+                        heappush(bucket, left)
+                    else:
+                        buckets[rank] = [left]
+                        w = rank >> shift
+                        words[w] = words.get(w, 0) | bits[rank & mask]
+                        top |= bits[w]
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            out.append(rank_of(piece[i : after[i]]))
             i = after[i]
         return out
 
 
 class _Remembered(dict):
-    """Ids of a pre-token as int32 bytes, encoded at the first meeting."""
+    """Ids of a pre-token as int32 bytes. Two generations: what is met again outlives what is met once."""
 
     def __init__(self, merger: Merger):
         super().__init__()
         self.merger = merger
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.merger.encode(piece.encode())).tobytes()
+            if len(ids) > 1024:
+                return ids
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        ids = np.array(self.merger.encode(piece.encode()), dtype=np.int32).tobytes()
-        if len(ids) <= 1024:
-            self[piece] = ids
+        self[piece] = ids
         return ids
 
 
@@ -131,8 +141,24 @@ def _encoder(raw: bytes, pattern: str):
 
 
 @lru_cache(maxsize=2)
-def _tokens(raw: bytes) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(raw).items()}
+def _tokens(raw: bytes) -> pa.Array:
+    """Token bytes by id; null where the vocabulary has no such id."""
+    by_id = {rank: token for token, rank in read_ranks(raw).items()}
+    return pa.array([by_id.get(i) for i in range(max(by_id) + 1)], type=pa.large_binary())
+
+
+def decode_ids(ids: pa.ListArray, raw: bytes) -> pa.Array:
+    """Bytes of each list of ids."""
+    flat = ids.flatten()  # null lists have no items
+    tokens = _tokens(raw).take(flat)
+    if tokens.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    _, offsets, data = tokens.buffers()
+    # the bytes of a list lie side by side: only its outer offsets are kept
+    at = np.frombuffer(offsets, dtype=np.int64, count=len(flat) + 1)[ends] if offsets else np.zeros(len(ids) + 1, dtype=np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at.tobytes()), data or pa.py_buffer(b"")]).cast(pa.binary())
 
 
 def encode_texts(texts: list[str | None], raw: bytes, pattern: str) -> list[bytes]:
@@ -168,9 +194,7 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded")
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = _tokens(sent.value)
         for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.array([b"".join(map(tokens.__getitem__, r)) if r else b"" for r in rows], type=pa.binary())
+            yield decode_ids(batch, sent.value)
 
     return put(df, **{out: run(F.col(ids))})
