@@ -16,7 +16,6 @@ column with the name of the result is replaced.
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -31,6 +30,8 @@ from .base import bounded_batches, put
 
 #: Pre-tokens of a generation that a worker remembers (two generations, about 160 bytes each).
 REMEMBERED = 1 << 18
+#: Bytes of a pre-token up to which it is merged together with others.
+SHORT = 48
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -114,30 +115,154 @@ class Merger:
         return out
 
 
-class _Remembered(dict):
-    """Ids of a pre-token as int32 bytes. Two generations: what is met again outlives what is met once."""
+class BatchMerger:
+    """The same queue over many short pre-tokens at once.
 
-    def __init__(self, merger: Merger):
-        super().__init__()
-        self.merger = merger
-        self.older: dict[str, bytes] = {}
+    All pre-tokens lie in one array of places, each closed by a barrier. A pop takes the bucket of the
+    lowest rank and merges one place of every pre-token in it, so each pre-token sees its merges in its
+    own order; places left over go back to the bucket. Few pops serve many pre-tokens, which pays for
+    short ones; a long one would be merged one place at a time, so those take :class:`Merger`.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.shift = max(1, -(-max(ranks.values()).bit_length() // 2))
+        self.wide = max(ranks.values()).bit_length() + 1
+        pairs = [
+            (ranks[token[:i]] << self.wide | ranks[token[i:]], rank)
+            for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks
+        ]
+        pairs.sort()
+        self.keys = np.array([k for k, _ in pairs] + [1 << 62], dtype=np.int64)
+        self.values = np.array([v for _, v in pairs] + [-1], dtype=np.int64)
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens; -1 where a side is a barrier or the pair is no token."""
+        key = np.where((left < 0) | (right < 0), np.int64(-1), left << self.wide | right)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.values[at], -1)
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece (none of them empty) as int32 bytes."""
+        shift, mask = self.shift, (1 << self.shift) - 1
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(lengths + 1)  # the barrier of a piece; place 0 is a barrier too
+        starts = ends - lengths
+        token = np.full(ends[-1] + 1, -1, dtype=np.int64)
+        inside = np.ones(len(token), dtype=bool)
+        inside[0] = inside[ends] = False
+        token[inside] = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        owner = np.zeros(len(token), dtype=np.int64)
+        owner[starts] = 1
+        owner = np.cumsum(owner)
+        after = np.arange(1, len(token) + 1)
+        before = np.arange(-1, len(token) - 1)
+        pair = np.full(len(token), -1, dtype=np.int64)
+        pair[:-1] = self.rank_of(token[:-1], token[1:])
+        buckets: dict[int, list[int]] = {}
+        words: dict[int, int] = {}
+        top = 0
+        order = np.argsort(pair, kind="stable")
+        order = order[np.searchsorted(pair[order], 0) :]
+        cuts = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        for rank, places in zip(pair[order[cuts]].tolist(), np.split(order, cuts[1:]) if len(cuts) else []):
+            buckets[rank] = places.tolist()
+            words[rank >> shift] = words.get(rank >> shift, 0) | 1 << (rank & mask)
+            top |= 1 << (rank >> shift)
+        while top:
+            w = (top & -top).bit_length() - 1
+            word = words[w]
+            rank = w << shift | (word & -word).bit_length() - 1
+            at = np.array(buckets.pop(rank))
+            at = at[pair[at] == rank]  # the others were overtaken
+            if len(at) > 1:
+                at.sort()
+                owners = owner[at]
+                again = owners[1:] == owners[:-1]
+                if again.any():
+                    buckets[rank] = at[1:][again].tolist()
+                    at = np.concatenate((at[:1], at[1:][~again]))
+            if rank not in buckets:
+                words[w] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
+            if not len(at):
+                continue
+            gone = after[at]
+            end = after[gone]
+            after[at], before[end], token[at], pair[gone] = end, at, rank, -1
+            left = before[at]
+            places = np.concatenate((at, left))
+            ranks = self.rank_of(token[places], token[np.concatenate((end, at))])
+            pair[places] = ranks
+            for r, place in zip(ranks.tolist(), places.tolist()):
+                if r >= 0:
+                    if r in buckets:
+                        buckets[r].append(place)
+                    else:
+                        buckets[r] = [place]
+                        w = r >> shift
+                        words[w] = words.get(w, 0) | 1 << (r & mask)
+                        top |= 1 << w
+        # places that still begin a token, piece by piece
+        alive = np.zeros(len(token), dtype=bool)
+        alive[inside] = True
+        merged = np.flatnonzero(inside & (after - np.arange(len(token)) > 1))
+        if len(merged):
+            spans = after[merged] - merged - 1
+            # ends of merged tokens: everything between a start and the next one is gone; dead places keep their
+            # own, older spans, which lie inside the living ones
+            covered = np.zeros(len(token) + 1, dtype=np.int64)
+            np.add.at(covered, merged + 1, 1)
+            np.add.at(covered, merged + 1 + spans, -1)
+            alive &= np.cumsum(covered[:-1]) == 0
+        counts = np.add.reduceat(alive[1:], starts - 1, dtype=np.int64)
+        ids = token[alive].astype(np.int32)
+        out, lo = [], 0
+        for hi in np.cumsum(counts).tolist():
+            out.append(ids[lo:hi].tobytes())
+            lo = hi
+        return out
+
+
+class _Remembered:
+    """Ids of pre-tokens as int32 bytes. Two generations: what is met again outlives what is met once."""
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = array("i", self.merger.encode(piece.encode())).tobytes()
-            if len(ids) > 1024:
-                return ids
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.one, self.many = ranks, Merger(ranks), BatchMerger(ranks)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """``texts``: the pre-tokens of each text."""
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = set().union(*texts).difference(young)
+        found = {p: ids for p in new if (ids := old.get(p)) is not None}
+        young.update(found)
+        short, raw = [], []
+        for piece in new.difference(found):
+            b = piece.encode()
+            if (whole := self.ranks.get(b)) is not None:
+                young[piece] = whole.to_bytes(4, "little")
+            elif len(b) <= SHORT:
+                short.append(piece)
+                raw.append(b)
+            else:
+                young[piece] = np.array(self.one.encode(b), dtype=np.int32).tobytes()
+        if short:
+            young.update(zip(short, self.many.encode(raw)))
+        out = [b"".join(map(young.__getitem__, t)) for t in texts]
+        if any(len(p) > SHORT for p in new):
+            self.young = {p: ids for p, ids in young.items() if len(p) <= SHORT}
+        return out
 
 
 @lru_cache(maxsize=2)
 def _encoder(raw: bytes, pattern: str):
-    return regex.compile(pattern), _Remembered(Merger(read_ranks(raw)))
+    return regex.compile(pattern), _Remembered(read_ranks(raw))
 
 
 @lru_cache(maxsize=2)
@@ -164,7 +289,7 @@ def decode_ids(ids: pa.ListArray, raw: bytes) -> pa.Array:
 def encode_texts(texts: list[str | None], raw: bytes, pattern: str) -> list[bytes]:
     """Ids of each text as int32 bytes."""
     split, remembered = _encoder(raw, pattern)
-    return [b"".join(map(remembered.__getitem__, split.findall(t))) if t else b"" for t in texts]
+    return remembered.encode([split.findall(t) if t else [] for t in texts])
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

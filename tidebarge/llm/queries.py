@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, lines, mixing, quality, simhash
 from .base import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,13 @@ def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+@query("op2_mix_sources")
+def op2(spark, folder):
+    """Words taken of every document."""
+    taken = mixing.copies(table(spark, folder, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 @query("op3_byte_bpe")
 def op3(spark, folder):
     """Token count, digest of the ids and digest of the decoded bytes of every document."""
@@ -50,6 +57,43 @@ def op3(spark, folder):
     )
 
 
+@query(
+    "op4_line_dedup",
+    """
+    with d as (select doc_id, source, text, string_split(text, chr(10)) as ls from documents),
+    totals as (select source, count(*) as total from d group by source),
+    seen as (
+        select distinct doc_id, source, text, trim(unnest(ls)) as line from d
+    ),
+    counts as (select source, line, count(*) as pages from seen where line <> '' group by source, line),
+    drops as (
+        select c.source, c.line from counts c join totals t on c.source is not distinct from t.source
+        where pages >= 5 and pages > total * 0.08::double
+    ),
+    lists as (select source, list(line) as bad from drops group by source)
+    select d.doc_id, coalesce(len(ls), 0)::bigint as n_lines,
+           coalesce(len(list_filter(ls, lambda x: list_contains(bad, trim(x)))), 0)::bigint as n_dropped,
+           case when bad is null then text
+                else array_to_string(list_filter(ls, lambda x: not list_contains(bad, trim(x))), chr(10)) end as text
+    from d left join lists on d.source is not distinct from lists.source
+    """,
+)
+def op4(spark, folder):
+    """Documents without the lines that over 8 % of their source's documents hold (and 5 documents at least)."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    clean = lines.drop_boilerplate(docs, F.col("source"), lines="n_lines", dropped="n_dropped")
+    return clean.select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query("op7_quality")
+def op7(spark, folder):
+    """Scores of both views and of their combination for every document, and whether it is kept."""
+    docs = table(spark, folder, "documents")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    scored = quality.score(docs, model, views=True)
+    return scored.select("doc_id", "text_score", "meta_score", "quality_score", quality.accepted(F.col("quality_score")).alias("keep"))
+
+
 @query("op9_simhash")
 def op9(spark, folder):
     """Fingerprint and component of every document."""
