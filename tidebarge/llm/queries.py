@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, quality, simhash
+from . import bpe, embeddings, lines, mixing, quality, simhash
 from .base import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,13 @@ def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+@query("op1_embedding_dedup")
+def op1(spark, folder):
+    """Links at cosine 0.95 and component of every vector."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return embeddings.dedup(rows).select("vec_id", "n_links", "component_id", "kept")
+
+
 @query("op2_mix_sources")
 def op2(spark, folder):
     """Words taken of every document."""
