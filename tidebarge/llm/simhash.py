@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, cut_lineage, put, without
+from .base import bounded_batches, cut_lineage, put, shuffle_width, without
 from .graph import components
 
 BITS = 64
@@ -91,9 +91,21 @@ def variant_keys(fp: Column, bits: int) -> Column:
     return F.array(*keys)
 
 
+def _first_shared(a: Column, b: Column, bits: int) -> Column:
+    """The first variant (number of the bit taken out) that two fingerprints within ``bits`` share."""
+    out = F.lit(-1)
+    for lo, width in reversed(_segments(bits)):
+        part = F.shiftrightunsigned(a.bitwiseXOR(b), lo).bitwiseAND(F.lit((1 << width) - 1))
+        bit = F.when(part == 0, F.lit(lo)).otherwise(F.bit_count(part - 1) + lo)  # part has one bit at most
+        out = F.when(F.bit_count(part) <= 1, bit).otherwise(out)
+    return out
+
+
 def link_groups(fps: DataFrame, fp: str = "fp", bits: int = 4) -> DataFrame:
     """``(fp, group)`` for every distinct fingerprint; fingerprints linked directly or in a chain share a group."""
-    nodes = cut_lineage(fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct())
+    width = shuffle_width(fps.sparkSession)
+    # small rows that grow into 64 keys each: kept in as many parts as the keys need
+    nodes = cut_lineage(fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct().repartition(width, "fp"))
     index = nodes.select("fp", F.explode(variant_keys(F.col("fp"), bits)).alias("key"))
     met = cut_lineage(
         index.groupBy("key").agg(F.min("fp").alias("p"), F.max("fp").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q")
@@ -116,8 +128,10 @@ def link_groups(fps: DataFrame, fp: str = "fp", bits: int = 4) -> DataFrame:
     open_rows = named.join(main, "key")
     outside = open_rows.where("c <> main").select("key", F.col("fp").alias("a"), F.col("c").alias("ca"))
     others = open_rows.select("key", F.col("fp").alias("b"), F.col("c").alias("cb"))
+    # a pair meets under many keys: only the first of them reports it
+    first_time = F.shiftrightunsigned("key", 57).cast("int") == _first_shared(F.col("a"), F.col("b"), bits) if bits > 1 else F.lit(True)
     crossing = (
-        outside.join(others, "key").where((F.col("ca") != F.col("cb")) & near)
+        outside.join(others, "key").where((F.col("ca") != F.col("cb")) & near & first_time)
         .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     )
     # links between components found so far; both ends stand for all their members
