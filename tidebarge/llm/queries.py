@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lines, mixing, quality, simhash
+from . import bpe, embeddings, lines, mixing, quality, simhash, sketch
 from .base import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,12 @@ def op4(spark, folder):
     return clean.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+@query("op5_sketch")
+def op5(spark, folder):
+    """Fingerprints of every document and of its edited text, and how alike it is to that and to the next document."""
+    return sketch.edited_pairs(table(spark, folder, "documents"))
+
+
 @query("op7_quality")
 def op7(spark, folder):
     """Scores of both views and of their combination for every document, and whether it is kept."""
