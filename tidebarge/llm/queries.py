@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lines, mixing, quality, simhash, sketch
+from . import bpe, embeddings, lines, mixing, quality, shards, simhash, sketch
 from .base import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,15 @@ def op5(spark, folder):
     return sketch.edited_pairs(table(spark, folder, "documents"))
 
 
+@query("op6_shards")
+def op6(spark, folder):
+    """Eight shards of near equal bytes; copies of a text share a shard."""
+    placed = shards.shard_documents(table(spark, folder, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query("op7_quality")
 def op7(spark, folder):
     """Scores of both views and of their combination for every document, and whether it is kept."""
