@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .base import bounded_batches, put
 
 #: Pre-tokens of a generation that a worker remembers (two generations, about 160 bytes each).
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
+#: Pre-tokens that are held and merged at a time (a text's are never parted).
+TOGETHER = 200_000
 #: Bytes of a pre-token up to which it is merged together with others.
 SHORT = 48
 
@@ -139,7 +141,7 @@ class BatchMerger:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of tokens; -1 where a side is a barrier or the pair is no token."""
-        key = np.where((left < 0) | (right < 0), np.int64(-1), left << self.wide | right)
+        key = np.where((left < 0) | (right < 0), np.int64(-1), left.astype(np.int64) << self.wide | right)
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.values[at], -1)
 
@@ -149,16 +151,16 @@ class BatchMerger:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(lengths + 1)  # the barrier of a piece; place 0 is a barrier too
         starts = ends - lengths
-        token = np.full(ends[-1] + 1, -1, dtype=np.int64)
+        token = np.full(ends[-1] + 1, -1, dtype=np.int32)
         inside = np.ones(len(token), dtype=bool)
         inside[0] = inside[ends] = False
         token[inside] = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        owner = np.zeros(len(token), dtype=np.int64)
+        owner = np.zeros(len(token), dtype=np.int32)
         owner[starts] = 1
-        owner = np.cumsum(owner)
-        after = np.arange(1, len(token) + 1)
-        before = np.arange(-1, len(token) - 1)
-        pair = np.full(len(token), -1, dtype=np.int64)
+        owner = np.cumsum(owner, dtype=np.int32)
+        after = np.arange(1, len(token) + 1, dtype=np.int32)
+        before = np.arange(-1, len(token) - 1, dtype=np.int32)
+        pair = np.full(len(token), -1, dtype=np.int32)
         pair[:-1] = self.rank_of(token[:-1], token[1:])
         buckets: dict[int, list[int]] = {}
         words: dict[int, int] = {}
@@ -196,15 +198,15 @@ class BatchMerger:
             places = np.concatenate((at, left))
             ranks = self.rank_of(token[places], token[np.concatenate((end, at))])
             pair[places] = ranks
-            for r, place in zip(ranks.tolist(), places.tolist()):
-                if r >= 0:
-                    if r in buckets:
-                        buckets[r].append(place)
-                    else:
-                        buckets[r] = [place]
-                        w = r >> shift
-                        words[w] = words.get(w, 0) | 1 << (r & mask)
-                        top |= 1 << w
+            made = ranks >= 0
+            for r, place in zip(ranks[made].tolist(), places[made].tolist()):
+                if r in buckets:
+                    buckets[r].append(place)
+                else:
+                    buckets[r] = [place]
+                    w = r >> shift
+                    words[w] = words.get(w, 0) | 1 << (r & mask)
+                    top |= 1 << w
         # places that still begin a token, piece by piece
         alive = np.zeros(len(token), dtype=bool)
         alive[inside] = True
@@ -289,7 +291,14 @@ def decode_ids(ids: pa.ListArray, raw: bytes) -> pa.Array:
 def encode_texts(texts: list[str | None], raw: bytes, pattern: str) -> list[bytes]:
     """Ids of each text as int32 bytes."""
     split, remembered = _encoder(raw, pattern)
-    return remembered.encode([split.findall(t) if t else [] for t in texts])
+    out, some, size = [], [], 0
+    for t in texts:
+        some.append(split.findall(t) if t else [])
+        size += len(some[-1])
+        if size >= TOGETHER:
+            out += remembered.encode(some)
+            some, size = [], 0
+    return out + (remembered.encode(some) if some else [])
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
