@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lines, mixing, quality, shards, simhash, sketch
+from . import bpe, embeddings, lines, mixing, privacy, quality, secrets, shards, simhash, sketch
 from .base import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,8 +116,25 @@ def op7(spark, folder):
     return scored.select("doc_id", "text_score", "meta_score", "quality_score", quality.accepted(F.col("quality_score")).alias("keep"))
 
 
+@query("op8_secret_scan")
+def op8(spark, folder):
+    """Every finding of the documents, by digest, with its probability of being a secret."""
+    found = secrets.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "at", F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), F.col("length").cast("long").alias("length"),
+        "dictionary", "entropy", "probability", "is_secret",
+    )
+
+
 @query("op9_simhash")
 def op9(spark, folder):
     """Fingerprint and component of every document."""
     linked = simhash.link_documents(table(spark, folder, "documents"))
     return linked.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op10_pseudonyms")
+def op10(spark, folder):
+    """Every text with its personal values replaced, and how many there were."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return privacy.pseudonymise(docs, "example key, kept in a secret store elsewhere", replaced="n_replaced").select("doc_id", "n_replaced", "text")
