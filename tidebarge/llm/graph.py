@@ -20,21 +20,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a) != F.col(b))
         .toDF("u", "v", "other").where("other").select("u", "v").distinct()
     )
-    last = None
+    if cur.isEmpty():
+        return cur.toDF("node", "component")
     for _ in range(most_rounds):
         # larger neighbours go under the smallest neighbour
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut_lineage(large.distinct())
+        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # smaller neighbours go under the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         moved = large.join(low, F.col("u") == F.col("w")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         cur = cut_lineage(low.toDF("u", "v").unionByName(moved).distinct())
-        mark = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == last:
+        # done when every node hangs once and nothing hangs under it
+        hangs = cur.select("u", F.lit(1).alias("n"), F.lit(0).alias("top")).unionByName(
+            cur.select(F.col("v").alias("u"), F.lit(0).alias("n"), F.lit(1).alias("top"))
+        )
+        if hangs.groupBy("u").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where("n > 1 or n = 1 and top = 1").isEmpty():
             break
-        last = mark
     else:
         raise RuntimeError("components did not settle")
     top = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -1,10 +1,11 @@
 """SimHash near-dedup with deletion-variant signatures.
 
-A fingerprint has a bit for each of the 64 hash bits that more than half of the document's shingle
-hashes set. Two fingerprints that differ in at most ``bits`` places are cut into ``bits // 2 + 1``
-segments; some segment then differs by one bit at most. So each fingerprint is indexed under every
-segment with every single bit of it taken out (64 keys in all), fingerprints meet in an equality join
-on these keys and are verified on all 64 bits. No pair within the limit is missed.
+A fingerprint has a bit for each of the hash bits that more than half of the document's shingle hashes set: 64
+of them, or several words of 64. It is cut into segments, and indexed under every segment with every single bit
+of it taken out; fingerprints meet in an equality join on these keys, when some segment of theirs differs by
+one bit at most, and are verified on all bits. With ``bits // 2 + 1`` segments no pair within ``bits`` is missed:
+that is :func:`exact_cut`. A cut into fewer, longer segments than that (:func:`wide_cut`) reaches further, at the
+price of pairs whose differences fall on all segments twice.
 
 Equal fingerprints are one node from the start, so groups of copies never enter the index more than
 once. A key shared by many near copies is not expanded into its pairs: all of them are compared with
@@ -15,6 +16,7 @@ fingerprints that are not yet in the key's largest component are compared with t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,151 +30,220 @@ from .graph import components
 BITS = 64
 
 
-def fingerprint_bytes(text: bytes, shingle: int, seed: int) -> int:
-    """The 64-bit fingerprint as a signed number; no word at all: 0."""
-    words = text.lower().split()  # bytes: A-Z only, and exactly the blanks 0x20, 0x09-0x0D
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
+@dataclass(frozen=True)
+class Cut:
+    """How fingerprints are compared: words of 64 bits, most differing bits, segments as (first bit, width)."""
+
+    words: int
+    bits: int
+    segments: tuple[tuple[int, int], ...]
+
+
+def exact_cut(bits: int = 4) -> Cut:
+    """64 bits, at most ``bits`` of them different (2 to 9), no pair missed."""
+    n = bits // 2 + 1
+    at = [BITS * i // n for i in range(n + 1)]
+    return Cut(1, bits, tuple((lo, hi - lo) for lo, hi in zip(at, at[1:])))
+
+
+def wide_cut(similarity: float = 0.8) -> Cut:
+    """128 bits of which a share of ``similarity`` or more are equal, met in one of six segments of 19 bits.
+
+    Of pairs that differ in 15 % of the bits (as shingle sets of Jaccard 0.8 do on average) three in four meet,
+    of pairs that differ in 10 % nineteen in twenty; chains over further copies add to that.
+    """
+    segments = ((0, 19), (19, 19), (38, 19), (64, 19), (83, 19), (102, 19))
+    return Cut(2, int(2 * BITS * (1 - similarity) + 1e-9), segments)
+
+
+def _mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """Further hash bits from a 64-bit hash (the finalizer of splitmix64); word 0 is the hash itself."""
+    if not word:
+        return h
+    h = h + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint_bytes(text: bytes, shingle: int, seed: int, words: int = 1) -> tuple[int, ...]:
+    """The words of the fingerprint as signed numbers; no word at all: zeros."""
+    parts = text.lower().split()  # bytes: A-Z only, and exactly the blanks 0x20, 0x09-0x0D
+    if not parts:
+        return (0,) * words
+    joined = b" ".join(parts)
+    if len(parts) <= shingle:
         hashes = [xxhash.xxh64_intdigest(joined, seed)]
     else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], seed) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
+        hashes = [digest(joined[s:e], seed) for s, e in zip(starts[: len(parts) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
     h = np.array(hashes, dtype=np.uint64)
-    counts = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(h), 4096):
-        counts += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0])
+    out = []
+    for word in range(words):
+        counts = np.zeros(BITS, dtype=np.int64)
+        for i in range(0, len(h), 4096):
+            some = _mixed(h[i : i + 4096], word).view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0]))
+    return tuple(out)
+
+
+def _names(words: int, prefix: str = "fp") -> list[str]:
+    return [prefix if i == 0 else f"{prefix}_{i}" for i in range(words)]
+
 
+def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = 4, seed: int = 42, words: int = 1) -> DataFrame:
+    """Add the fingerprint of ``text`` as longs ``out``, ``out_1`` and so on.
 
-def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """Add the fingerprint of ``text`` (long). Null or blank text: 0; fewer words than a shingle: their whole sequence."""
+    Null or blank text: 0; fewer words than a shingle: their whole sequence.
+    """
     bounded_batches(df.sparkSession)
+    kind = ",".join(f"w{i}:bigint" for i in range(words))
 
-    @F.arrow_udf("long")
+    @F.arrow_udf(f"struct<{kind}>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            raw = batch.cast(pa.binary())
-            yield pa.array([fingerprint_bytes(t.as_py() or b"", shingle, seed) for t in raw], type=pa.int64())
+            rows = [fingerprint_bytes(t.as_py() or b"", shingle, seed, words) for t in batch.cast(pa.binary())]
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in range(words)], names=[f"w{i}" for i in range(words)])
 
-    return put(df, **{out: run(F.col(text))})
+    made = put(df, __fp=run(F.col(text)))
+    return put(made, **{n: F.col(f"__fp.w{i}") for i, n in enumerate(_names(words, out))}).drop("__fp")
 
 
 def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def differing(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+def differing(a: list[Column], b: list[Column]) -> Column:
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
 
 
-def _segments(bits: int) -> list[tuple[int, int]]:
-    """(first bit, width) of the segments."""
-    n = bits // 2 + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
-
-
-def variant_keys(fp: Column, bits: int) -> Column:
-    """The index keys of a fingerprint: bit taken out (6 bits of the key), then the rest of its segment."""
-    keys = []
-    for lo, width in _segments(bits):
-        part = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << width) - 1)) if width < BITS else fp
-        for i in range(width):
-            tag = (lo + i) << 57
-            if width <= 57:
-                rest = part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << i)))
-                keys.append(rest.bitwiseOR(F.lit(tag - (1 << 64) if tag >= 1 << 63 else tag).cast("long")))
-            else:  # bits < 2: one segment of 64 bits; its key is a hash
-                keys.append(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(~(1 << i) if i < 63 else (1 << 63) - 1))))
-    return F.array(*keys)
-
-
-def _first_shared(a: Column, b: Column, bits: int) -> Column:
-    """The first variant (number of the bit taken out) that two fingerprints within ``bits`` share."""
+def _segment(fp: list[Column], lo: int, width: int) -> Column:
+    return F.shiftrightunsigned(fp[lo // BITS], lo % BITS).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def variant_keys(fp: list[Column], segment: tuple[int, int]) -> Column:
+    """The index keys of a segment: number of the bit taken out (from bit 56 of the key), then the rest of the segment."""
+    lo, width = segment
+    whole = (1 << width) - 1
+    return F.array(*[
+        _segment(fp, lo, width).bitwiseAND(F.lit(whole & ~(1 << i))).bitwiseOR(F.lit((lo + i) << 56)) for i in range(width)
+    ])
+
+
+def _first_shared(a: list[Column], b: list[Column], cut: Cut) -> Column:
+    """The first variant (number of the bit taken out) that two fingerprints share; -1: none."""
     out = F.lit(-1)
-    for lo, width in reversed(_segments(bits)):
-        part = F.shiftrightunsigned(a.bitwiseXOR(b), lo).bitwiseAND(F.lit((1 << width) - 1))
+    other = [x.bitwiseXOR(y) for x, y in zip(a, b)]
+    for lo, width in reversed(cut.segments):
+        part = _segment(other, lo, width)
         bit = F.when(part == 0, F.lit(lo)).otherwise(F.bit_count(part - 1) + lo)  # part has one bit at most
         out = F.when(F.bit_count(part) <= 1, bit).otherwise(out)
     return out
 
 
-def link_groups(fps: DataFrame, fp: str = "fp", bits: int = 4) -> DataFrame:
-    """``(fp, group)`` for every distinct fingerprint; fingerprints linked directly or in a chain share a group."""
+def link_groups(fps: DataFrame, cut: Cut) -> DataFrame:
+    """``(fp.., group)`` for every distinct fingerprint; fingerprints linked directly or in a chain share a group.
+
+    ``fps`` has the columns ``fp`` (and ``fp_1``); a fingerprint of two words is known by a 64-bit hash of them.
+    The segments are taken one after the other: a key whose fingerprints are in one group by then is left out.
+    """
+    names = _names(cut.words)
     width = shuffle_width(fps.sparkSession)
-    # small rows that grow into 64 keys each: kept in as many parts as the keys need
-    nodes = cut_lineage(fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct().repartition(width, "fp"))
-    index = nodes.select("fp", F.explode(variant_keys(F.col("fp"), bits)).alias("key"))
+    # small rows that grow into a key for each bit: kept in as many parts as the keys need
+    nodes = fps.select(*names).where("fp is not null").distinct().repartition(width, *names)
+    nodes = cut_lineage(nodes.withColumn("id", F.xxhash64(*names) if cut.words > 1 else F.col("fp")))
+    grouped = nodes.withColumn("c", F.col("id"))
+    for segment in cut.segments:
+        grouped = _link_segment(grouped, nodes, cut, segment)
+    return grouped.select(*names, F.col("c").alias("group"))
+
+
+def _link_segment(grouped: DataFrame, nodes: DataFrame, cut: Cut, segment: tuple[int, int]) -> DataFrame:
+    """``grouped`` (fp.., id, c) with the groups joined that have a link between fingerprints that share a key of the segment."""
+    names = _names(cut.words)
+    col = lambda prefix: [F.col(n) for n in _names(cut.words, prefix)]
+
+    def spelled(rows: DataFrame, of: str, prefix: str) -> DataFrame:
+        """``rows`` with the words of the fingerprint whose id is in column ``of``."""
+        if cut.words == 1:
+            return rows.withColumn(prefix, F.col(of))
+        words = nodes.select(F.col("id").alias("__id"), *[F.col(n).alias(m) for n, m in zip(names, _names(cut.words, prefix))])
+        return rows.join(words, F.col(of) == F.col("__id")).drop("__id")
+
+    def renamed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        new = groups.select(F.col("node").alias("__c"), F.col("component").alias("__new"))
+        return rows.join(new, F.col("c") == F.col("__c"), "left").withColumn("c", F.coalesce("__new", "c")).drop("__c", "__new")
+
+    near = differing(col("x"), col("y")) <= cut.bits
+    index = grouped.select("id", "c", F.explode(variant_keys(col("fp"), segment)).alias("key"))
     met = cut_lineage(
-        index.groupBy("key").agg(F.min("fp").alias("p"), F.max("fp").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q")
-    )
-    near = differing(F.col("a"), F.col("b")) <= bits
-    two = met.where("n = 2").select(F.col("p").alias("a"), F.col("q").alias("b")).where(near)
-    crowd = cut_lineage(index.join(met.where("n > 2").select("key", "p"), "key"))
-    star = crowd.select(F.col("fp").alias("a"), F.col("p").alias("b")).where("a <> b").where(near)
-    first = components(two.unionByName(star))
-    # which component each member of a crowded key is in by now
-    named = cut_lineage(
-        crowd.select("fp", "key").join(first, F.col("fp") == F.col("node"), "left")
-        .select("key", "fp", F.coalesce("component", "fp").alias("c"))
+        index.groupBy("key").agg(
+            F.min("id").alias("p"), F.max("id").alias("q"), F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"),
+            F.min_by("c", "id").alias("a"),
+        ).where("low < high")
     )
+    two = met.where("n = 2").select("p", "q", F.col("low").alias("a"), F.col("high").alias("b"))
+    crowd = cut_lineage(index.join(met.where("n > 2").select("key", "p", "a"), "key"))
+    star = crowd.where("a <> c").select("p", F.col("id").alias("q"), "a", F.col("c").alias("b"))
+    pairs = spelled(spelled(two.unionByName(star).distinct(), "p", "x"), "q", "y")
+    first = components(pairs.where(near).select("a", "b"))
+    named = cut_lineage(renamed(crowd.select("key", "id", "c"), first))
+    # what is left are keys with several groups: their largest one is met by the members of the others only
     sizes = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     main = (
         sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("kinds"))
         .where("kinds > 1").select("key", "main")
     )
-    open_rows = named.join(main, "key")
-    outside = open_rows.where("c <> main").select("key", F.col("fp").alias("a"), F.col("c").alias("ca"))
-    others = open_rows.select("key", F.col("fp").alias("b"), F.col("c").alias("cb"))
+    open_rows = spelled(named.join(main, "key"), "id", "x")
+    outside = open_rows.where("c <> main").select("key", F.col("c").alias("a"), *col("x"))
+    others = open_rows.select("key", F.col("c").alias("b"), *[F.col(n).alias(m) for n, m in zip(_names(cut.words, "x"), _names(cut.words, "y"))])
     # a pair meets under many keys: only the first of them reports it
-    first_time = F.shiftrightunsigned("key", 57).cast("int") == _first_shared(F.col("a"), F.col("b"), bits) if bits > 1 else F.lit(True)
-    crossing = (
-        outside.join(others, "key").where((F.col("ca") != F.col("cb")) & near & first_time)
-        .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    )
-    # links between components found so far; both ends stand for all their members
-    second = components(crossing).select(F.col("node").alias("c"), F.col("component").alias("group"))
-    labelled = nodes.join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("c"))
-    return labelled.join(second, "c", "left").select("fp", F.coalesce("group", "c").alias("group"))
+    first_time = F.shiftrightunsigned("key", 56).cast("int") == _first_shared(col("x"), col("y"), cut)
+    crossing = outside.join(others, "key").where((F.col("a") != F.col("b")) & near & first_time).select("a", "b").distinct()
+    second = components(crossing)
+    return cut_lineage(renamed(renamed(grouped, first), second))
 
 
-def link_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp, component_id)``, a row per row of ``df``.
+def link_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, cut: Cut | None = None, seed: int = 42) -> DataFrame:
+    """``(doc_id, fp.., component_id)``, a row per row of ``df``.
 
     ``component_id`` is the smallest ``doc_id`` among the documents reachable over links (null when the
     whole component has no id). Rows with a null id take part like others; repeated rows are linked by
     their equal fingerprints. An empty table gives an empty result.
     """
-    marked = cut_lineage(
-        fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", shingle, seed).select("doc_id", "fp")
-    )
-    groups = cut_lineage(link_groups(marked, "fp", bits))
-    low = marked.groupBy("fp").agg(F.min("doc_id").alias("low")).join(groups, "fp")
+    cut = cut or exact_cut()
+    names = _names(cut.words)
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    marked = cut_lineage(fingerprints(rows, "text", "fp", shingle, seed, cut.words).select("doc_id", *names))
+    groups = cut_lineage(link_groups(marked, cut))
+    low = marked.groupBy(*names).agg(F.min("doc_id").alias("low")).join(groups, names)
     ids = low.groupBy("group").agg(F.min("low").alias("component_id"))
-    return marked.join(low.select("fp", "group").join(ids, "group").select("fp", "component_id"), "fp", "left")
+    return marked.join(low.select(*names, "group").join(ids, "group").select(*names, "component_id"), names, "left")
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, cut: Cut | None = None, seed: int = 42) -> DataFrame:
     """The rows of ``df`` without near copies: of each component the document with the smallest id stays.
 
-    Rows that repeat an id stay once (the one with the smallest text). Rows of a component without any id
-    stay once too.
+    Rows that repeat an id stay once (the one with the smallest text). Rows of components without any id stay once
+    for each such component.
     """
-    linked = link_documents(df, doc_id, text, shingle, bits, seed)
-    kept = linked.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = df.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    cut = cut or exact_cut()
+    linked = cut_lineage(link_documents(df, doc_id, text, shingle, cut, seed))
+    kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    rows = df.join(kept, F.col(doc_id) == F.col("__id"), "left_semi")
     # ids are co-located by the join; a rank of one is limited before and after the shuffle
     one = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last())
-    named = rows.where(F.col(doc_id).isNotNull()).withColumn("__rank", F.row_number().over(one)).where("__rank = 1").drop("__rank")
-    if kept.where("__id is null").isEmpty():
+    named = rows.withColumn("__rank", F.row_number().over(one)).where("__rank = 1").drop("__rank")
+    lost = linked.where("component_id is null")
+    if lost.isEmpty():
         return named
-    # rows without an id: one per fingerprint of components that have no id at all
-    idless = fingerprints(df.where(F.col(doc_id).isNull()), text, "__fp", shingle, seed)
-    groups = link_groups(linked.where("component_id is null"), "fp", bits).select(F.col("fp").alias("__fp"), F.col("group").alias("__group"))
+    # components in which no document has an id
+    marks = [f"__{n}" for n in _names(cut.words)]
+    idless = fingerprints(df.where(F.col(doc_id).isNull()), text, "__fp", shingle, seed, cut.words)
+    groups = link_groups(lost, cut).toDF(*marks, "__group")
     first = Window.partitionBy("__group").orderBy(F.col(text).asc_nulls_last())
-    rest = idless.join(groups, "__fp").withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
-    return named.unionByName(without(rest, "__fp", "__group", "__rank"))
+    rest = idless.join(groups, marks).withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
+    return named.unionByName(without(rest, *marks, "__group", "__rank"))
