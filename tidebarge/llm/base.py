@@ -13,13 +13,13 @@ __all__ = [
 ]
 
 #: Bytes of one Arrow batch sent to a Python worker; a batch always holds at least one row.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Limit Arrow batches by bytes, so that many long texts in a row fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

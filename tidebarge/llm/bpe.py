@@ -199,11 +199,21 @@ class BatchMerger:
             ranks = self.rank_of(token[places], token[np.concatenate((end, at))])
             pair[places] = ranks
             made = ranks >= 0
-            for r, place in zip(ranks[made].tolist(), places[made].tolist()):
+            ranks, places = ranks[made], places[made]
+            if len(ranks) > 200:  # put places of one rank together
+                order = np.argsort(ranks, kind="stable")
+                ranks, places = ranks[order], places[order]
+                cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+                bounds = [0, *cuts.tolist(), len(ranks)]
+                places = places.tolist()
+                pushed = [(r, places[lo:hi]) for r, lo, hi in zip(ranks[bounds[:-1]].tolist(), bounds, bounds[1:])]
+            else:
+                pushed = [(r, [place]) for r, place in zip(ranks.tolist(), places.tolist())]
+            for r, some in pushed:
                 if r in buckets:
-                    buckets[r].append(place)
+                    buckets[r] += some
                 else:
-                    buckets[r] = [place]
+                    buckets[r] = some
                     w = r >> shift
                     words[w] = words.get(w, 0) | 1 << (r & mask)
                     top |= 1 << w
@@ -301,6 +311,13 @@ def encode_texts(texts: list[str | None], raw: bytes, pattern: str) -> list[byte
     return out + (remembered.encode(some) if some else [])
 
 
+def _listed(parts: list[bytes]) -> pa.ListArray:
+    """Lists of ids from int32 bytes."""
+    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
+
+
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the token ids (array of int) of ``text``.
 
@@ -313,10 +330,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: s
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = encode_texts(batch.to_pylist(), sent.value, pattern)
-            offsets = np.zeros(len(parts) + 1, dtype=np.int32)
-            np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
+            yield _listed(encode_texts(batch.to_pylist(), sent.value, pattern))
 
     return put(df, **{ids: run(F.col(text))})
 
@@ -332,3 +346,18 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded")
             yield decode_ids(batch, sent.value)
 
     return put(df, **{out: run(F.col(ids))})
+
+
+def encode_and_decode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass: the ids do not travel to a second worker."""
+    bounded_batches(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            coded = _listed(encode_texts(batch.to_pylist(), sent.value, pattern))
+            yield pa.StructArray.from_arrays([coded, decode_ids(coded, sent.value)], names=["ids", "decoded"])
+            pa.default_memory_pool().release_unused()
+
+    return put(put(df, __coded=run(F.col(text))), **{ids: F.col("__coded.ids"), out: F.col("__coded.decoded")}).drop("__coded")

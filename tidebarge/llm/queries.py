@@ -54,8 +54,7 @@ def op3(spark, folder):
     """Token count, digest of the ids and digest of the decoded bytes of every document."""
     ranks = rank_file()
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
-    both = bpe.decode(coded, ranks)
+    both = bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids", "decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
