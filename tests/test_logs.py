@@ -92,7 +92,11 @@ def test_json_check_agrees_with_a_second_parser(spark):
 
 def test_watermark_codec(spark):
     df = spark.createDataFrame([(1, '[{"column":"a","dataType":"integer","value":"5"}]'), (2, "[]"), (3, None)], "id int, filter_val string")
-    assert rows(versions.decode_watermarks(df)) == [(1, "a", "integer", "5")]
+    df = df.unionByName(spark.createDataFrame([(4, "oops"), (5, '[{"value":"5"}]'), (6, " ")], df.schema))
+    assert rows(versions.decode_watermarks(df)) == [
+        (1, "a", "integer", "5", None), (2, None, None, None, "no conditions"), (3, None, None, None, "no state"),
+        (4, None, None, None, "unreadable state"), (5, None, None, None, "unreadable state"), (6, None, None, None, "no state"),
+    ]
 
 
 def test_statement_checks(spark):

@@ -44,10 +44,9 @@ def test_batch_sizes(spark, n, want):
     assert [r.rows for r in got] == want and [r.batch_no for r in got] == list(range(len(want)))
 
 
-def test_batch_cap():
-    sinks.check_batch(1000, 65)
-    with pytest.raises(ValueError):
-        sinks.check_batch(1000, 66)
+def test_a_wide_table_goes_in_smaller_statements():
+    assert sinks.rows_per_statement(1000, 65) == 1000 and sinks.rows_per_statement(2000, 47) == 1394
+    assert sinks.rows_per_statement(10, 70_000) == 1
 
 
 @pytest.mark.parametrize("lower, upper, n", [(0, 100, 8), (0, 3, 8), (5, 5, 4), (-10, 10, 3), (0, 100, 1)])
@@ -131,7 +130,11 @@ def test_watermark_filters_reach_the_scan(spark):
 def test_id_list_goes_to_the_scan_or_to_a_semi_join(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     assert "In(o_orderkey, [1,2])" in _scan(filters.in_id_list(orders, "o_orderkey", [1, 2]))
-    assert "LeftSemi" in _scan(filters.in_id_list(orders, "o_orderkey", range(2000)))
+    many = [str(i) for i in range(5000)]
+    text = orders.select(F.col("o_orderkey").cast("string").alias("k"))
+    assert filters.in_id_list(text, "k", many).count() == orders.where("o_orderkey < 5000").count()
+    frame = orders.select("o_orderkey").limit(3)
+    assert "LeftSemi" in filters.in_id_list(orders, "o_orderkey", frame)._jdf.queryExecution().toString()
     assert filters.in_id_list(orders, "o_orderkey", range(1200)).count() == 1200
 
 

@@ -47,7 +47,7 @@ def sql_table_lineage(t: Tables) -> DataFrame:
 @query(
     "reserved_name_audit",
     f"""with {_LINEAGE} select statement_id, table_name,
-    upper(table_name) in ({', '.join(f"'{w}'" for w in governance.CORE_RESERVED)}) is_refused from lineage""",
+    upper(table_name) in ({', '.join(f"'{w}'" for w in governance.RESERVED_WORDS)}) is_refused from lineage""",
 )
 def reserved_name_audit(t: Tables) -> DataFrame:
     return governance.reserved_names(lineage(t), "table_name")

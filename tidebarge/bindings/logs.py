@@ -54,7 +54,7 @@ def typed_filter_values(t: Tables) -> DataFrame:
         ("event_type", F.col("event_type"), F.col("event_type")),
     ]
     text = versions.encode_watermark([(F.lit(c), d, v) for c, d, v in entries])
-    rows = versions.decode_watermarks(t.events.select("event_id", text.alias("filter_val")))
+    rows = versions.decode_watermarks(t.events.select("event_id", text.alias("filter_val"))).drop("reason")
     return filters.typed_values(rows, "data_type", "value").select(
         "event_id", "filter_column", "data_type",
         F.coalesce("string_value", F.lit("")).alias("string_value"),
@@ -83,14 +83,20 @@ def filter_status(t: Tables) -> DataFrame:
 @query(
     "filter_id_list",
     """select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem
-    where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'P') and l_linenumber in (1, 3, 5)""",
+    where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'P') and l_linenumber in (1, 3, 5)
+    and cast(l_orderkey as varchar) not in (select cast(3 * i as varchar) from range(0, 5000) r(i))
+    union all select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem
+    where cast(l_orderkey as varchar) in (select cast(3 * i as varchar) from range(0, 5000) r(i)) and l_linenumber = 2""",
 )
 def filter_id_list(t: Tables) -> DataFrame:
-    lines = filters.in_id_list(t.lineitem, "l_linenumber", [1, 3, 5])
+    """Short and long lists, of numbers and of text, and a frame of ids."""
+    many = [str(3 * i) for i in range(5000)]
+    coded = t.lineitem.withColumn("code", F.col("l_orderkey").cast("string"))
+    listed = filters.in_id_list(coded, "code", many)
+    lines = filters.in_id_list(coded.where(~F.col("code").isin(many)), "l_linenumber", [1, 3, 5])
     open_orders = t.orders.where("o_orderstatus = 'P'").select("o_orderkey")
-    return filters.in_id_list(lines, "l_orderkey", open_orders).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
-    )
+    found = filters.in_id_list(lines, "l_orderkey", open_orders).unionByName(filters.in_id_list(listed, "l_linenumber", [2]))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @query(
@@ -103,9 +109,11 @@ def filter_type_in_date_locate(t: Tables) -> DataFrame:
     return found.select("log_id", "log_time", "log_type", "log_info")
 
 
-@query("skip_hours", "select event_id, user_id from events where hour(ts) not in (1, 2, 3, 23)")
+@query("skip_hours", "select event_id, user_id from events where event_id % 7 = 0 or hour(ts) not in (1, 2, 3, 23)")
 def skip_hours(t: Tables) -> DataFrame:
-    return filters.outside_skip_hours(t.events, "ts", [1, 2, 3, 23]).select("event_id", "user_id")
+    """Every seventh trigger has no time."""
+    timed = t.events.withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
+    return filters.outside_skip_hours(timed, "ts", [1, 2, 3, 23]).select("event_id", "user_id")
 
 
 # --- joins ------------------------------------------------------------------------
@@ -397,11 +405,14 @@ def failure_isolation(t: Tables) -> DataFrame:
 
 @query(
     "keep_latest_log",
-    f"""with {TABLE_LOGS} select job_id, table_id, start_time, status from logs
-    qualify start_time = max(start_time) over (partition by job_id, table_id)""",
+    f"""with {TABLE_LOGS} select coalesce(nullif(job_id, 3), -1) job_id, table_id, start_time, status from logs
+    qualify job_id = 3 or start_time = max(start_time) over (partition by job_id, table_id)""",
 )
 def keep_latest_log(t: Tables) -> DataFrame:
-    return retention.keep_latest(table_logs(t), ["job_id", "table_id"]).select("job_id", "table_id", "start_time", "status")
+    """The logs of one job have lost their owner."""
+    logs = table_logs(t).withColumn("job_id", F.nullif(F.col("job_id"), F.lit(3)))
+    kept = retention.keep_latest(logs, ["job_id", "table_id"])
+    return kept.select(F.coalesce("job_id", F.lit(-1)).alias("job_id"), "table_id", "start_time", "status")
 
 
 @query(
@@ -414,23 +425,35 @@ def delete_one_log(t: Tables) -> DataFrame:
     )
 
 
-@query("delete_before_date", f"with {SYSTEM_LOG} select log_id, log_date from sys_log where log_date >= '2024-01-20'")
+def dated_log(t: Tables) -> DataFrame:
+    """The system log, in which the entries of one day have lost their date."""
+    return system_log(t).withColumn("log_date", F.nullif(F.col("log_date"), F.lit("2024-01-12")))
+
+
+def dated(df: DataFrame) -> DataFrame:
+    return df.select("log_id", F.coalesce("log_date", F.lit("")).alias("log_date"))
+
+
+_DATED = f"with {SYSTEM_LOG}, d as (select log_id, coalesce(nullif(log_date, '2024-01-12'), '') log_date from sys_log)"
+
+
+@query("delete_before_date", f"{_DATED} select * from d where log_date >= '2024-01-20' or log_date = ''")
 def delete_before_date(t: Tables) -> DataFrame:
-    return retention.delete_before_date(system_log(t), "2024-01-20").select("log_id", "log_date")
+    return dated(retention.delete_before_date(dated_log(t), "2024-01-20"))
 
 
-@query("delete_on_date", f"with {SYSTEM_LOG} select log_id, log_date from sys_log where log_date <> '2024-01-20'")
+@query("delete_on_date", f"{_DATED} select * from d where log_date <> '2024-01-20'")
 def delete_on_date(t: Tables) -> DataFrame:
-    return retention.delete_on_date(system_log(t), "2024-01-20").select("log_id", "log_date")
+    return dated(retention.delete_on_date(dated_log(t), "2024-01-20"))
 
 
 @query(
     "keep_n_dates",
-    f"""with {SYSTEM_LOG} select log_id, log_date from sys_log where log_date in
-    (select distinct log_date from sys_log order by 1 desc limit 7)""",
+    f"""{_DATED} select * from d where log_date = '' or log_date in
+    (select distinct log_date from d where log_date <> '' order by 1 desc limit 7)""",
 )
 def keep_n_dates(t: Tables) -> DataFrame:
-    return retention.keep_n_dates(system_log(t), 7).select("log_id", "log_date")
+    return dated(retention.keep_n_dates(dated_log(t), 7))
 
 
 @query(
@@ -456,13 +479,14 @@ def cascade_delete(t: Tables) -> DataFrame:
     logs = table_logs(t).select("job_id", "table_id", "start_time")
     failed = (F.col("event_type") == "error") & (F.col("ts") >= F.lit("2024-01-29").cast("timestamp_ntz"))
     doomed = t.events.where(failed).select(F.col("user_id").alias("job_id")).distinct()
-    left = retention.cascade_delete(
-        doomed, ["job_id"],
-        jobs=logs.select("job_id").distinct(),
-        tables=logs.select("job_id", "table_id").distinct(),
-        job_logs=logs.select("job_id", "start_time").distinct(),
-        table_logs=logs,
-    )
+    # the logs that stay tell which jobs, tables and job logs stay
+    kept = retention.cascade_delete(doomed, ["job_id"], table_logs=logs)["table_logs"]
+    left = {
+        "jobs": kept.select("job_id").distinct(),
+        "tables": kept.select("job_id", "table_id").distinct(),
+        "job_logs": kept.select("job_id", "start_time").distinct(),
+        "table_logs": kept,
+    }
     none = F.lit(0).cast("bigint")
     parts = [
         df.select(

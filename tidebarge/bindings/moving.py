@@ -274,14 +274,22 @@ def order_changes(t: Tables) -> DataFrame:
 @query(
     "push_replace_into",
     """select o_orderkey, o_custkey, case o_orderstatus when 'P' then 'F' else o_orderstatus end o_orderstatus,
-    case o_orderstatus when 'P' then o_totalprice + 1000 else o_totalprice end o_totalprice from orders
-    union all select o_orderkey + 1000000000, o_custkey, o_orderstatus, o_totalprice from orders
-    where o_orderstatus = 'O'""",
+    case o_orderstatus when 'P' then o_totalprice + 1000 else o_totalprice end o_totalprice, false is_reject from orders
+    union all select o_orderkey + 1000000000, o_custkey, o_orderstatus, o_totalprice, false from orders
+    where o_orderstatus = 'O'
+    union all select -1, o_custkey, o_orderstatus, o_totalprice, true from orders where o_custkey % 5 = 0""",
 )
 def push_replace_into(t: Tables) -> DataFrame:
+    """The target after the push, and the batch rows that have no key."""
     spec = PushSpec("changes", "orders", "", key_columns=("o_orderkey",), order_columns=("seq",))
     target = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.lit(0).alias("seq"))
-    return movement.push(spec, order_changes(t), target).drop("seq")
+    lost = t.orders.where("o_custkey % 5 = 0").select(
+        F.lit(None).cast("bigint").alias("o_orderkey"), "o_custkey", "o_orderstatus", "o_totalprice", F.lit(1).alias("seq")
+    )
+    batch = order_changes(t).unionByName(lost)
+    pushed = movement.push(spec, batch, target).withColumn("is_reject", F.lit(False))
+    rejects = movement.null_key_rows(batch, spec.key_columns).withColumn("is_reject", F.lit(True))
+    return pushed.unionByName(rejects).drop("seq").withColumn("o_orderkey", F.coalesce("o_orderkey", F.lit(-1).cast("bigint")))
 
 
 @query(
@@ -386,18 +394,23 @@ def advance_watermark(t: Tables) -> DataFrame:
     return versions.advance_watermark(target, [SINCE, FilterCondition("event_id", "integer", "0")])
 
 
+_CODED = f"""'[{{"column":"ts","dataType":"datetime","value":"' || {sql_ts('ts')} ||
+      '"}},{{"column":"event_id","dataType":"integer","value":"' || id || '"}}]'"""
+
+
 @query(
     "watermark_codec",
-    f"""with e as (select user_id, event_type, max(ts) ts, max(event_id) id from events group by 1, 2)
-    select user_id, event_type, 'ts' filter_column, 'datetime' data_type, {sql_ts('ts')} "value",
-      '[{{"column":"ts","dataType":"datetime","value":"' || {sql_ts('ts')} ||
-      '"}},{{"column":"event_id","dataType":"integer","value":"' || id || '"}}]' filter_val from e
-    union all select user_id, event_type, 'event_id', 'integer', cast(id as varchar),
-      '[{{"column":"ts","dataType":"datetime","value":"' || {sql_ts('ts')} ||
-      '"}},{{"column":"event_id","dataType":"integer","value":"' || id || '"}}]' from e""",
+    f"""with e as (select user_id, event_type, max(ts) ts, max(event_id) id from events group by 1, 2),
+    s as (select *, case user_id % 10 when 3 then 'no list' when 4 then '' else {_CODED} end filter_val from e)
+    select user_id, event_type, filter_val, 'ts' filter_column, 'datetime' data_type, {sql_ts('ts')} "value", '' reason
+      from s where user_id % 10 not in (3, 4)
+    union all select user_id, event_type, filter_val, 'event_id', 'integer', cast(id as varchar), ''
+      from s where user_id % 10 not in (3, 4)
+    union all select user_id, event_type, filter_val, '', '', '',
+      case user_id % 10 when 3 then 'unreadable state' else 'no state' end from s where user_id % 10 in (3, 4)""",
 )
 def watermark_codec(t: Tables) -> DataFrame:
-    """A state per (user, type) encoded to JSON and decoded again."""
+    """A state per (user, type) encoded to JSON and decoded again; some states are empty and some cannot be read."""
     top = t.events.groupBy("user_id", "event_type").agg(F.max("ts").alias("ts"), F.max("event_id").alias("id"))
     text = versions.encode_watermark(
         [
@@ -405,8 +418,11 @@ def watermark_codec(t: Tables) -> DataFrame:
             (F.lit("event_id"), F.lit("integer"), F.col("id").cast("string")),
         ]
     )
-    state = top.select("user_id", "event_type", text.alias("filter_val"))
-    return versions.decode_watermarks(state.withColumn("coded", F.col("filter_val")), "coded")
+    kind = F.col("user_id") % 10
+    state = top.select("user_id", "event_type", F.when(kind == 3, "no list").when(kind == 4, "").otherwise(text).alias("filter_val"))
+    decoded = versions.decode_watermarks(state.withColumn("coded", F.col("filter_val")), "coded")
+    names = ["filter_column", "data_type", "value", "reason"]
+    return decoded.withColumns({c: F.coalesce(c, F.lit("")) for c in names})
 
 
 @query(

@@ -28,8 +28,8 @@ FLOAT32_MAX = 3.4028234663852886e38
 SIGNED_TYPES = {8: "tinyint", 16: "smallint", 32: "int", 64: "bigint"}
 UNSIGNED_TYPES = {8: "smallint", 16: "int", 32: "bigint", 64: "decimal(20,0)"}
 
-FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-FLOAT_SPECIAL = r"(?i)^([+-]?inf(inity)?|nan)$"
+FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+FLOAT_SPECIAL = r"(?i)^([+-]?inf(inity)?|nan)\z"
 
 Cast = tuple[Column, Column]
 
@@ -87,12 +87,12 @@ def _to_integer(col: Column, kind: str, low: int, high: int, dtype: str, pattern
 
 def cast_signed(col: Column, bits: int, kind: str = "text") -> Cast:
     """int8/16/32/64. Text is trimmed, floats must be whole, ranges are checked."""
-    return _to_integer(col, kind, -(2 ** (bits - 1)), 2 ** (bits - 1) - 1, SIGNED_TYPES[bits], r"^[+-]?[0-9]+$")
+    return _to_integer(col, kind, -(2 ** (bits - 1)), 2 ** (bits - 1) - 1, SIGNED_TYPES[bits], r"^[+-]?[0-9]+\z")
 
 
 def cast_unsigned(col: Column, bits: int, kind: str = "text") -> Cast:
     """uint8/16/32/64 in the next wider Spark type; negatives are rejected and text takes no sign."""
-    return _to_integer(col, kind, 0, 2**bits - 1, UNSIGNED_TYPES[bits], r"^[0-9]+$")
+    return _to_integer(col, kind, 0, 2**bits - 1, UNSIGNED_TYPES[bits], r"^[0-9]+\z")
 
 
 def cast_float(col: Column, bits: int = 64, kind: str = "text") -> Cast:
@@ -144,7 +144,7 @@ def _shifted_digits(text: Column) -> Column:
     """``d.dddE±n`` with n outside -3..26, written out."""
     sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     mantissa = F.regexp_extract(text, r"^-?([0-9.]+)", 1)
-    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    exponent = F.regexp_extract(text, r"E(-?[0-9]+)\z", 1).try_cast("int")
     fraction = F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
     digits = F.concat(F.substring_index(mantissa, ".", 1), fraction)
     large = F.concat(digits, F.repeat(F.lit("0"), exponent - F.length(fraction)))
@@ -184,7 +184,7 @@ def decimal_to_scaled_int(col: Column, scale: int) -> Cast:
     number = joined.try_cast("bigint")
     reason = (
         F.when(col.rlike(r"\..*\."), F.lit("more than one decimal point"))
-        .when(~col.rlike(r"^[+-]?[0-9]*\.?[0-9]*$") | ~joined.rlike(r"[0-9]"), F.lit(NOT_A_NUMBER))
+        .when(~col.rlike(r"^[+-]?[0-9]*\.?[0-9]*\z") | ~joined.rlike(r"[0-9]"), F.lit(NOT_A_NUMBER))
         .when(F.length(fraction) > scale, F.lit("fraction longer than scale"))
         .when(col.isNotNull() & number.isNull(), F.lit(OUT_OF_RANGE))
     )
@@ -197,7 +197,7 @@ def cast_decimal(col: Column, precision: int, scale: int, kind: str = "text") ->
     fraction = F.when(text.contains("."), F.rtrim(F.substring_index(text, ".", -1), F.lit("0"))).otherwise(F.lit(""))
     number = text.try_cast(f"decimal({precision},{scale})")
     reason = (
-        F.when(~text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), F.lit(NOT_A_NUMBER))
+        F.when(~text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z"), F.lit(NOT_A_NUMBER))
         .when(F.length(fraction) > scale, F.lit("fraction longer than scale"))
         .when(text.isNotNull() & number.isNull(), F.lit(OUT_OF_RANGE))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .casts import Cast
 
 UNREADABLE = "not a time"
+TOO_FAR = "time out of range"
 
 # Accepted layouts, grouped by shape. Fixed values.
 ISO_T = r"^\d{4}-\d{2}-\d{2}T\d{1,2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})?\z"
@@ -22,6 +23,8 @@ RFC850 = (
 )
 
 MILLIS_ABOVE = 10**12
+# what a timestamp in microseconds can hold
+MOST_SECONDS, MOST_MILLIS = 9223372036853, 9223372036854775
 
 
 def _stamp(text: Column) -> Column:
@@ -45,29 +48,32 @@ def parse_time(col: Column, kind: str = "text") -> Cast:
     """Timestamp from text or numbers.
 
     Numbers are epoch seconds. Whole-number text is epoch milliseconds above
-    10^12, else seconds. Other text must fit one of the known layouts.
+    10^12, else seconds. Other text must fit one of the known layouts. Numbers that a
+    timestamp cannot hold are rejected as out of range.
     """
     no_reason = F.lit(None).cast("string")
     if kind == "time":
         return col.cast("timestamp"), no_reason
     if kind in ("integer", "float"):
         seconds = col.try_cast("bigint")
-        fits = F.abs(seconds.cast("decimal(20,0)")) <= MILLIS_ABOVE
+        fits = seconds.between(-MOST_SECONDS, MOST_SECONDS)
         value = F.when(fits, F.timestamp_seconds(F.when(fits, seconds)))
-        return value, F.when(col.isNotNull() & value.isNull(), F.lit(UNREADABLE))
-    number = F.when(col.rlike(r"^[+-]?\d+\z"), col.try_cast("bigint"))
-    seconds = F.when((number <= MILLIS_ABOVE) & (number >= -MILLIS_ABOVE), number)
-    millis = F.when((number > MILLIS_ABOVE) & (number < 9 * 10**15), number)
+        reason = F.when(seconds.isNull() & F.isnan(col.cast("double")), F.lit(UNREADABLE)).otherwise(F.lit(TOO_FAR))
+        return value, F.when(col.isNotNull() & value.isNull(), reason)
+    whole = col.rlike(r"^[+-]?\d+\z")
+    number = F.when(whole, col.try_cast("bigint"))
+    seconds = F.when((number <= MILLIS_ABOVE) & (number >= -MOST_SECONDS), number)
+    millis = F.when((number > MILLIS_ABOVE) & (number <= MOST_MILLIS), number)
     zone, dashed = F.substring_index(col, " ", -1), F.substring_index(col, ", ", -1)
     # each shape is tried only where its pattern matches, so a row pays for one parse
     value = (
-        F.when(col.rlike(r"^[+-]?\d+\z"), F.coalesce(F.timestamp_millis(millis), F.timestamp_seconds(seconds)))
+        F.when(whole, F.coalesce(F.timestamp_millis(millis), F.timestamp_seconds(seconds)))
         .when(col.rlike(ISO_T) | col.rlike(ISO_BLANK) | col.rlike(ISO_DATE), _stamp(col))
         .when(col.rlike(CJK), _stamp(F.regexp_replace(col, CJK, "$1-$2-$3 $4:$5:$6")))
         .when(col.rlike(RFC822), _named_month(F.substring_index(col, " ", 4), "dd MMM yy H:mm", zone))
         .when(col.rlike(RFC850), _named_month(F.substring_index(dashed, " ", 2), "dd-MMM-yy H:mm:ss[.SSSSSSSSS]", zone))
     )
-    return value, F.when(col.isNotNull() & value.isNull(), F.lit(UNREADABLE))
+    return value, F.when(col.isNotNull() & value.isNull(), F.when(whole, F.lit(TOO_FAR)).otherwise(F.lit(UNREADABLE)))
 
 
 def time_spent(start: Column, stop: Column) -> Column:

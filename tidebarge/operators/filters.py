@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..plans.specs import FilterCondition
 
-ID_LITERALS = 1000
-
 _FILTER_TYPES = {"string": "string", "integer": "bigint", "float": "double"}
 _TIME_TYPES = ("date", "datetime", "timestamp")
 
@@ -36,9 +34,15 @@ def since(df: DataFrame, conditions: Iterable[FilterCondition], inclusive: bool
     """Rows after (or from) the watermark on every condition column.
 
     The value is a folded constant compared with the bare column, so the filter
-    reaches the scan.
+    reaches the scan. A value that is no value of its type, or an unknown type, is an error.
     """
+    conditions = list(conditions)
     types = dict(df.dtypes)
+    # one row of configuration: a value that cannot be read must not look like a watermark without rows
+    values = df.sparkSession.range(1).select(*[typed_literal(c).alias(f"v{i}") for i, c in enumerate(conditions)]).first()
+    for c, v in zip(conditions, values):
+        if v is None:
+            raise ValueError(f"cannot read {c.value!r} as {c.data_type}")
 
     def bound(c: FilterCondition) -> Column:
         # compare in the column's own type: a cast on the column would block pushdown
@@ -71,14 +75,10 @@ def with_status(df: DataFrame, status: str | None, column: str = "status") -> Da
 
 
 def in_id_list(df: DataFrame, column: str, ids) -> DataFrame:
-    """Rows whose id is in a list (pushed to the scan) or in a frame of ids (semi join)."""
+    """Rows whose id is in a list (pushed to the scan) or in a frame of ids (semi join); the caller chooses by what it passes."""
     if isinstance(ids, DataFrame):
         return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi").select(*df.columns)
-    ids = list(ids)
-    if len(ids) > ID_LITERALS:
-        frame = df.sparkSession.createDataFrame([(i,) for i in ids], f"{column} bigint")
-        return df.join(frame, column, "left_semi").select(*df.columns)
-    return df.where(F.col(column).isin(ids))
+    return df.where(F.col(column).isin(list(ids)))
 
 
 def system_log(df: DataFrame, log_date: str, types: Sequence[str], locate: str) -> DataFrame:
@@ -88,5 +88,5 @@ def system_log(df: DataFrame, log_date: str, types: Sequence[str], locate: str)
 
 
 def outside_skip_hours(df: DataFrame, column: str, hours: Sequence[int]) -> DataFrame:
-    """Drop triggers that fall into a listed hour (UTC): such a run moves nothing."""
-    return df if not hours else df.where(~F.hour(column).isin(list(hours)))
+    """Drop triggers that fall into a listed hour (UTC): such a run moves nothing. A trigger without a time stays."""
+    return df if not hours else df.where(~F.hour(column).isin(list(hours)) | F.col(column).isNull())

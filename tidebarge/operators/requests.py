@@ -52,7 +52,7 @@ def latency_by(df: DataFrame, group: str, start: str, stop: str) -> DataFrame:
     return timed.groupBy(group).agg(
         F.count("__us").alias("requests"),
         F.sum("__us").cast("bigint").alias("total_us"),
-        F.floor(F.sum("__us") / F.count("__us")).cast("bigint").alias("mean_us"),
+        F.expr("sum(__us) div count(__us)").cast("bigint").alias("mean_us"),
         F.max("__us").alias("max_us"),
     )
 

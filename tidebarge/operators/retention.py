@@ -1,4 +1,4 @@
-"""Deletes, written as the rows to keep."""
+"""Deletes, written as the rows to keep. What a comparison with NULL leaves open is not deleted."""
 
 from __future__ import annotations
 
@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def keep_latest(logs: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Only the newest log of each owner. The maxima are pre-aggregated; a hot owner is not gathered in one task."""
+    """Only the newest log of each owner; a log without an owner stays. The maxima are pre-aggregated; a hot owner is not gathered in one task."""
     newest = logs.groupBy(*ids).agg(F.max("start_time").alias("start_time"))
-    return logs.join(newest, [*ids, "start_time"], "left_semi").select(*logs.columns)
+    older = F.col("l.start_time") < F.col("n.start_time")
+    for c in ids:
+        older = older & (F.col(f"l.{c}") == F.col(f"n.{c}"))
+    return logs.alias("l").join(newest.alias("n"), older, "left_anti").select(*logs.columns)
 
 
 def delete_keys(df: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -27,17 +30,18 @@ def delete_one(df: DataFrame, key: dict[str, object]) -> DataFrame:
 
 
 def delete_before_date(df: DataFrame, date: str, column: str = "log_date") -> DataFrame:
-    return df.where(F.col(column) >= date)
+    return df.where((F.col(column) >= date) | F.col(column).isNull())
 
 
 def delete_on_date(df: DataFrame, date: str, column: str = "log_date") -> DataFrame:
-    return df.where(F.col(column) != date)
+    return df.where((F.col(column) != date) | F.col(column).isNull())
 
 
 def keep_n_dates(df: DataFrame, n: int, column: str = "log_date") -> DataFrame:
-    """Rows of the ``n`` newest dates present. The broadcast side has at most ``n`` rows."""
-    newest = df.select(column).distinct().orderBy(F.col(column).desc()).limit(n)
-    return df.join(F.broadcast(newest), column, "left_semi").select(*df.columns)
+    """Rows of the ``n`` newest dates present, and rows without a date. The broadcast side has at most ``n`` rows."""
+    newest = df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(F.col(column).desc()).limit(n)
+    marked = df.join(F.broadcast(newest.withColumn("__new", F.lit(True))), column, "left")
+    return marked.where(F.col("__new") | F.col(column).isNull()).select(*df.columns)
 
 
 def clear_user_log(df: DataFrame, user_id: int, log_id: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.specs import PULL_STAMP, FilterCondition
 
@@ -47,12 +48,13 @@ def drop_oldest_version(df: DataFrame, keys: Sequence[str], stamp: str = PULL_ST
 def latest_version(
     df: DataFrame, keys: Sequence[str], stamp: str = PULL_STAMP, tiebreak: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per key: the newest stamp, ties broken by ``tiebreak`` descending. NULL is one key.
+    """One row per key: the newest stamp, ties broken by ``tiebreak`` descending, then by the row's hash. NULL is one key.
 
     ``rank = 1`` lets Spark put a group limit before the shuffle, so each map
     task sends at most one row per key and a hot key costs no more than any other.
     """
-    order = [F.col(stamp).desc(), *[F.col(c).desc() for c in tiebreak]]
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    order = [F.col(stamp).desc(), *[F.col(c).desc() for c in tiebreak], F.xxhash64(*hashable)]
     return (
         df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
         .where("__rank = 1")
@@ -89,12 +91,26 @@ def advance_watermark(target: DataFrame, state: Iterable[FilterCondition]) -> Da
 
 
 def decode_watermarks(df: DataFrame, column: str = "filter_val") -> DataFrame:
-    """A state table with JSON text to one row per condition."""
-    return df.withColumn("__c", F.explode(F.from_json(column, CONDITIONS_SCHEMA))).select(
+    """A state table with JSON text to one row per condition.
+
+    A state without conditions keeps one row, and its ``reason`` says why: no state, no conditions, or text that
+    is no list of conditions. A table whose state cannot be read is not taken for one that has none.
+    """
+    parsed = df.withColumn("__p", F.from_json(column, CONDITIONS_SCHEMA))
+    no_name = F.exists("__p", lambda c: c["column"].isNull())
+    reason = (
+        F.when(F.trim(F.coalesce(F.col(column), F.lit(""))) == "", F.lit("no state"))
+        .when(F.col("__p").isNull() | no_name, F.lit("unreadable state"))
+        .when(F.size("__p") == 0, F.lit("no conditions"))
+    )
+    parsed = parsed.withColumn("reason", reason)
+    conditions = F.when(F.col("reason").isNull(), F.col("__p"))
+    return parsed.withColumn("__c", F.explode_outer(conditions)).select(
         *[c for c in df.columns if c != column],
         F.col("__c.column").alias("filter_column"),
         F.col("__c.dataType").alias("data_type"),
         F.col("__c.value").alias("value"),
+        "reason",
     )
 
 

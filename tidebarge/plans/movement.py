@@ -1,8 +1,8 @@
 """Pull and push: whole table movements as lazy plans over frames.
 
 Neither function writes or counts by itself; the caller writes the returned
-frames (see ``sinks.tables``). Both are idempotent: pulling or pushing the same
-rows twice gives the same table as once.
+frames (see ``sinks.tables``). With keys both are idempotent: pulling or pushing the
+same rows twice gives the same table as once. A pull with a watermark and without keys appends.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,25 +27,37 @@ class PullResult:
     target: DataFrame
     watermark: DataFrame | None
     moved: DataFrame
+    rejects: DataFrame | None = None
 
 
 def last_per_key(batch: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """The row that would win if the batch were applied in ``order_by`` order (a total order).
+    """The row that would win if the batch were applied in ``order_by`` order.
 
-    Without an order any fixed one will do: the rows' hashes, so that a recomputed task picks the same row.
+    Ties are settled by the rows' hashes, so that every run and every partitioning picks the same row.
     """
     hashable = [f.name for f in batch.schema.fields if not isinstance(f.dataType, T.MapType)]
-    order = [F.col(c).desc() for c in order_by] or [F.xxhash64(*hashable)]
+    order = [*[F.col(c).desc() for c in order_by], F.xxhash64(*hashable)]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return batch.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def null_key_rows(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that a keyed replace cannot place: a key column is NULL. All of them are rejects, none goes to the target."""
+    return batch.where(reduce(or_, [F.col(k).isNull() for k in keys]))
+
+
+def _keyed(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return batch.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+
+
 def replace_rows(target: DataFrame, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """Keyed replace: a batch row takes the place of the whole old row with its key.
 
     The target is only anti-joined with the batch's keys, so with a small batch
-    it is not shuffled at all. NULL keys never match (``key_integrity`` reports them).
+    it is not shuffled at all. Batch rows with a NULL key are left out (see ``null_key_rows``); what the target has
+    stays, also several versions of a key that the batch does not touch.
     """
+    batch = _keyed(batch, keys)
     newest = last_per_key(batch, keys, order_by)
     # distinct keys collapse before the shuffle, so a key the batch repeats often stays cheap
     kept = target.join(batch.select(*keys).distinct(), list(keys), "left_anti")
@@ -65,19 +79,25 @@ def pull(
     """
     loaded = stamp(rows, pull_time)
     moved = load_count(rows)
+    rejects = null_key_rows(loaded, spec.key_columns) if spec.key_columns else None
+    # all rows of a run share its stamp: the newest is the one furthest by the watermark
+    order = [*spec.tiebreak, *[c.column for c in spec.filter_val or () if c.column not in spec.tiebreak]]
     if not spec.filter_val:
-        return PullResult(loaded, None, moved)
+        fresh = last_per_key(_keyed(loaded, spec.key_columns), spec.key_columns, order) if spec.key_columns else loaded
+        return PullResult(fresh, None, moved, rejects)
+    if spec.key_columns:
+        loaded = _keyed(loaded, spec.key_columns)
     everything = loaded if target is None else target.unionByName(loaded)
     if not spec.key_columns:
         merged = everything
     elif dedup == "oldest":
         merged = versions.drop_oldest_version(everything, spec.key_columns)
     elif target is None:
-        merged = versions.latest_version(loaded, spec.key_columns, PULL_STAMP, spec.tiebreak)
+        merged = versions.latest_version(loaded, spec.key_columns, PULL_STAMP, order)
     else:
         # earlier pulls left one row per key in the target: only the batch needs ranking
-        merged = replace_rows(target, loaded, spec.key_columns, [PULL_STAMP, *spec.tiebreak])
-    return PullResult(merged, versions.advance_watermark(merged, spec.filter_val), moved)
+        merged = replace_rows(target, loaded, spec.key_columns, [PULL_STAMP, *order])
+    return PullResult(merged, versions.advance_watermark(merged, spec.filter_val), moved, rejects)
 
 
 def push(spec: PushSpec, rows: DataFrame, target: DataFrame) -> DataFrame:

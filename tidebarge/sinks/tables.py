@@ -52,7 +52,8 @@ def swap_in(spark: SparkSession, table: str, df: DataFrame, new_location: str) -
     """
     df.write.mode("error").parquet(new_location)
     if spark.catalog.tableExists(table):
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{new_location}'")
+        place = new_location.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{place}'")
         spark.catalog.refreshTable(table)
     else:
         spark.catalog.createTable(table, path=new_location, source="parquet")
@@ -80,10 +81,9 @@ def emptied(df: DataFrame) -> DataFrame:
     return df.where(F.lit(False))
 
 
-def check_batch(batch: int, columns: int) -> None:
-    """A prepared statement takes fewer than 65535 values."""
-    if batch * columns >= PLACEHOLDER_CAP:
-        raise ValueError(f"batch of {batch} rows x {columns} columns reaches {PLACEHOLDER_CAP} placeholders")
+def rows_per_statement(batch: int, columns: int) -> int:
+    """Rows of one prepared statement, which takes fewer than 65535 values: the batch, or as many as fit."""
+    return max(1, min(batch, (PLACEHOLDER_CAP - 1) // max(columns, 1)))
 
 
 def batch_sizes(df: DataFrame, batch: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.specs import ColumnDescriptor
 from ..operators.conform import create_table_column_types
-from ..sinks.tables import check_batch
+from ..sinks.tables import rows_per_statement
 
 
 def read_query(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
@@ -56,7 +56,6 @@ def write_truncate_insert(
     df: DataFrame, url: str, table: str, batch: int, columns: Sequence[ColumnDescriptor] = (), **options: str
 ) -> None:
     """Push to a table without a primary key: empty it, then insert everything."""
-    check_batch(batch, len(df.columns))
     writer = df.write.format("jdbc").options(
         url=url, dbtable=table, truncate="true", batchsize=str(batch), **options
     )
@@ -102,6 +101,6 @@ def write_replace(
     df: DataFrame, connect: Callable[[], object], table: str, batch: int, mark: str = "?", writers: int = 8
 ) -> None:
     """Push to a table with a primary key. ``df`` holds one row per key; ``writers`` bounds open connections."""
-    check_batch(batch, len(df.columns))
+    batch = rows_per_statement(batch, len(df.columns))
     # a shuffle, so that only the writing is bound to this few tasks, not the work before it
     df.repartition(writers).foreachPartition(replace_partition(connect, table, df.columns, batch, mark))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import _TIME_TYPES, typed_literal
-from ..operators.governance import CORE_RESERVED, sql_safety, table_names
+from ..operators.governance import RESERVED_WORDS, sql_safety, table_names
 from ..plans.specs import FilterCondition
 
 
@@ -37,7 +37,7 @@ def bind_values(spark: SparkSession, conditions: Iterable[FilterCondition]) -> l
     return list(row)
 
 
-def check_select(spark: SparkSession, sql: str, reserved: Iterable[str] = CORE_RESERVED) -> None:
+def check_select(spark: SparkSession, sql: str, reserved: Iterable[str] = RESERVED_WORDS) -> None:
     """Refuse a statement that is unsafe, names no table, or names one by a reserved word."""
     statement = spark.range(1).select(F.lit(sql).alias("sql"))  # the audits' own expressions, on one row
     hits, names = (
