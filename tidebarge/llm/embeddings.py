@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .base import bounded_batches, cut_lineage
 from .graph import components
 
-#: Vectors the centres are fitted on, vectors aimed at per cell, and most centres.
-SAMPLE, CELL, CENTRES = 20_000, 128, 1024
+#: Vectors the centres are fitted on, and most centres.
+SAMPLE, CENTRES = 20_000, 1024
 #: Rows of a block on either side.
 BLOCK = 2048
 
@@ -46,6 +46,11 @@ def spherical_kmeans(x: np.ndarray, k: int, steps: int = 8) -> np.ndarray:
     return centres
 
 
+def centres_for(n: int) -> int:
+    """Centres for ``n`` vectors: half the square root, so that cells and the guests of a vector both grow slowly."""
+    return min(CENTRES, max(1, round(math.sqrt(n) / 2)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal-length lists as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -153,10 +158,10 @@ def links(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", l
     counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(16).collect()}
     centres = {}
     for dim, n in counts.items():
-        if n > 2 * CELL:
+        if centres_for(n) > 1:
             picked = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
             x = _matrix(picked.column("v").combine_chunks())
-            centres[dim] = spherical_kmeans(unit_rows(x / np.abs(x).max(axis=1, keepdims=True)), min(CENTRES, n // CELL))
+            centres[dim] = spherical_kmeans(unit_rows(x / np.abs(x).max(axis=1, keepdims=True)), centres_for(n))
     placed = cut_lineage(_assign(rows, centres, near))
     sizes = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("cell") == F.col("home")).cast("long")).alias("own"))
     blocks = cut_lineage(sizes.select("dim", "cell", F.ceil(F.col("own") / BLOCK).cast("int").alias("a"), F.ceil(F.col("all") / BLOCK).cast("int").alias("b")))

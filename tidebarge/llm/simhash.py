@@ -8,9 +8,10 @@ that is :func:`exact_cut`. A cut into fewer, longer segments than that (:func:`w
 price of pairs whose differences fall on all segments twice.
 
 Equal fingerprints are one node from the start, so groups of copies never enter the index more than
-once. A key shared by many near copies is not expanded into its pairs: all of them are compared with
-the smallest fingerprint of the key first, the links found are contracted, and then only
-fingerprints that are not yet in the key's largest component are compared with the others.
+once, and the index holds the distinct values of a segment, so neither do many fingerprints that share one. Values
+shared by many near copies are not expanded into pairs: all are compared with the smallest fingerprint first,
+the links found are contracted, and then only fingerprints that are not yet in the value's largest group are
+compared with the others.
 """
 
 from __future__ import annotations
@@ -108,8 +109,8 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: in
             rows = [fingerprint_bytes(t.as_py() or b"", shingle, seed, words) for t in batch.cast(pa.binary())]
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in range(words)], names=[f"w{i}" for i in range(words)])
 
-    made = put(df, __fp=run(F.col(text)))
-    return put(made, **{n: F.col(f"__fp.w{i}") for i, n in enumerate(_names(words, out))}).drop("__fp")
+    made = put(df, __made_fp=run(F.col(text)))
+    return put(made, **{n: F.col(f"__made_fp.w{i}") for i, n in enumerate(_names(words, out))}).drop("__made_fp")
 
 
 def as_hex(fp: Column) -> Column:
@@ -124,87 +125,91 @@ def _segment(fp: list[Column], lo: int, width: int) -> Column:
     return F.shiftrightunsigned(fp[lo // BITS], lo % BITS).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def variant_keys(fp: list[Column], segment: tuple[int, int]) -> Column:
-    """The index keys of a segment: number of the bit taken out (from bit 56 of the key), then the rest of the segment."""
-    lo, width = segment
-    whole = (1 << width) - 1
-    return F.array(*[
-        _segment(fp, lo, width).bitwiseAND(F.lit(whole & ~(1 << i))).bitwiseOR(F.lit((lo + i) << 56)) for i in range(width)
-    ])
+_SEGMENT = 50  # bit of a segment's value from which its number stands
 
 
-def _first_shared(a: list[Column], b: list[Column], cut: Cut) -> Column:
-    """The first variant (number of the bit taken out) that two fingerprints share; -1: none."""
-    out = F.lit(-1)
-    other = [x.bitwiseXOR(y) for x, y in zip(a, b)]
-    for lo, width in reversed(cut.segments):
-        part = _segment(other, lo, width)
-        bit = F.when(part == 0, F.lit(lo)).otherwise(F.bit_count(part - 1) + lo)  # part has one bit at most
-        out = F.when(F.bit_count(part) <= 1, bit).otherwise(out)
+def segment_values(fp: list[Column], cut: Cut) -> Column:
+    """The value of every segment, marked with the segment's number."""
+    return F.array(*[_segment(fp, lo, width).bitwiseOR(F.lit(k << _SEGMENT)) for k, (lo, width) in enumerate(cut.segments)])
+
+
+def variant_keys(value: Column, cut: Cut) -> Column:
+    """The index keys of a segment's value: number of the bit taken out (from bit 56 of the key), then what is left."""
+    def keys(width: int) -> Column:
+        return F.array(*[value.bitwiseAND(F.lit(~(1 << i))).bitwiseOR(F.lit(i << 56)) for i in range(width)])
+
+    out = keys(cut.segments[0][1])
+    for k, (_, width) in enumerate(cut.segments[1:], 1):
+        if width != cut.segments[0][1]:
+            out = F.when(F.shiftright(value, _SEGMENT) == k, keys(width)).otherwise(out)
     return out
 
 
 def link_groups(fps: DataFrame, cut: Cut) -> DataFrame:
     """``(fp.., group)`` for every distinct fingerprint; fingerprints linked directly or in a chain share a group.
 
-    ``fps`` has the columns ``fp`` (and ``fp_1``); a fingerprint of two words is known by a 64-bit hash of them.
-    The segments are taken one after the other: a key whose fingerprints are in one group by then is left out.
+    ``fps`` has the columns ``fp`` (and ``fp_1``); a fingerprint of two words is known by a 64-bit hash of them. Two
+    are compared if a segment of theirs has the same value, or values that share a key: just two values can, the
+    one with the bit and the one without it (twins).
     """
     names = _names(cut.words)
+    col = lambda prefix: [F.col(n) for n in _names(cut.words, prefix)]
+    named = lambda prefix: [F.col(n).alias(m) for n, m in zip(names, _names(cut.words, prefix))]
+    near = differing(col("x"), col("y")) <= cut.bits
     width = shuffle_width(fps.sparkSession)
     # small rows that grow into a key for each bit: kept in as many parts as the keys need
     nodes = fps.select(*names).where("fp is not null").distinct().repartition(width, *names)
     nodes = cut_lineage(nodes.withColumn("id", F.xxhash64(*names) if cut.words > 1 else F.col("fp")))
-    grouped = nodes.withColumn("c", F.col("id"))
-    for segment in cut.segments:
-        grouped = _link_segment(grouped, nodes, cut, segment)
-    return grouped.select(*names, F.col("c").alias("group"))
-
-
-def _link_segment(grouped: DataFrame, nodes: DataFrame, cut: Cut, segment: tuple[int, int]) -> DataFrame:
-    """``grouped`` (fp.., id, c) with the groups joined that have a link between fingerprints that share a key of the segment."""
-    names = _names(cut.words)
-    col = lambda prefix: [F.col(n) for n in _names(cut.words, prefix)]
 
     def spelled(rows: DataFrame, of: str, prefix: str) -> DataFrame:
         """``rows`` with the words of the fingerprint whose id is in column ``of``."""
         if cut.words == 1:
             return rows.withColumn(prefix, F.col(of))
-        words = nodes.select(F.col("id").alias("__id"), *[F.col(n).alias(m) for n, m in zip(names, _names(cut.words, prefix))])
+        words = nodes.select(F.col("id").alias("__id"), *named(prefix))
         return rows.join(words, F.col(of) == F.col("__id")).drop("__id")
 
     def renamed(rows: DataFrame, groups: DataFrame) -> DataFrame:
         new = groups.select(F.col("node").alias("__c"), F.col("component").alias("__new"))
         return rows.join(new, F.col("c") == F.col("__c"), "left").withColumn("c", F.coalesce("__new", "c")).drop("__c", "__new")
 
-    near = differing(col("x"), col("y")) <= cut.bits
-    index = grouped.select("id", "c", F.explode(variant_keys(col("fp"), segment)).alias("key"))
-    met = cut_lineage(
-        index.groupBy("key").agg(
-            F.min("id").alias("p"), F.max("id").alias("q"), F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"),
-            F.min_by("c", "id").alias("a"),
-        ).where("low < high")
-    )
-    two = met.where("n = 2").select("p", "q", F.col("low").alias("a"), F.col("high").alias("b"))
-    crowd = cut_lineage(index.join(met.where("n > 2").select("key", "p", "a"), "key"))
-    star = crowd.where("a <> c").select("p", F.col("id").alias("q"), "a", F.col("c").alias("b"))
-    pairs = spelled(spelled(two.unionByName(star).distinct(), "p", "x"), "q", "y")
-    first = components(pairs.where(near).select("a", "b"))
-    named = cut_lineage(renamed(crowd.select("key", "id", "c"), first))
-    # what is left are keys with several groups: their largest one is met by the members of the others only
-    sizes = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = (
-        sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("kinds"))
-        .where("kinds > 1").select("key", "main")
+    # per value: its smallest fingerprint and how many it has
+    rows = nodes.select("id", *names, F.explode(segment_values(col("fp"), cut)).alias("v"))
+    values = cut_lineage(rows.groupBy("v").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("n")).repartition(width, "v"))
+    found = values.select(F.explode(variant_keys(F.col("v"), cut)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 56) as int))")
+    without_bit = F.col("key").bitwiseAND(F.lit((1 << 56) - 1))
+    twins = cut_lineage(found.where("n = 2").select(without_bit.alias("v"), without_bit.bitwiseOR(bit).alias("w")))
+
+    # first links: every fingerprint with the smallest of its value, and the smallest ones of twins
+    star = rows.select("id", "v").join(values.where("n > 1").select("v", "p"), "v").where("id <> p").select("p", F.col("id").alias("q"))
+    other = values.select(F.col("v").alias("w"), F.col("p").alias("q"))
+    heads = twins.join(values.select("v", "p"), "v").join(other, "w").where("p <> q").select("p", "q")
+    pairs = spelled(spelled(star.unionByName(heads).distinct(), "p", "x"), "q", "y")
+    first = components(pairs.where(near).select(F.col("p").alias("a"), F.col("q").alias("b")))
+    grouped = cut_lineage(renamed(nodes.withColumn("c", F.col("id")), first))
+
+    # what is left: fingerprints outside the largest group of their value are met by all that are alike
+    rows = grouped.select("c", *names, F.explode(segment_values(col("fp"), cut)).alias("v"))
+    main = cut_lineage(
+        rows.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("n"))
     )
-    open_rows = spelled(named.join(main, "key"), "id", "x")
-    outside = open_rows.where("c <> main").select("key", F.col("c").alias("a"), *col("x"))
-    others = open_rows.select("key", F.col("c").alias("b"), *[F.col(n).alias(m) for n, m in zip(_names(cut.words, "x"), _names(cut.words, "y"))])
-    # a pair meets under many keys: only the first of them reports it
-    first_time = F.shiftrightunsigned("key", 56).cast("int") == _first_shared(col("x"), col("y"), cut)
-    crossing = outside.join(others, "key").where((F.col("a") != F.col("b")) & near & first_time).select("a", "b").distinct()
-    second = components(crossing)
-    return cut_lineage(renamed(renamed(grouped, first), second))
+    low, high = main.select("v", "low", "high", "main", "n"), main.toDF("w", "main_w", "low_w", "high_w", "n_w")
+    # values and twins of a single group have nothing to tell, and two single fingerprints have been compared
+    open_twins = twins.join(low, "v").join(high, "w").where("least(low, low_w) < greatest(high, high_w) and n + n_w > 2")
+    open_twins = cut_lineage(open_twins.select("v", "w", (F.col("main") == F.col("main_w")).alias("alike")))
+    of_value = main.select("v", "main", (F.col("low") < F.col("high")).alias("mixed"))
+    ends = open_twins.select("v").unionByName(open_twins.select(F.col("w").alias("v"))).distinct().withColumn("twin", F.lit(True))
+    members = rows.join(of_value.join(ends, "v", "left").where("mixed or twin"), "v")
+    left = members.select("v", F.col("c").alias("a"), F.col("main").alias("ma"), *named("x"))
+    right = members.select(F.col("v").alias("w"), F.col("c").alias("b"), F.col("main").alias("mb"), *named("y"))
+    linked = (F.col("a") != F.col("b")) & near
+    same = left.where("a <> ma").join(right, (F.col("v") == F.col("w")) & linked).select("a", "b")
+    sent = left.join(open_twins, "v").drop("v")  # each fingerprint to the twins of its value
+    all_others = sent.where("not alike or a <> ma").join(right, "w").where(linked).select("a", "b")
+    outsiders = sent.where("alike and a = ma").join(right.where("b <> mb"), "w").where(linked).select("a", "b")
+    second = components(same.unionByName(all_others).unionByName(outsiders).distinct())
+    return renamed(grouped, second).select(*names, F.col("c").alias("group"))
 
 
 def link_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, cut: Cut | None = None, seed: int = 42) -> DataFrame:
