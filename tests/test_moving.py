@@ -5,9 +5,10 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidebarge.operators import conform, filters, normalize
+from tidebarge.plans import movement
 from tidebarge.plans.movement import push
 from tidebarge.plans.specs import ColumnDescriptor as Col
-from tidebarge.plans.specs import FilterCondition, PushSpec
+from tidebarge.plans.specs import FilterCondition, PullSpec, PushSpec
 from tidebarge.session import fresh_path
 from tidebarge.sinks import tables as sinks
 from tidebarge.sources import jdbc, plugin
@@ -38,10 +39,44 @@ def test_truncate_keeps_the_schema(spark):
     assert spark.table("emptied").count() == 0 and spark.table("emptied").columns == ["id"]
 
 
-@pytest.mark.parametrize("n, want", [(0, []), (3, [3]), (4, [4]), (9, [4, 4, 1])])
-def test_batch_sizes(spark, n, want):
-    got = sinks.batch_sizes(spark.range(n), 4).orderBy("batch_no").collect()
-    assert [r.rows for r in got] == want and [r.batch_no for r in got] == list(range(len(want)))
+@pytest.mark.parametrize("n", [0, 3, 4, 9])
+def test_written_files(spark, tmp_path, n):
+    files = sinks.written_files(spark.range(n).coalesce(1), str(tmp_path / "out"), 4).collect()
+    assert sum(r.rows for r in files) == n and len(files) == -(-n // 4) and all(r.rows <= 4 for r in files)
+
+
+def test_merge_touches_only_the_buckets_of_the_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    state = (FilterCondition("v", "integer", "0"),)
+    first = spark.createDataFrame([(i, i) for i in range(100)], "k long, v long")
+    count, state = sinks.merge_into(spark, path, first, ["k"], ["v"], 16, state)
+    assert count == 100 and state[0].value == "99"
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").glob("bucket=*/*.parquet")}
+    batch = spark.createDataFrame([(5, 7), (5, 8), (5, 8)], "k long, v long")
+    count, state = sinks.merge_into(spark, path, batch, ["k"], ["v"], 16, state)
+    assert count == 3 and state[0].value == "99"  # the watermark does not go back
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").glob("bucket=*/*.parquet")}
+    gone = {p.parent.name for p in before if p not in after}
+    assert len(gone) == 1 and all(after[p] == before[p] for p in before if p.parent.name not in gone)
+    assert rows(sinks.read_merged(spark, path)) == sorted([(i, 8 if i == 5 else i) for i in range(100)], key=repr)
+    assert sinks.merge_into(spark, path, batch.limit(0), ["k"], ["v"], 16, state) == (0, state)
+
+
+def test_winner_of_a_tie_does_not_depend_on_partitions(spark):
+    batch = spark.createDataFrame([(i % 3, 1, f"row{i}") for i in range(60)], "k int, v int, name string")
+    spec = PullSpec("t", "", (FilterCondition("v", "integer", "0"),), ("k",))
+    got = {tuple(rows(movement.pull(spec, batch.repartition(n), None, 5).target)) for n in (1, 2, 3, 7, 20)}
+    assert len(got) == 1
+
+
+def test_rows_without_a_key_are_rejects(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    batch = spark.createDataFrame([(None, "x"), (None, "x"), (1, "b")], "k int, v string")
+    spec = PushSpec("s", "t", "", key_columns=("k",))
+    once = movement.push(spec, batch, target)
+    assert rows(once) == rows(movement.push(spec, batch, once)) == [(1, "b")]
+    assert rows(movement.null_key_rows(batch, ["k"])) == [(None, "x"), (None, "x")]
+    assert movement.pull(PullSpec("t", "", (), ("k",)), batch, None, 5).rejects.count() == 2
 
 
 def test_a_wide_table_goes_in_smaller_statements():

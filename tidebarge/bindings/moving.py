@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import profile, relations, versions
+from ..operators import filters, profile, relations, versions
 from ..functions.text import length_from_comment, strip_nullable
-from ..plans import movement
+from ..plans import jobs, movement
 from ..plans.specs import FilterCondition, PullSpec, PushSpec
 from ..session import fresh_path
 from ..sinks import tables as sinks
-from ..sources import plugin
 from ..sources.jdbc import slice_predicates
 from ..sources.tables import run_select
 from . import frames
@@ -164,15 +165,6 @@ def _strip_nullable(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", name.alias("data_type"), nullable.alias("is_nullable"))
 
 
-@query(
-    "connector_plugin",
-    "select event_type, count(*) row_count, max(event_id) last_id from events group by 1",
-)
-def connector_plugin(t: Tables) -> DataFrame:
-    scanned = plugin.scan(t.spark, f"{t.folder.rstrip('/')}/events.parquet", ["event_id", "event_type"])
-    return scanned.groupBy("event_type").agg(F.count(F.lit(1)).alias("row_count"), F.max("event_id").alias("last_id"))
-
-
 # --- sinks ------------------------------------------------------------------
 
 
@@ -321,11 +313,15 @@ def truncate_target(t: Tables) -> DataFrame:
 
 @query(
     "batched_write",
-    """select (rn - 1) // 2000 batch_no, count(*) "rows" from
-    (select row_number() over () rn from lineitem) q group by 1""",
+    "select count(*) \"rows\", true within_cap, (count(*) + 1999) // 2000 <= count(*) has_files from lineitem",
 )
 def batched_write(t: Tables) -> DataFrame:
-    return sinks.batch_sizes(t.lineitem, 2000)
+    """A write in files of at most 2000 rows, told from the files."""
+    files = sinks.written_files(t.lineitem, fresh_path(t.spark, "batches"), 2000)
+    return files.agg(
+        F.sum("rows").alias("rows"), (F.max("rows") <= 2000).alias("within_cap"),
+        (F.count(F.lit(1)) >= F.expr("(sum(rows) + 1999) div 2000")).alias("has_files"),
+    )
 
 
 @query("load_count", "select 'orders' table_code, count(*) written, count(*) record_count from orders")
@@ -446,3 +442,93 @@ def rows_per_pull(t: Tables) -> DataFrame:
 def max_per_column(t: Tables) -> DataFrame:
     top = versions.max_per_column(t.lineitem, ["l_orderkey", "l_extendedprice", "l_shipdate"])
     return top.withColumn("l_shipdate", ts_text("l_shipdate"))
+
+
+# --- whole jobs ---------------------------------------------------------------
+
+_MIDDLE, _OVERLAP = "2024-01-16 00:00:00", "2024-01-10 00:00:00"
+
+
+def _pull_twice(t: Tables) -> jobs.Store:
+    """Two runs of a pull job: events up to the middle, then all after the watermark with some corrected; one table fails."""
+    store = jobs.Store(t.spark, fresh_path(t.spark, "job"))
+    columns = ["event_id", "ts", "user_id", "event_type"]
+    specs = [
+        PullSpec("events", "select * from source where ts > ?", (FilterCondition("ts", "datetime", "1970-01-01 00:00:00"),), ("event_id",), ("ts",)),
+        PullSpec("users", "select distinct user_id from source", key_columns=("user_id",)),
+        PullSpec("broken", "select nothing"),
+        PullSpec("off", "select nothing", enabled=False),
+    ]
+    early = t.events.where(f"ts <= timestamp_ntz '{_MIDDLE}'").select(*columns)
+    fixed = t.events.where(f"event_type = 'error' and ts <= timestamp_ntz '{_MIDDLE}'").select(
+        "event_id", F.expr("ts + interval 60 days").alias("ts"), "user_id", F.lit("fixed").alias("event_type")
+    )
+    late = t.events.where(f"ts > timestamp_ntz '{_OVERLAP}'").select(*columns).unionByName(fixed)
+    for now, source in ((EARLIER, early), (RUN, late)):
+
+        def rows_of(spec: PullSpec, source: DataFrame = source) -> DataFrame:
+            if spec.dest_table == "broken":
+                raise ValueError("no such table")
+            return filters.since(source, spec.filter_val) if spec.filter_val else source.select("user_id").distinct()
+
+        jobs.run_pull_job(store, 1, specs, rows_of, now, buckets=8)
+    return store
+
+
+_PULLED = f"""first as (select * from events where ts <= timestamp '{_MIDDLE}'),
+low as (select max(ts) m from first),
+fixed as (select event_id, ts + interval 60 days ts, user_id, 'fixed' event_type from events where event_type = 'error' and ts <= timestamp '{_MIDDLE}'),
+late as (select event_id, ts, user_id, event_type from events where ts > timestamp '{_OVERLAP}' union all select * from fixed),
+second as (select late.* from late, low where ts > m),
+pulled as (select event_id, user_id, event_type, {EARLIER} pull_time from first where event_id not in (select event_id from second)
+  union all select event_id, user_id, event_type, {RUN} from (select * from second qualify row_number() over (partition by event_id order by ts desc) = 1) q)"""
+
+
+@query(
+    "pull_job_run",
+    f"""with {_PULLED} select 'events' kind, event_id id, event_type note, cast(pull_time as bigint) stamp, 0 "rows" from pulled
+    union all select 'users', user_id, '', {RUN}, 0 from (select distinct user_id from late) u
+    union all select 'log', 1, 'completed', {EARLIER}, count(*) from first
+    union all select 'log', 1, 'completed', {RUN}, count(*) from second
+    union all select 'log', 2, 'completed', {EARLIER}, count(distinct user_id) from first
+    union all select 'log', 2, 'completed', {RUN}, count(distinct user_id) from late
+    union all select 'log', 3, 'failed', {EARLIER}, 0 union all select 'log', 3, 'failed', {RUN}, 0
+    union all select 'change', 0, 'warehouse:events', {EARLIER}, 0 union all select 'change', 0, 'warehouse:events', {RUN}, 0
+    union all select 'change', 0, 'warehouse:users', {EARLIER}, 0 union all select 'change', 0, 'warehouse:users', {RUN}, 0""",
+)
+def pull_job_run(t: Tables) -> DataFrame:
+    """Both tables of a pull job after two runs, its logs and its change messages."""
+    store = _pull_twice(t)
+    none = F.lit(0).cast("bigint")
+    line = lambda kind, id_, note, at, rows: [
+        F.lit(kind).alias("kind"), id_.cast("bigint").alias("id"), note.alias("note"), at.cast("bigint").alias("stamp"), rows.cast("bigint").alias("rows")
+    ]
+    parts = [
+        store.table(1, "events").select(*line("events", F.col("event_id"), F.col("event_type"), F.col("pull_time"), none)),
+        store.table(1, "users").select(*line("users", F.col("user_id"), F.lit(""), F.col("pull_time"), none)),
+        store.logs().select(*line("log", F.col("table_id"), F.col("status"), F.col("start_time"), F.col("record_count"))),
+        store.changes().select(*line("change", none, F.col("message"), F.col("ts"), none)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "push_job_run",
+    f"""with {_PULLED} select 'target' kind, event_id id, event_type note, 0 "rows" from pulled
+    union all select 'log', {EARLIER}, 'completed', count(*) from first
+    union all select 'log', {RUN}, 'completed', count(*) from pulled where pull_time >= {EARLIER} + 1""",
+)
+def push_job_run(t: Tables) -> DataFrame:
+    """A push after each of two pulls: the second sends what was loaded since the first."""
+    store = _pull_twice(t)
+    rows = store.table(1, "events").select("event_id", "event_type", "pull_time")
+    before = t.events.where(f"ts <= timestamp_ntz '{_MIDDLE}'").select("event_id", "event_type", F.lit(EARLIER).cast("bigint").alias("pull_time"))
+    spec = PushSpec("events", "sent", "", key_columns=("event_id",))
+    jobs.run_push_job(store, 2, [spec], lambda _: before, EARLIER + 1, buckets=8)
+    jobs.run_push_job(store, 2, [spec], lambda _: rows, RUN + 1, buckets=8)
+    none = F.lit(0).cast("bigint")
+    logs = store.logs().where("job_id = 2").select(
+        F.lit("log").alias("kind"), (F.col("start_time") - 1).alias("id"), F.col("status").alias("note"), F.col("record_count").alias("rows")
+    )
+    sent = store.table(2, "sent").select(F.lit("target").alias("kind"), F.col("event_id").alias("id"), F.col("event_type").alias("note"), none.alias("rows"))
+    return sent.unionByName(logs)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators.requests import burst_summary
 from ..plans.specs import PushSpec
-from ..session import fresh_path
 from ..streaming import bursts, feed, jobs
 from .frames import BURSTS, sql_ts, ts_text
 from .registry import Tables, query
@@ -44,17 +43,6 @@ def change_fanout(t: Tables) -> DataFrame:
     return feed.drain_to_table(delivered.select("change_id", "message", "receiver"), "fanout")
 
 
-@query("feed_backpressure", "select event_type, count(*) received, count(distinct event_id) distinct_received from events group by 1")
-def feed_backpressure(t: Tables) -> DataFrame:
-    """A reader that takes one file per batch from a log of many still gets every message once."""
-    log = fresh_path(t.spark, "feed-log")
-    t.events.repartition(4).write.parquet(log)
-    got = feed.drain_to_table(feed.table_stream(t.spark, log, max_files=1), "slow-reader")
-    return got.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("received"), F.count_distinct("event_id").alias("distinct_received")
-    )
-
-
 @query(
     "host_liveness",
     f"""select user_id host_id, {sql_ts('max(ts)')} last_seen,

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.filters import typed_literal
 from ..operators.versions import as_watermark_text
 from ..plans.specs import PULL_STAMP, FilterCondition
+from ..session import cut_lineage
 
 PLACEHOLDER_CAP = 65535
 
@@ -86,14 +88,67 @@ def rows_per_statement(batch: int, columns: int) -> int:
     return max(1, min(batch, (PLACEHOLDER_CAP - 1) // max(columns, 1)))
 
 
-def batch_sizes(df: DataFrame, batch: int) -> DataFrame:
-    """Rows of each write batch: full ones, then the rest. Needs only the row count."""
-    total = df.agg(F.count(F.lit(1)).alias("__n"))
-    return (
-        total.where("__n > 0")
-        .select("__n", F.explode(F.expr(f"sequence(0L, cast((__n - 1) div {batch} as bigint))")).alias("batch_no"))
-        .select("batch_no", F.least(F.lit(batch), F.col("__n") - F.col("batch_no") * batch).cast("bigint").alias("rows"))
-    )
+def written_files(df: DataFrame, path: str, max_rows_per_file: int) -> DataFrame:
+    """Write in files of at most ``max_rows_per_file`` rows and report the rows of each written file."""
+    append_counted(df, path, max_rows_per_file)
+    return df.sparkSession.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+BUCKET = "bucket"
+
+
+def merge_into(
+    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order_by: Sequence[str], buckets: int = 64,
+    state: Iterable[FilterCondition] = (),
+) -> tuple[int, tuple[FilterCondition, ...]]:
+    """Keyed replace into a table of key buckets; only buckets that the batch touches are read and written.
+
+    The table lies in folders ``bucket=n`` of ``path`` and is made by the first batch. ``batch`` holds no NULL key
+    (see ``movement.null_key_rows``); of rows that share a key the first by ``order_by`` descending, then by hash, wins.
+    Returns the rows of the batch and the watermark: the larger of the old value and the batch's maximum, observed
+    while the batch is fixed. A bucket is replaced when the write commits; a run that dies before may be repeated.
+    """
+    state, types = tuple(state), dict(batch.dtypes)
+    rows = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    hashable = [f.name for f in batch.schema.fields if not isinstance(f.dataType, T.MapType)]
+    newest = Window.partitionBy(BUCKET, *keys).orderBy(*[F.col(c).desc() for c in order_by], F.xxhash64(*hashable))
+    seen = Observation()
+    maxima = [as_watermark_text(F.max(c.column), types[c.column]).alias(f"m{i}") for i, c in enumerate(state)]
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *maxima)
+    fixed = cut_lineage(counted.withColumn("__rank", F.row_number().over(newest)).where("__rank = 1").drop("__rank"))
+    if fixed.isEmpty():  # an empty plan observes nothing
+        return 0, state
+    got = seen.get
+    touched = [r[0] for r in fixed.select(BUCKET).distinct().collect()]  # at most ``buckets``
+    merged = fixed
+    schema = T.StructType([*batch.schema.fields, T.StructField(BUCKET, T.IntegerType())])
+    if exists(spark, path):
+        old = spark.read.schema(schema).parquet(path).where(F.col(BUCKET).isin(touched))
+        # what replaces a folder is fixed before the folder goes
+        merged = cut_lineage(old.join(fixed.select(BUCKET, *keys), [BUCKET, *keys], "left_anti").select(*fixed.columns).unionByName(fixed))
+    if touched:
+        writer = merged.repartition(F.col(BUCKET)).write.partitionBy(BUCKET).mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    new = []
+    for i, c in enumerate(state):
+        high = got[f"m{i}"]
+        new.append(c if high is None or not _later(spark, c, high) else replace(c, value=high))
+    return got["rows"], tuple(new)
+
+
+def _later(spark: SparkSession, old: FilterCondition, value: str) -> bool:
+    """Whether a watermark text is beyond the old one, compared by its type."""
+    pair = [typed_literal(replace(old, value=v)) for v in (value, old.value)]
+    return bool(spark.range(1).select(F.coalesce(pair[0] > pair[1], F.lit(True))).first()[0])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
 
 
 def load_count(df: DataFrame) -> DataFrame:
