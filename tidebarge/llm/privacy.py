@@ -225,13 +225,13 @@ def pseudonymise(df: DataFrame, key: Column | str, text: str = "text", replaced:
     """
     k = Key(F.lit(key) if isinstance(key, str) else key, undo)
     # every candidate has a digit or an @
-    found = put(df, __found=F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))))
-    some = F.coalesce(F.size("__found"), F.lit(0)) > 0
-    new = put(found, __new=F.when(some, F.transform("__found", lambda v: pseudonym(k, v))))
+    found = put(df, __pii_found=F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))))
+    some = F.coalesce(F.size("__pii_found"), F.lit(0)) > 0
+    new = put(found, __pii_new=F.when(some, F.transform("__pii_found", lambda v: pseudonym(k, v))))
     pieces = F.split(F.col(text), CANDIDATE, -1)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("__new")), "__new", lambda p, v: F.concat(p, v)), ""), F.element_at(pieces, -1))
+    joined = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("__pii_new")), "__pii_new", lambda p, v: F.concat(p, v)), ""), F.element_at(pieces, -1))
     out = {text: F.when(some, joined).otherwise(F.col(text))}
     if replaced:
-        changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
+        changed = F.size(F.filter(F.zip_with("__pii_found", "__pii_new", lambda a, b: a != b), lambda x: x))
         out[replaced] = F.when(some, changed).otherwise(F.lit(0)).cast("long")
-    return put(new, **out).drop("__found", "__new").select(*df.columns, *([replaced] if replaced and replaced not in df.columns else []))
+    return put(new, **out).drop("__pii_found", "__pii_new").select(*df.columns, *([replaced] if replaced and replaced not in df.columns else []))
