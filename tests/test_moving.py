@@ -372,3 +372,16 @@ def test_run_select_binds_in_order(spark):
         spark, "select id from checked_t where id >= ? and id < ?",
         [FilterCondition("id", "integer", "3"), FilterCondition("id", "integer", "5")], {"checked_t": spark.range(9)})
     assert rows(got) == [(3,), (4,)]
+
+
+def test_a_scheduled_pull_goes_on_where_it_stopped(spark, tmp_path):
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string").write.parquet(source)
+
+    def run():
+        stream = feed.table_stream(spark, source + "/")
+        return rows(jobs.scheduled_pull(stream, ["k"], ["v"], first_stamp=1000, out=out, checkpoint=state))
+
+    assert run() == [(1, "a", 1000), (2, "a", 1000)] == run()
+    spark.createDataFrame([(2, "b")], "k int, v string").write.mode("append").parquet(source)
+    assert run() == [(1, "a", 1000), (2, "b", 1001)]

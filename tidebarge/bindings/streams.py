@@ -12,6 +12,7 @@ from .frames import BURSTS, sql_ts, ts_text
 from .registry import Tables, query
 
 NOW = "2024-01-30 23:00:00"
+RUN = 1735689600  # the first run of a scheduled job, epoch seconds
 
 
 def _stream(t: Tables, name: str, max_files: int | None = None) -> DataFrame:
@@ -68,7 +69,7 @@ def scheduled_pull(t: Tables) -> DataFrame:
     changed = _stream(t, "events").where("ts > timestamp_ntz '2024-01-08 00:00:00'").withColumn(
         "event_type", F.upper("event_type")
     )
-    done = jobs.scheduled_pull(changed.select(*columns), ["event_id"], ["value"], first_stamp=1, existing=existing)
+    done = jobs.scheduled_pull(changed.select(*columns), ["event_id"], ["value"], first_stamp=RUN, existing=existing)
     return done.drop("pull_time")
 
 

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.versions import latest_version
-from ..session import fresh_path
+from ..session import fresh_path, shuffle_width
 
 EXPIRY_SECONDS = 60
-FANOUT_LANES = 32
 
 
 def table_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -25,7 +24,8 @@ def table_stream(spark: SparkSession, path: str, max_files: int | None = None) -
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    # as a pattern the path may also be one file, which a plain stream path may not
+    path = path.rstrip("/")
+    # a stream reads folders; as a pattern the path may also be one file
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
@@ -56,10 +56,13 @@ def drain_batches(stream: DataFrame, label: str, apply, mode: str = "append", ch
     query.awaitTermination()
 
 
-def batch_folder(spark: SparkSession, label: str, schema: T.StructType) -> str:
-    """A folder for one sub-folder per micro-batch, readable before (or without) any batch."""
-    out = fresh_path(spark, label)
-    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
+def batch_folder(spark: SparkSession, label: str, schema: T.StructType, out: str | None = None) -> str:
+    """A folder for one sub-folder per micro-batch, readable before (or without) any batch.
+
+    ``out`` names a lasting one, which a later run with the same checkpoint goes on filling.
+    """
+    out = out or fresh_path(spark, label)
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
     return out
 
 
@@ -73,14 +76,16 @@ def change_messages(loads: DataFrame, database: str, table: str, origin: str, ts
     )
 
 
-def fan_out(changes: DataFrame, hosts: DataFrame, lanes: int = FANOUT_LANES) -> DataFrame:
+def fan_out(changes: DataFrame, hosts: DataFrame, lanes: int | None = None) -> DataFrame:
     """Each change to every known host but its sender, expired hosts included.
 
     The output is changes x hosts by definition. Changes are dealt over lanes and
     the host list is copied to each lane, so this is an equi-join with as many
     keys as lanes: a change is moved once, no sender or host is hot, and Spark
-    broadcasts the host list only when it is small. Works on a stream of changes.
+    broadcasts the host list only when it is small. There are as many lanes as shuffle
+    partitions unless told otherwise. Works on a stream of changes.
     """
+    lanes = lanes or shuffle_width(changes.sparkSession)
     dealt = changes.withColumn("__lane", F.pmod(F.xxhash64("change_id"), F.lit(lanes)).cast("int"))
     known = (
         hosts.select(F.col("host_id").alias("receiver"))
@@ -100,19 +105,22 @@ def with_expiry(last: DataFrame, now, limit_seconds: int = EXPIRY_SECONDS) -> Da
     return last.withColumn("is_expired", age >= limit_seconds * 1_000_000)
 
 
-def liveness_stream(beats: DataFrame, host: str, ts: str, label: str = "liveness") -> DataFrame:
+def liveness_stream(
+    beats: DataFrame, host: str, ts: str, label: str = "liveness", out: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
     """Last heartbeat per host, kept by a stream.
 
     Update mode sends only hosts that beat since the last batch. Each batch has
     its own folder, overwritten if the batch is replayed, and the reader takes
-    the newest row per host. State is one row per host.
+    the newest row per host. State is one row per host. With ``out`` and ``checkpoint`` a later call reads only
+    what is new.
     """
     spark = beats.sparkSession
     last = last_heartbeats(beats, host, ts)
-    out = batch_folder(spark, label, last.schema)
+    out = batch_folder(spark, label, last.schema, out)
 
     def apply(frame: DataFrame, batch_id: int) -> None:
         frame.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    drain_batches(last, label, apply, "update")
+    drain_batches(last, label, apply, "update", checkpoint)
     return latest_version(spark.read.parquet(out), ["host_id"], "last_seen", ["batch"]).drop("batch")

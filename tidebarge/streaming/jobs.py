@@ -19,24 +19,26 @@ def _with_fields(df: DataFrame, **types: T.DataType) -> T.StructType:
 
 def scheduled_pull(
     stream: DataFrame, keys: Sequence[str], tiebreak: Sequence[str], label: str = "pull", first_stamp: int = 0,
-    existing: DataFrame | None = None,
+    existing: DataFrame | None = None, out: str | None = None, checkpoint: str | None = None,
 ) -> DataFrame:
     """Incremental pull on every trigger; a streaming query never overlaps itself.
 
     The stream's checkpoint is the watermark. A batch goes to a folder of its
-    own, so a replay overwrites it. ``pull_time`` rises by one per batch. Returns
-    the newest version per key; ``existing`` holds one row per key already.
+    own, so a replay overwrites it. ``pull_time`` is ``first_stamp`` (epoch seconds of
+    the first run) and rises by one per batch. With ``out`` and ``checkpoint`` a later call
+    reads only what is new and goes on after a crash. Returns the newest version per
+    key; ``existing`` holds one row per key already.
     """
     spark = stream.sparkSession
     schema = _with_fields(stream, **{PULL_STAMP: T.LongType()})
-    out = batch_folder(spark, label, schema)
+    out = batch_folder(spark, label, schema, out)
 
     def load(frame: DataFrame, batch_id: int) -> None:
         frame.withColumn(PULL_STAMP, F.lit(first_stamp + batch_id).cast("bigint")).write.mode("overwrite").parquet(
             f"{out}/batch={batch_id}"
         )
 
-    drain_batches(stream, label, load)
+    drain_batches(stream, label, load, checkpoint=checkpoint)
     loaded = spark.read.schema(schema).parquet(out).drop("batch")
     order = [PULL_STAMP, *tiebreak]
     return last_per_key(loaded, keys, order) if existing is None else replace_rows(existing, loaded, keys, order)
@@ -48,6 +50,8 @@ def push_on_change(
     rows_of: Callable[[PushSpec], DataFrame],
     target: DataFrame,
     label: str = "push",
+    out: str | None = None,
+    checkpoint: str | None = None,
 ) -> DataFrame:
     """Run the push of every spec whose source table is named in a micro-batch of changes.
 
@@ -63,7 +67,7 @@ def push_on_change(
     spark = target.sparkSession
     by_source = {s.source_table: (i, s) for i, s in enumerate(specs) if s.enabled}
     schema = _with_fields(target, __spec=T.IntegerType())
-    out = batch_folder(spark, label, schema)
+    out = batch_folder(spark, label, schema, out)
 
     def apply(frame: DataFrame, batch_id: int) -> None:
         name = F.substring_index("message", ":", -1)
@@ -74,7 +78,7 @@ def push_on_change(
             pushed = pushed.unionByName(rows.withColumn("__spec", F.lit(i)))
         pushed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    drain_batches(changes, label, apply)
+    drain_batches(changes, label, apply, checkpoint=checkpoint)
     pushed = spark.read.schema(_with_fields(target, __spec=T.IntegerType(), batch=T.LongType())).parquet(out)
     ranked = target.withColumns({"__spec": F.lit(None).cast("int"), "batch": F.lit(None).cast("long")})
     return replace_rows(ranked, pushed, keys, ["batch", "__spec"]).drop("__spec", "batch")
