@@ -48,12 +48,12 @@ def exact_cut(bits: int = 4) -> Cut:
 
 
 def wide_cut(similarity: float = 0.8) -> Cut:
-    """128 bits of which a share of ``similarity`` or more are equal, met in one of six segments of 19 bits.
+    """128 bits of which a share of ``similarity`` or more are equal, met in one of six segments of 21 or 22 bits.
 
-    Of pairs that differ in 15 % of the bits (as shingle sets of Jaccard 0.8 do on average) three in four meet,
-    of pairs that differ in 10 % nineteen in twenty; chains over further copies add to that.
+    Of pairs that differ in 15 % of the bits (as shingle sets of Jaccard 0.8 do on average) three in five meet,
+    of pairs that differ in 10 % nine in ten; chains over further copies add to that.
     """
-    segments = ((0, 19), (19, 19), (38, 19), (64, 19), (83, 19), (102, 19))
+    segments = ((0, 21), (21, 21), (42, 22), (64, 21), (85, 21), (106, 22))
     return Cut(2, int(2 * BITS * (1 - similarity) + 1e-9), segments)
 
 
@@ -172,18 +172,24 @@ def link_groups(fps: DataFrame, cut: Cut) -> DataFrame:
         new = groups.select(F.col("node").alias("__c"), F.col("component").alias("__new"))
         return rows.join(new, F.col("c") == F.col("__c"), "left").withColumn("c", F.coalesce("__new", "c")).drop("__c", "__new")
 
-    # per value: its smallest fingerprint and how many it has
+    # per value: its smallest fingerprint (with its first word) and how many it has
     rows = nodes.select("id", *names, F.explode(segment_values(col("fp"), cut)).alias("v"))
-    values = cut_lineage(rows.groupBy("v").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("n")).repartition(width, "v"))
-    found = values.select(F.explode(variant_keys(F.col("v"), cut)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    values = rows.groupBy("v").agg(F.min("id").alias("p"), F.min_by("fp", "id").alias("f"), F.count(F.lit(1)).alias("n"))
+    values = cut_lineage(values.repartition(width, "v"))
+    keys = values.select("p", "f", "n", F.explode(variant_keys(F.col("v"), cut)).alias("key"))
+    found = cut_lineage(
+        keys.groupBy("key").agg(
+            F.count(F.lit(1)).alias("twins"), F.sum("n").alias("n"), F.min("p").alias("p"), F.max("p").alias("q"), F.min("f").alias("f"), F.max("f").alias("g")
+        ).where("twins = 2").where((F.col("n") > 2) | (differing([F.col("f")], [F.col("g")]) <= cut.bits))
+    )
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 56) as int))")
     without_bit = F.col("key").bitwiseAND(F.lit((1 << 56) - 1))
-    twins = cut_lineage(found.where("n = 2").select(without_bit.alias("v"), without_bit.bitwiseOR(bit).alias("w")))
+    # twins of one fingerprint each are done with the comparison of their smallest
+    twins = found.where("n > 2").select(without_bit.alias("v"), without_bit.bitwiseOR(bit).alias("w"))
 
     # first links: every fingerprint with the smallest of its value, and the smallest ones of twins
     star = rows.select("id", "v").join(values.where("n > 1").select("v", "p"), "v").where("id <> p").select("p", F.col("id").alias("q"))
-    other = values.select(F.col("v").alias("w"), F.col("p").alias("q"))
-    heads = twins.join(values.select("v", "p"), "v").join(other, "w").where("p <> q").select("p", "q")
+    heads = found.where("p <> q").where(differing([F.col("f")], [F.col("g")]) <= cut.bits).select("p", "q")
     pairs = spelled(spelled(star.unionByName(heads).distinct(), "p", "x"), "q", "y")
     first = components(pairs.where(near).select(F.col("p").alias("a"), F.col("q").alias("b")))
     grouped = cut_lineage(renamed(nodes.withColumn("c", F.col("id")), first))
@@ -192,11 +198,10 @@ def link_groups(fps: DataFrame, cut: Cut) -> DataFrame:
     rows = grouped.select("c", *names, F.explode(segment_values(col("fp"), cut)).alias("v"))
     main = cut_lineage(
         rows.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("n"))
+        .groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.min("c").alias("low"), F.max("c").alias("high"))
     )
-    low, high = main.select("v", "low", "high", "main", "n"), main.toDF("w", "main_w", "low_w", "high_w", "n_w")
-    # values and twins of a single group have nothing to tell, and two single fingerprints have been compared
-    open_twins = twins.join(low, "v").join(high, "w").where("least(low, low_w) < greatest(high, high_w) and n + n_w > 2")
+    # values and twins of a single group have nothing to tell
+    open_twins = twins.join(main, "v").join(main.toDF("w", "main_w", "low_w", "high_w"), "w").where("least(low, low_w) < greatest(high, high_w)")
     open_twins = cut_lineage(open_twins.select("v", "w", (F.col("main") == F.col("main_w")).alias("alike")))
     of_value = main.select("v", "main", (F.col("low") < F.col("high")).alias("mixed"))
     ends = open_twins.select("v").unionByName(open_twins.select(F.col("w").alias("v"))).distinct().withColumn("twin", F.lit(True))
