@@ -48,12 +48,12 @@ def exact_cut(bits: int = 4) -> Cut:
 
 
 def wide_cut(similarity: float = 0.8) -> Cut:
-    """128 bits of which a share of ``similarity`` or more are equal, met in one of six segments of 21 or 22 bits.
+    """128 bits of which a share of ``similarity`` or more are equal, met in one of six segments of 20 bits.
 
-    Of pairs that differ in 15 % of the bits (as shingle sets of Jaccard 0.8 do on average) three in five meet,
-    of pairs that differ in 10 % nine in ten; chains over further copies add to that.
+    Of pairs that differ in 15 % of the bits (as shingle sets of Jaccard 0.8 do on average) two in three meet,
+    of pairs that differ in 10 % more than nine in ten; chains over further copies add to that.
     """
-    segments = ((0, 21), (21, 21), (42, 22), (64, 21), (85, 21), (106, 22))
+    segments = ((0, 20), (20, 20), (40, 20), (64, 20), (84, 20), (104, 20))
     return Cut(2, int(2 * BITS * (1 - similarity) + 1e-9), segments)
 
 
@@ -172,25 +172,31 @@ def link_groups(fps: DataFrame, cut: Cut) -> DataFrame:
         new = groups.select(F.col("node").alias("__c"), F.col("component").alias("__new"))
         return rows.join(new, F.col("c") == F.col("__c"), "left").withColumn("c", F.coalesce("__new", "c")).drop("__c", "__new")
 
-    # per value: its smallest fingerprint (with its first word) and how many it has
+    # per value: its smallest and largest fingerprint, how many it has, and the bits that all or any of them have
     rows = nodes.select("id", *names, F.explode(segment_values(col("fp"), cut)).alias("v"))
-    values = rows.groupBy("v").agg(F.min("id").alias("p"), F.min_by("fp", "id").alias("f"), F.count(F.lit(1)).alias("n"))
+    every, some = _names(cut.words, "every"), _names(cut.words, "some")
+    bits = [x for n, e, o in zip(names, every, some) for x in (F.bit_and(n).alias(e), F.bit_or(n).alias(o))]
+    values = rows.groupBy("v").agg(F.min("id").alias("p"), F.max("id").alias("q"), F.count(F.lit(1)).alias("n"), *bits)
     values = cut_lineage(values.repartition(width, "v"))
-    keys = values.select("p", "f", "n", F.explode(variant_keys(F.col("v"), cut)).alias("key"))
+    keys = values.select("p", "n", *every, *some, F.explode(variant_keys(F.col("v"), cut)).alias("key"))
+    # any two fingerprints of twins differ where one side has a bit throughout and the other nowhere
+    bits = [x for e, o in zip(every, some) for x in (F.bit_or(e).alias(e), F.bit_and(o).alias(o))]
+    apart = sum((F.bit_count(F.col(e).bitwiseAND(F.bitwise_not(F.col(o)))) for e, o in zip(every, some)), F.lit(0))
     found = cut_lineage(
-        keys.groupBy("key").agg(
-            F.count(F.lit(1)).alias("twins"), F.sum("n").alias("n"), F.min("p").alias("p"), F.max("p").alias("q"), F.min("f").alias("f"), F.max("f").alias("g")
-        ).where("twins = 2").where((F.col("n") > 2) | (differing([F.col("f")], [F.col("g")]) <= cut.bits))
+        keys.groupBy("key").agg(F.count(F.lit(1)).alias("twins"), F.sum("n").alias("n"), F.min("p").alias("p"), F.max("p").alias("q"), *bits)
+        .where("twins = 2").where(apart <= cut.bits).select("key", "n", "p", "q")
     )
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 56) as int))")
     without_bit = F.col("key").bitwiseAND(F.lit((1 << 56) - 1))
-    # twins of one fingerprint each are done with the comparison of their smallest
+    # twins of one fingerprint each are done with that
     twins = found.where("n > 2").select(without_bit.alias("v"), without_bit.bitwiseOR(bit).alias("w"))
 
     # first links: every fingerprint with the smallest of its value, and the smallest ones of twins
-    star = rows.select("id", "v").join(values.where("n > 1").select("v", "p"), "v").where("id <> p").select("p", F.col("id").alias("q"))
-    heads = found.where("p <> q").where(differing([F.col("f")], [F.col("g")]) <= cut.bits).select("p", "q")
-    pairs = spelled(spelled(star.unionByName(heads).distinct(), "p", "x"), "q", "y")
+    within = sum((F.bit_count(F.col(o).bitwiseAND(F.bitwise_not(F.col(e)))) for e, o in zip(every, some)), F.lit(0))
+    couples = values.where("n = 2").where(within <= cut.bits).select("p", "q")
+    star = rows.select("id", "v").join(values.where("n > 2").select("v", "p"), "v").where("id <> p").select("p", F.col("id").alias("q"))
+    heads = found.where("p <> q").select("p", "q")
+    pairs = spelled(spelled(couples.unionByName(star).unionByName(heads).distinct(), "p", "x"), "q", "y")
     first = components(pairs.where(near).select(F.col("p").alias("a"), F.col("q").alias("b")))
     grouped = cut_lineage(renamed(nodes.withColumn("c", F.col("id")), first))
 
@@ -198,18 +204,18 @@ def link_groups(fps: DataFrame, cut: Cut) -> DataFrame:
     rows = grouped.select("c", *names, F.explode(segment_values(col("fp"), cut)).alias("v"))
     main = cut_lineage(
         rows.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.min("c").alias("low"), F.max("c").alias("high"))
+        .groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("n"))
     )
     # values and twins of a single group have nothing to tell
-    open_twins = twins.join(main, "v").join(main.toDF("w", "main_w", "low_w", "high_w"), "w").where("least(low, low_w) < greatest(high, high_w)")
+    open_twins = twins.join(main, "v").join(main.toDF("w", "main_w", "low_w", "high_w", "n_w"), "w").where("least(low, low_w) < greatest(high, high_w)")
     open_twins = cut_lineage(open_twins.select("v", "w", (F.col("main") == F.col("main_w")).alias("alike")))
-    of_value = main.select("v", "main", (F.col("low") < F.col("high")).alias("mixed"))
+    of_value = main.select("v", "main", F.expr("low < high and n > 2").alias("mixed"))  # two have been compared
     ends = open_twins.select("v").unionByName(open_twins.select(F.col("w").alias("v"))).distinct().withColumn("twin", F.lit(True))
     members = rows.join(of_value.join(ends, "v", "left").where("mixed or twin"), "v")
-    left = members.select("v", F.col("c").alias("a"), F.col("main").alias("ma"), *named("x"))
+    left = members.select("v", "mixed", F.col("c").alias("a"), F.col("main").alias("ma"), *named("x"))
     right = members.select(F.col("v").alias("w"), F.col("c").alias("b"), F.col("main").alias("mb"), *named("y"))
     linked = (F.col("a") != F.col("b")) & near
-    same = left.where("a <> ma").join(right, (F.col("v") == F.col("w")) & linked).select("a", "b")
+    same = left.where("mixed and a <> ma").join(right, (F.col("v") == F.col("w")) & linked).select("a", "b")
     sent = left.join(open_twins, "v").drop("v")  # each fingerprint to the twins of its value
     all_others = sent.where("not alike or a <> ma").join(right, "w").where(linked).select("a", "b")
     outsiders = sent.where("alike and a = ma").join(right.where("b <> mb"), "w").where(linked).select("a", "b")
