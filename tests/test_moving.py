@@ -385,3 +385,10 @@ def test_a_scheduled_pull_goes_on_where_it_stopped(spark, tmp_path):
     assert run() == [(1, "a", 1000), (2, "a", 1000)] == run()
     spark.createDataFrame([(2, "b")], "k int, v string").write.mode("append").parquet(source)
     assert run() == [(1, "a", 1000), (2, "b", 1001)]
+
+
+def test_columns_in_the_types_that_drivers_deliver(spark):
+    df = spark.createDataFrame([(True, bytearray(b"\x01\x02"), "POLYGON((0 0,1 1,0 1,0 0))", 2)], "a boolean, b binary, g string, e tinyint")
+    got = normalize.normalize_pull(df, [Col("a", "bit"), Col("b", "bit"), Col("g", "polygon")]).first()
+    assert tuple(got) == ("1", "100000010", "POLYGON((0 0,1 1,0 1,0 0))")
+    assert normalize.normalize_push(df, [Col("e", "Enum8", labels=((1, "low"), (2, "high")))]).first()[0] == "high"

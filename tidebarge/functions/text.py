@@ -66,6 +66,11 @@ def valid_ipv6(col: Column) -> Column:
     return body.rlike(IPV6_FULL) | (body.rlike(IPV6_SHORT) & (groups <= 7))
 
 
+def valid_ip(col: Column) -> Column:
+    """What a column of IPv6 addresses takes: an IPv6 address, or an IPv4 one, which is mapped."""
+    return valid_ipv6(col) | valid_ipv4(col)
+
+
 def endpoint_reason(col: Column) -> Column:
     """Why ``d.d.d.d:port`` is not usable: ``format``, ``octet``, ``port``; NULL when it is fine."""
     shaped = col.rlike(r"^(\d{1,3}\.){3}\d{1,3}:\d{1,5}\z")

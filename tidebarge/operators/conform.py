@@ -144,7 +144,7 @@ def coarse_type(data_type: Column) -> Column:
     )
 
 
-_CHECKED = {"uuid": text.valid_uuid, "ipv4": text.valid_ipv4, "ipv6": text.valid_ipv6}
+_CHECKED = {"uuid": text.valid_uuid, "ipv4": text.valid_ipv4, "ipv6": text.valid_ip}
 _EMPTY = {
     "array": "array<string>", "map": "map<string,string>", "point": "struct<x:double,y:double>", "uuid": "string",
     "ipv4": "string", "ipv6": "string",

@@ -108,6 +108,8 @@ def pull_rule(d: ColumnDescriptor):
 def push_rule(d: ColumnDescriptor):
     """First matching push-side rule for a warehouse column."""
     t = d.data_type
+    if t.startswith("Enum") and d.labels:
+        return label_of(dict(d.labels))
     if t.startswith("DateTime"):
         return as_text if d.precision > TARGET_TIME_DIGITS else unchanged
     if t.startswith("Decimal"):
@@ -125,7 +127,21 @@ def push_rule(d: ColumnDescriptor):
 def _project(df: DataFrame, columns: Sequence[ColumnDescriptor], rule) -> DataFrame:
     if not columns:
         raise ValueError("no columns chosen")
-    return df.select(*[rule(d)(F.col(d.column_code)).alias(d.output_name) for d in columns])
+    types = dict(df.dtypes)
+    return df.select(*[_converted(d, types[d.column_code], rule).alias(d.output_name) for d in columns])
+
+
+def _converted(d: ColumnDescriptor, dtype: str, rule) -> Column:
+    """A column by its rule, from whatever type the source's driver delivers it in."""
+    col = F.col(d.column_code)
+    if rule is pull_rule and d.data_type.startswith("bit"):
+        if dtype == "boolean":
+            col = col.cast("int")
+        elif dtype == "binary":
+            col = F.conv(F.hex(col), 16, 10).cast("bigint")
+    if rule is pull_rule and d.data_type.startswith(GEOMETRY_PREFIXES) and dtype == "string":
+        return col  # the SELECT has made text of it
+    return rule(d)(col)
 
 
 def normalize_pull(df: DataFrame, columns: Sequence[ColumnDescriptor]) -> DataFrame:
@@ -138,10 +154,15 @@ def normalize_push(df: DataFrame, columns: Sequence[ColumnDescriptor]) -> DataFr
     return _project(df, columns, push_rule)
 
 
-def enum_label(df: DataFrame, column: str, labels: dict[int, str]) -> DataFrame:
-    """Enum numbers to labels. The labels are part of the column's type, so they are a literal map."""
+def label_of(labels: dict[int, str]):
+    """Rule from an enum's number to its label. The labels are part of the column's type, so they are a literal map."""
     table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
-    return df.withColumn(column, F.try_element_at(table, F.col(column)))
+    return lambda col: F.try_element_at(table, col.cast("int"))
+
+
+def enum_label(df: DataFrame, column: str, labels: dict[int, str]) -> DataFrame:
+    """Enum numbers of one column to labels."""
+    return df.withColumn(column, label_of(labels)(F.col(column)))
 
 
 def insert_columns(select_df: DataFrame, target_columns: Sequence[str]) -> DataFrame:

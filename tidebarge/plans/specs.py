@@ -10,7 +10,10 @@ PULL_STAMP = "pull_time"
 
 @dataclass(frozen=True)
 class ColumnDescriptor:
-    """One column of a source or warehouse table. ``data_type`` is the type name without arguments."""
+    """One column of a source or warehouse table. ``data_type`` is the type name without arguments.
+
+    ``labels`` are the (number, label) pairs of an enum, which are part of its type.
+    """
 
     column_code: str
     data_type: str
@@ -21,6 +24,7 @@ class ColumnDescriptor:
     scale: int = 0
     is_nullable: bool = True
     comment: str = ""
+    labels: tuple[tuple[int, str], ...] = ()
 
     @property
     def output_name(self) -> str:
