@@ -126,6 +126,34 @@ def test_vectors_against_brute_force(spark, monkeypatch, centres):
     assert out.count() == len(rows) + len(odd) + 3
 
 
+@pytest.mark.parametrize("centres", [1, 12])
+def test_components_of_chains_and_sparse_groups(spark, monkeypatch, centres):
+    monkeypatch.setattr(embeddings, "centres_for", lambda n: centres)
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    r = np.random.default_rng(5)
+    turns = np.radians(np.arange(60) * 4.0 + (np.arange(60) // 15) * 26)  # four chains on a circle
+    chains = np.zeros((60, 8))
+    chains[:, 0], chains[:, 1] = np.cos(turns), np.sin(turns)
+    middles = r.normal(size=(5, 8))
+    groups = (middles / np.linalg.norm(middles, axis=1)[:, None])[r.integers(0, 5, 240)] + 0.1 * r.normal(size=(240, 8))
+    x = np.concatenate((chains, groups))
+    ids = r.permutation(300).tolist()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    comp = reach(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near))])
+    out = embeddings.dedup(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>"))
+    assert {v.vec_id: (v.n_links, v.component_id, v.kept) for v in out.collect()} == {
+        i: (int(near[k].sum()), comp[i], comp[i] == i) for k, i in enumerate(ids)
+    }
+
+
+def test_chain_of_four_vectors(spark):
+    rows = [(i, [math.cos(math.radians(t)), math.sin(math.radians(t))]) for i, t in ((1, 0), (4, 15), (3, 30), (2, 45))]
+    out = embeddings.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r.vec_id: (r.component_id, r.kept) for r in out.collect()} == {1: (1, True), 2: (1, False), 3: (1, False), 4: (1, False)}
+
+
 def test_no_vectors(spark):
     assert embeddings.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

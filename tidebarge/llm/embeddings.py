@@ -5,8 +5,8 @@ within a chord d of each other, so if two such vectors have different home cells
 of the plane that halves the two centres. Each vector therefore also goes, as a guest, to every cell whose
 plane is that near, and no pair is missed. A cell compares its home rows with its home and guest rows by
 matrix products of bounded blocks, spread over tasks, so a cell with a third of all vectors is no single
-group. A block gives the number of links of each of its vectors and the smallest vector of its linked
-neighbourhood, never the pairs; the neighbourhoods are contracted to components.
+group. A block gives the number of links of each of its vectors and the smallest vector it reaches over links
+of the block (a spanning star of each component of the block), never the pairs; these are contracted to components.
 """
 
 from __future__ import annotations
@@ -106,8 +106,22 @@ def _assign(rows: DataFrame, centres: dict[int, np.ndarray], near: float) -> Dat
     return rows.mapInArrow(run, "dim int, cell int, vec_id long, v binary, home int, visits array<int>")
 
 
+def lowest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of the nodes 0 to ``n`` - 1 reaches over the edges ``a``-``b``; all edges count."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))  # roots hang under smaller ones
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def _compare(least: float):
-    """Compare the home rows of a block with the rows they meet; counts of links and smallest linked neighbour."""
+    """Compare the home rows of a block with the rows they meet; counts of links and smallest vector reached in the block."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         cell = int(key[1])
@@ -128,14 +142,12 @@ def _compare(least: float):
                 twice = np.zeros(len(x), dtype=bool)
                 for i in np.flatnonzero(guest & (b_home[y] < cell)):
                     twice[i] = b_home[y[i]] in visits[at[i]]
-                low_a = np.full(len(a_id), np.iinfo(np.int64).max)
-                low_b = np.full(len(b_id), np.iinfo(np.int64).max)
-                np.minimum.at(low_a, x, b_id[y])
-                np.minimum.at(low_b, y, a_id[x])
+                nodes, at = np.unique(np.concatenate((a_id, b_id)), return_inverse=True)
+                at_a, at_b = at[: len(a_id)].astype(np.int32), at[len(a_id) :].astype(np.int32)
+                reached = nodes[lowest_reached(len(nodes), at_a[x], at_b[y])]
                 n_a = np.bincount(x[~twice], minlength=len(a_id))
                 n_b = np.bincount(y[guest & ~twice], minlength=len(b_id))
-                for ids, n, low in ((a_id, n_a, low_a), (b_id, n_b, low_b)):
-                    hit = low < np.iinfo(np.int64).max
+                for ids, n, low, hit in ((a_id, n_a, reached[at_a], np.unique(x)), (b_id, n_b, reached[at_b], np.unique(y))):
                     out["vec_id"].append(ids[hit])
                     out["n"].append(n[hit])
                     out["low"].append(low[hit])
