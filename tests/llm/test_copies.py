@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from samples import docs, no_docs, prose  # noqa: F401
 
-from tidebarge.llm import embeddings, graph, simhash, sketch
+from tidebarge.llm import embeddings, graph, jaccard, simhash, sketch
 from tidebarge.llm.queries import QUERIES
 
 
@@ -96,6 +96,46 @@ def test_wide_fingerprints_catch_near_copies_and_leave_others(spark):
     assert kept >= set(range(20)) and len(kept) <= 22
 
 
+def edited_texts():
+    """Groups of texts with a few words changed, so that similarities lie on both sides of 0.8."""
+    r = random.Random(11)
+    texts = []
+    for group in range(12):
+        words = prose(100 + group, r.choice((12, 40, 150))).split()
+        for _ in range(8):
+            some = list(words)
+            for _ in range(r.randrange(1 + len(words) // 30 + 1)):
+                some[r.randrange(len(some))] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(some))
+    return texts + [t + " " + prose(5, 60) for t in (prose(s, 20) for s in range(300, 320))]  # a common passage
+
+
+def near_pairs(texts, least=0.8, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (t.lower().split() for t in texts)]
+    return [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9]
+
+
+@pytest.mark.parametrize("common", [2, 10**6])
+def test_pipeline_copies_against_brute_force(spark, monkeypatch, common):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "COMMON_DOCS", common)
+    texts = edited_texts()
+    pairs = near_pairs(texts)
+    comp = reach(range(len(texts)), pairs)
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").collect()}
+    assert len(pairs) > 50 and kept == {i for i in comp if comp[i] == i}
+
+
+def test_rows_with_one_id_and_different_texts_stay(spark, docs, no_docs):
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect() if r.doc_id == 7) == [("7", "one"), ("7", "two words")]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 6, 7, 7, 9, None]))
+    assert jaccard.keep_one(no_docs).count() == 0
+
+
 def vectors(seed=3, n=400, dim=24):
     r = np.random.default_rng(seed)
     x = r.normal(size=(n, dim))

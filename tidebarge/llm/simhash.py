@@ -67,11 +67,11 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint_bytes(text: bytes, shingle: int, seed: int, words: int = 1) -> tuple[int, ...]:
-    """The words of the fingerprint as signed numbers; no word at all: zeros."""
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """The hash of every shingle, as unsigned numbers; fewer words than a shingle: of their whole sequence; no word: none."""
     parts = text.lower().split()  # bytes: A-Z only, and exactly the blanks 0x20, 0x09-0x0D
     if not parts:
-        return (0,) * words
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(parts)
     if len(parts) <= shingle:
         hashes = [xxhash.xxh64_intdigest(joined, seed)]
@@ -80,7 +80,14 @@ def fingerprint_bytes(text: bytes, shingle: int, seed: int, words: int = 1) -> t
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], seed) for s, e in zip(starts[: len(parts) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    h = np.array(hashes, dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64)
+
+
+def fingerprint_bytes(text: bytes, shingle: int, seed: int, words: int = 1) -> tuple[int, ...]:
+    """The words of the fingerprint as signed numbers; no word at all: zeros."""
+    h = shingle_hashes(text, shingle, seed)
+    if not len(h):
+        return (0,) * words
     out = []
     for word in range(words):
         counts = np.zeros(BITS, dtype=np.int64)
