@@ -252,6 +252,13 @@ def test_secrets_of_a_table(spark):
     assert len(found) > sum(planted.values())  # others were looked at and removed
 
 
+def test_every_run_of_a_word_is_a_candidate(spark):
+    a, b, c = "aB3dE5gH7jK9mN1pQ2rS", "Zx9Yw8Vu7Ts6Rq5Po4Nm", "k3J5h7G9f1D2s4A6q8W0"
+    rows = [(1, f'{{"a":"{a}","b":"{b}"}}'), (2, f"https://example.com/some-long-documentation-path?token={c}"), (3, f"{a},{b},{c}")]
+    got = secrets.findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.candidate) for r in got) == Counter([(1, a), (1, b), (2, c), (3, a), (3, b), (3, c)])
+
+
 def test_secrets_oddities(spark, docs, no_docs):
     assert secrets.scan(no_docs).count() == 0
     assert secrets.findings(docs).count() == 0 or secrets.scan(docs).count() >= 0

@@ -1,6 +1,6 @@
 """Secret scans: candidates of the texts, scored by a random forest that removes false positives.
 
-A candidate is a word's run of at least ``SHORTEST`` characters of the alphabets that keys are written in, with a
+A candidate is any run in a word of at least ``SHORTEST`` characters of the alphabets that keys are written in, with a
 digit or letters of both cases inside. Its features are its length, its character transitions, how much of
 it dictionary words cover, whether it looks like a path or address, and the words beside it. The dictionary is
 the corpus itself: words that enough documents hold. The forest is trained on labelled findings; where a caller
@@ -36,7 +36,8 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """``(doc_id, at, candidate, before2, before, word, after)``, a row per candidate.
 
     ``at`` is the place of the word in the text (from 0, in blank-separated words), ``before`` and ``after`` are the
-    words beside it (empty at the ends). A word with several runs gives its longest. Null and empty texts have none.
+    words beside it (empty at the ends). A word with several runs gives each, told apart by ``part``, and ``word`` is then
+    the run with up to 80 characters of the pieces beside it. Null and empty texts have none.
     """
     blanks = F.lit(" \t\n\x0b\f\r")
     some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(MIXED) & F.col("text").rlike(RUN))
@@ -48,11 +49,23 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows = rows.select(
         "doc_id", F.col("m.at").cast("long").alias("at"), word(0).alias("word"), word(-2).alias("before2"), word(-1).alias("before"), word(1).alias("after")
     )
-    runs = F.regexp_extract_all("word", F.lit(RUN), F.lit(0))
-    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
-    clean = rows.withColumn("candidate", F.regexp_replace(longest, r"^[.=/+_-]+|[.+/_-]+$", ""))
+    # runs and what is between them, in turn; of a word with several runs each takes what is beside it
+    pieces = F.split(F.regexp_replace("word", f"({RUN})", "\u0001$1\u0001"), "\u0001")
+    rows = rows.withColumn("pieces", pieces)
+    piece = lambda i: F.coalesce(F.get("pieces", i), F.lit(""))
+    beside = lambda x, i: F.struct(
+        i.cast("long").alias("part"), x.alias("run"), F.concat(F.right(piece(i - 2), F.lit(80)), F.right(piece(i - 1), F.lit(80))).alias("lead"),
+        F.substring(piece(i + 1), 1, 80).alias("rest"),
+    )
+    runs = F.filter(F.transform("pieces", beside), lambda s: s["run"].rlike(f"^{RUN}$"))
+    rows = rows.select("doc_id", "at", "before2", "before", "after", "word", (F.size("pieces") > 3).alias("several"), F.explode(runs).alias("r"))
+    name = F.regexp_extract("r.run", rf"^[A-Za-z][A-Za-z0-9_.-]*=(?={RUN}$)", 0)
+    rows = rows.withColumn("run", F.expr("r.run")).withColumn("name", name)
+    rows = rows.withColumn("word", F.when(F.col("several"), F.concat("r.lead", "run", "r.rest")).otherwise(F.col("word")))
+    bare = F.when(F.col("several"), F.expr("substring(run, length(name) + 1)")).otherwise(F.col("run"))
+    clean = rows.withColumn("candidate", F.regexp_replace(bare, r"^[.=/+_-]+|[.+/_-]+$", ""))
     return clean.where((F.length("candidate") >= SHORTEST) & F.col("candidate").rlike(MIXED)).select(
-        "doc_id", "at", "candidate", "before2", "before", "word", "after"
+        "doc_id", "at", "candidate", "before2", "before", "word", "after", F.col("r.part").alias("part")
     )
 
 
