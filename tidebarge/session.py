@@ -46,5 +46,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str, *also: str) -> str:
+    """A work column's name that neither ``df`` nor ``also`` uses, in any case."""
+    taken = {c.lower() for c in (*df.columns, *also)}
+    while f"__{name}" in taken:
+        name += "_"
+    return f"__{name}"
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
