@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, fresh_path, prepare, shared_root, shuffle_width
+from ..session import cut_lineage, free_name, fresh_path, prepare, shared_root, shuffle_width
 from ..sources.tables import table
 
 __all__ = [
-    "bounded_batches", "cut_lineage", "fresh_path", "prepare", "put", "shared_root", "shuffle_width", "table", "uniform", "without",
+    "bounded_batches", "cut_lineage", "free_name", "fresh_path", "prepare", "put", "shared_root", "shuffle_width", "table", "uniform", "without",
 ]
 
 #: Bytes of one Arrow batch sent to a Python worker; a batch always holds at least one row.

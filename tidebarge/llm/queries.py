@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lines, mixing, privacy, quality, secrets, shards, simhash, sketch
+from . import bpe, embeddings, lines, mixing, privacy, quality, resample, secrets, shards, simhash, sketch
 from .base import prepare, table
+from .checks import CRC_TABLE, crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +138,47 @@ def op10(spark, folder):
     """Every text with its personal values replaced, and how many there were."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return privacy.pseudonymise(docs, "example key, kept in a secret store elsewhere", replaced="n_replaced").select("doc_id", "n_replaced", "text")
+
+
+@query(
+    "op11_resample",
+    f"""
+    with {CRC_TABLE},
+    d as (select row_number() over () as r, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+    q as (select regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from benchmark),
+    dw as (select r, unnest(ws) as w from d),
+    qw as (select unnest(ws) as w from q),
+    known as (select w, {crc32('w')} % 10000 as b from (select w from dw union select w from qw), crc_table),
+    dn as (select b, count(*) as s from dw join known using (w) group by b),
+    qn as (select b, count(*) as t from qw join known using (w) group by b),
+    sums as (select (select count(*) from dw) as s_all, (select count(*) from qw) as t_all),
+    gain as (
+        select b, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000))::double
+               / ((coalesce(s, 0) + 1) * (t_all + 10000))::double))::bigint as g
+        from (select distinct b from known) left join dn using (b) left join qn using (b), sums
+    ),
+    sized as (select r, count(*)::bigint as n, sum(g) as total from dw join known using (w) join gain using (b) group by r),
+    scored as (
+        select d.r, doc_id, coalesce(n, 0)::bigint as n_features, coalesce(floor(total / n), 0)::bigint as weight,
+               floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double)
+               / 4294967296::double)))::bigint as g
+        from d left join sized using (r)
+    ),
+    able as (
+        select r, row_number() over (order by weight + g desc, doc_id nulls last, n_features, weight, r) as rank
+        from scored where n_features >= 20
+    )
+    select doc_id, n_features, weight, weight + g as score,
+           case when rank <= 10 * (select count(*) from able) // 100 then rank end as rank
+    from scored left join able using (r)
+    """,
+)
+def op11(spark, folder):
+    """Feature count, weight, score and rank of every document, drawn towards the benchmark's words."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = resample.scored(docs, table(spark, folder, "benchmark"))
+    return resample.draw(scored, (10, 100)).select("doc_id", "n_features", "weight", "score", "rank")
