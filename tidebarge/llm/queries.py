@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lines, mixing, privacy, quality, resample, secrets, shards, simhash, sketch
+from . import bpe, embeddings, lines, mixing, privacy, quality, resample, secrets, shards, simhash, sketch, trie
 from .base import prepare, table
 from .checks import CRC_TABLE, crc32
 
@@ -182,3 +182,50 @@ def op11(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     scored = resample.scored(docs, table(spark, folder, "benchmark"))
     return resample.draw(scored, (10, 100)).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+    with {CRC_TABLE},
+    said as (
+        select conv_id, coalesce(text, '') as text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as d,
+               row_number() over (partition by conv_id order by turn nulls first, d) as pos
+        from conversations where conv_id is not null
+    ),
+    ids as (
+        select conv_id, conv_id - conv_id % 5 as base, ({crc32('conv_id::varchar')} % 9)::bigint as h
+        from (select distinct conv_id from said), crc_table
+    ),
+    sizes as (select conv_id as base, count(*) as n from said group by conv_id),
+    rebuilt as (
+        select i.conv_id, pos, d, text from ids i join said s on s.conv_id = i.base and pos <= h
+        union all
+        select i.conv_id, pos - h + least(h, coalesce(n, 0)), d, text
+        from ids i join said s on s.conv_id = i.conv_id and pos > h left join sizes z on z.base = i.base
+    ),
+    paths as (
+        select conv_id, pos as depth, text, list(d) over (partition by conv_id order by pos) as path from rebuilt
+        union all select conv_id, 0, '', []::varchar[] from ids
+    ),
+    nodes as (
+        select path, depth, min(conv_id) as conv_id, count(*) as n_convs, strlen(any_value(text)) as bytes from paths group by path, depth
+    ),
+    kids as (select path[:depth - 1] as path, count(*) as n_children from nodes where depth > 0 group by 1),
+    known as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join kids using (path)),
+    sums as (
+        select path[:d] as path, sum((n_convs - 1) * bytes) as saved_tokens, count(*) filter (n_children = 0) as n_leaves
+        from (select *, unnest(range(depth + 1)) as d from known) group by 1
+    ),
+    ends as (
+        select path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends_sha256
+        from (select conv_id, max_by(path, depth) as path from paths group by conv_id) group by path
+    )
+    select k.conv_id, k.depth::bigint as depth, p.conv_id as parent_conv_id, k.n_convs::bigint as n_convs, k.n_children::bigint as n_children,
+           n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, coalesce(ends_sha256, sha256('')) as ends_sha256
+    from known k join sums using (path) left join ends using (path) left join known p on k.depth > 0 and p.path = k.path[:k.depth - 1]
+    """,
+)
+def op12(spark, folder):
+    """Every node of the prefix trie of the conversations, rebuilt with shared heads."""
+    return trie.conversation_trie(table(spark, folder, "conversations"), heads=9, spread=5)
