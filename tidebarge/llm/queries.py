@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lines, mixing, privacy, quality, resample, secrets, shards, simhash, sketch, trie
+from . import bpe, embeddings, lines, mixing, packing, privacy, quality, resample, secrets, shards, simhash, sketch, trie
 from .base import prepare, table
 from .checks import CRC_TABLE, crc32
 
@@ -229,3 +229,10 @@ def op11(spark, folder):
 def op12(spark, folder):
     """Every node of the prefix trie of the conversations, rebuilt with shared heads."""
     return trie.conversation_trie(table(spark, folder, "conversations"), heads=9, spread=5)
+
+
+@query("op13_pack")
+def op13(spark, folder):
+    """Every piece of every document in sequences of 1024 tokens."""
+    # the rank file holds the vocabulary of byte_bpe_50k.json; the tests compare their ids
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), rank_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
