@@ -101,7 +101,7 @@ def test_rows_added_without_keys_and_replaced(spark):
     t.merge(frame(spark, (1, "a")), run=Run("j", 2))
     assert rows(t.read()) == [(1, "a"), (1, "a"), (None, "b")]
     old = t.version()
-    assert t.replace_all(spark.range(2), Run("j", 3)) == 2 and t.replace_all(spark.range(9), Run("j", 3)) == 2
+    assert t.merge(spark.range(2), run=Run("j", 3), whole=True) == 2 == t.merge(spark.range(9), run=Run("j", 3), whole=True)
     assert rows(t.read()) == [(0,), (1,)] and t.read(old).count() == 3
     with pytest.raises(ValueError):
         t.merge(frame(spark, (1, "a")))

@@ -11,7 +11,8 @@ from tidebarge.plans.specs import ColumnDescriptor as Col
 from tidebarge.plans.specs import FilterCondition, PullSpec, PushSpec
 from tidebarge.session import fresh_path
 from tidebarge.sinks import tables as sinks
-from tidebarge.sources import jdbc, plugin
+from tidebarge.sinks.keyed import KeyedTable
+from tidebarge.sources import jdbc
 from tidebarge.sources.tables import bind_values, run_select
 from tidebarge.streaming import feed, jobs
 
@@ -45,23 +46,6 @@ def test_written_files(spark, tmp_path, n):
     assert sum(r.rows for r in files) == n and len(files) == -(-n // 4) and all(r.rows <= 4 for r in files)
 
 
-def test_merge_touches_only_the_buckets_of_the_batch(spark, tmp_path):
-    path = str(tmp_path / "t")
-    state = (FilterCondition("v", "integer", "0"),)
-    first = spark.createDataFrame([(i, i) for i in range(100)], "k long, v long")
-    count, state = sinks.merge_into(spark, path, first, ["k"], ["v"], 16, state)
-    assert count == 100 and state[0].value == "99"
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").glob("bucket=*/*.parquet")}
-    batch = spark.createDataFrame([(5, 7), (5, 8), (5, 8)], "k long, v long")
-    count, state = sinks.merge_into(spark, path, batch, ["k"], ["v"], 16, state)
-    assert count == 3 and state[0].value == "99"  # the watermark does not go back
-    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").glob("bucket=*/*.parquet")}
-    gone = {p.parent.name for p in before if p not in after}
-    assert len(gone) == 1 and all(after[p] == before[p] for p in before if p.parent.name not in gone)
-    assert rows(sinks.read_merged(spark, path)) == sorted([(i, 8 if i == 5 else i) for i in range(100)], key=repr)
-    assert sinks.merge_into(spark, path, batch.limit(0), ["k"], ["v"], 16, state) == (0, state)
-
-
 def test_winner_of_a_tie_does_not_depend_on_partitions(spark):
     batch = spark.createDataFrame([(i % 3, 1, f"row{i}") for i in range(60)], "k int, v int, name string")
     spec = PullSpec("t", "", (FilterCondition("v", "integer", "0"),), ("k",))
@@ -129,16 +113,6 @@ def test_replace_rolls_back_the_failed_batch():
     assert (c.commits, c.rollbacks, c.closed) == (1, 1, True)
 
 
-def test_plugin_reads_row_groups_in_parallel(spark, tmp_path):
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
-    pq.write_table(pa.table({"a": list(range(10)), "b": ["x"] * 10}), tmp_path / "p.parquet", row_group_size=3)
-    df = plugin.scan(spark, str(tmp_path), ["a"])
-    assert df.columns == ["a"] and sorted(r.a for r in df.collect()) == list(range(10))
-    assert df.rdd.getNumPartitions() == 4
-
-
 def test_bound_values(spark):
     got = bind_values(spark, [
         FilterCondition("a", "string", "x"), FilterCondition("b", "integer", "7"), FilterCondition("c", "float", "1.5"),
@@ -261,9 +235,10 @@ def _log(spark, path, batches):
 def test_scheduled_pull_keeps_the_newest_batch(spark, tmp_path):
     path = str(tmp_path / "source")
     _log(spark, path, [[(1, "a"), (2, "b")], [(2, "B"), (3, "c")]])
-    got = jobs.scheduled_pull(feed.table_stream(spark, path, max_files=1), ["id"], ["v"], "pull-test")
+    target = KeyedTable(spark, str(tmp_path / "target"), ["id"])
+    got = jobs.scheduled_pull(feed.table_stream(spark, path, max_files=1), target, ["v"], clock=lambda: 500)
     assert rows(got.select("id", "v")) == [(1, "a"), (2, "B"), (3, "c")]
-    assert got.agg(F.max("pull_time")).first()[0] == 1  # two batches, stamped 0 and 1
+    assert got.agg(F.max("pull_time")).first()[0] == 501  # two batches in one second
 
 
 def test_liveness_over_batches(spark, tmp_path):
@@ -319,7 +294,9 @@ def test_streams_without_input(spark, tmp_path):
     assert feed.liveness_stream(feed.table_stream(spark, path), "id", "ts", "none").count() == 0
     existing = spark.createDataFrame([(1, "a", 0)], "id int, v string, pull_time bigint")
     stream = feed.table_stream(spark, path).select("id", "v")
-    assert rows(jobs.scheduled_pull(stream, ["id"], ["v"], "none", existing=existing)) == [(1, "a", 0)]
+    target = KeyedTable(spark, str(tmp_path / "target"), ["id"])
+    target.merge(existing.withColumn("pull_time", F.col("pull_time").cast("bigint")))
+    assert rows(jobs.scheduled_pull(stream, target, ["v"])) == [(1, "a", 0)]
     got = jobs.push_on_change(feed.table_stream(spark, path), [PushSpec("a", "t", "", key_columns=("id",))],
                               lambda s: existing, existing, "none")
     assert rows(got) == rows(existing)
@@ -330,26 +307,7 @@ def test_streams_over_an_empty_folder(spark, tmp_path):
     path.mkdir()
     stream = spark.readStream.schema("id int, v string").parquet(str(path))
     assert feed.drain_to_table(stream, "void").count() == 0
-    assert jobs.scheduled_pull(stream, ["id"], ["v"], "void").count() == 0
-
-
-def test_plugin_writes_and_replaces(spark, tmp_path):
-    path = str(tmp_path / "written")
-    df = spark.range(10).selectExpr("id", "cast(id as string) name").repartition(3)
-    plugin.write(df, path)
-    plugin.write(df, path)
-    assert plugin.scan(spark, path, ["id", "name"]).count() == 20
-    plugin.write(df.where("id < 4"), path, "overwrite")
-    assert rows(plugin.scan(spark, path, ["name", "id"])) == [(str(i), i) for i in range(4)]
-
-
-def test_plugin_failed_write_changes_nothing(spark, tmp_path):
-    path = str(tmp_path / "written")
-    plugin.write(spark.range(5), path)
-    broken = spark.range(9).selectExpr("if(id = 8, raise_error('gone'), id) id")
-    with pytest.raises(Exception):
-        plugin.write(broken, path, "overwrite")
-    assert plugin.scan(spark, path, ["id"]).count() == 5
+    assert jobs.scheduled_pull(stream, KeyedTable(spark, str(tmp_path / "void"), ["id"]), ["v"]).columns == ["id", "v", "pull_time"]
 
 
 @pytest.mark.parametrize(
@@ -375,16 +333,32 @@ def test_run_select_binds_in_order(spark):
 
 
 def test_a_scheduled_pull_goes_on_where_it_stopped(spark, tmp_path):
-    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
-    spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string").write.parquet(source)
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    target, now = KeyedTable(spark, str(tmp_path / "out"), ["k"]), [1000]
+    spark.createDataFrame([(1, "a"), (2, "a"), (None, "lost")], "k int, v string").write.parquet(source)
 
     def run():
         stream = feed.table_stream(spark, source + "/")
-        return rows(jobs.scheduled_pull(stream, ["k"], ["v"], first_stamp=1000, out=out, checkpoint=state))
+        return rows(jobs.scheduled_pull(stream, target, ["v"], checkpoint=state, clock=lambda: now[0]))
 
-    assert run() == [(1, "a", 1000), (2, "a", 1000)] == run()
+    assert run() == [(1, "a", 1000), (2, "a", 1000)]
+    version, now[0] = target.version().number, 4600
+    assert run() == [(1, "a", 1000), (2, "a", 1000)] and target.version().number == version  # nothing new, nothing written
     spark.createDataFrame([(2, "b")], "k int, v string").write.mode("append").parquet(source)
-    assert run() == [(1, "a", 1000), (2, "b", 1001)]
+    assert run() == [(1, "a", 1000), (2, "b", 4600)] and target.rejects().count() == 1
+    log = [(v.number, list(v.runs.values())[0]["note"]) for v in target.history()]
+    assert [note for _, note in log] == ["1000", "4600"]
+
+
+def test_a_replayed_batch_keeps_its_stamp(spark, tmp_path):
+    """The stream's own state is lost after the commit: the batch comes again and is not applied again."""
+    source = str(tmp_path / "in")
+    target, now = KeyedTable(spark, str(tmp_path / "out"), ["k"]), [1000]
+    spark.createDataFrame([(1, "a")], "k int, v string").write.parquet(source)
+    for attempt in ("state", "state-lost"):
+        got = jobs.scheduled_pull(feed.table_stream(spark, source), target, ["v"], checkpoint=str(tmp_path / attempt), clock=lambda: now[0])
+        assert rows(got) == [(1, "a", 1000)]
+        now[0] += 3600
 
 
 def test_columns_in_the_types_that_drivers_deliver(spark):

@@ -110,19 +110,3 @@ def test_key_integrity(spark):
     assert tuple(movement.key_integrity(df, "t", ["k"]).first()) == ("t", 4, 1, 1, False)
     assert tuple(movement.key_integrity(df.where("k = 2"), "t", ["k"]).first()) == ("t", 1, 0, 0, True)
     assert tuple(movement.key_integrity(df.where("k > 5"), "t", ["k"]).first()) == ("t", 0, 0, 0, True)
-
-
-def test_failed_table_does_not_stop_the_job(spark):
-    from tidebarge.operators import runlog
-
-    def move(spec, start):
-        if spec.dest_table == "bad":
-            raise ValueError("no such column\nmore")
-        return 3
-
-    specs = [PullSpec("a", ""), PullSpec("bad", ""), PullSpec("off", "", enabled=False), PullSpec("c", "")]
-    log = movement.run_tables(spark, 7, specs, move, clock=lambda: 1000)
-    assert [(r.table_id, r.status, r.error_info, r.record_count) for r in log.orderBy("table_id").collect()] == [
-        (1, "completed", "", 3), (2, "failed", "no such column", 0), (4, "completed", "", 3),
-    ]
-    assert tuple(runlog.job_status(log, ["job_id"]).first()) == (7, 3, 1, "failed")

@@ -13,6 +13,7 @@ from ..plans import jobs, movement
 from ..plans.specs import FilterCondition, PullSpec, PushSpec
 from ..session import fresh_path
 from ..sinks import tables as sinks
+from ..sinks.keyed import KeyedTable, Run
 from ..sources.jdbc import slice_predicates
 from ..sources.tables import run_select
 from . import frames
@@ -219,14 +220,20 @@ merged as (select * from both_loads qualify row_number() over
   (partition by event_id order by pull_time desc, ts desc) = 1)""".format(a=EARLIER, b=RUN)
 
 
-def incremental_pull(t: Tables) -> movement.PullResult:
+def incremental_pull(t: Tables) -> KeyedTable:
+    """The table after an earlier load and a pull from its watermark on; the pull writes its own rows only."""
     old, source = _event_loads(t)
     spec = PullSpec(
         "events", "select event_id, ts, user_id, event_type, value from source_events where ts > ?", (SINCE,),
         ("event_id",), ("ts",),
     )
+    root = fresh_path(t.spark, "events")
+    KeyedTable(t.spark, root).merge(old, run=Run("pull", EARLIER))
     rows = run_select(t.spark, spec.select_sql, spec.filter_val, {"source_events": source})
-    return movement.pull(spec, rows, old, RUN)
+    target = KeyedTable(t.spark, root, spec.key_columns)
+    state = [SINCE, FilterCondition("event_id", "integer", "0")]
+    target.merge(sinks.stamp(rows, RUN), spec.tiebreak, state, Run("pull", RUN))
+    return target
 
 
 @query(
@@ -235,7 +242,7 @@ def incremental_pull(t: Tables) -> movement.PullResult:
     cast(pull_time as bigint) pull_time from merged""",
 )
 def load_incremental(t: Tables) -> DataFrame:
-    return incremental_pull(t).target.withColumn("ts", ts_text("ts"))
+    return incremental_pull(t).read().withColumn("ts", ts_text("ts"))
 
 
 @query(
@@ -243,13 +250,13 @@ def load_incremental(t: Tables) -> DataFrame:
     """select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where l_returnflag = 'A'""",
 )
 def push_truncate_insert(t: Tables) -> DataFrame:
-    out = fresh_path(t.spark, "truncate-insert")
+    """The content is replaced by one new version; a failed write leaves the old one."""
     columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
-    t.lineitem.select(*columns).write.parquet(out)
+    target = KeyedTable(t.spark, fresh_path(t.spark, "truncate-insert"))
+    target.merge(t.lineitem.where("l_returnflag = 'R'").select(*columns))
     spec = PushSpec("lineitem", "pushed_lineitem", "", insert_columns=tuple(columns))
-    rows = movement.push(spec, t.lineitem.where("l_returnflag = 'A'"), t.spark.read.parquet(out))
-    rows.write.mode("overwrite").parquet(out)
-    return t.spark.read.parquet(out)
+    target.merge(movement.push(spec, t.lineitem.where("l_returnflag = 'A'"), target.read()), whole=True)
+    return target.read()
 
 
 def order_changes(t: Tables) -> DataFrame:
@@ -274,14 +281,18 @@ def order_changes(t: Tables) -> DataFrame:
 def push_replace_into(t: Tables) -> DataFrame:
     """The target after the push, and the batch rows that have no key."""
     spec = PushSpec("changes", "orders", "", key_columns=("o_orderkey",), order_columns=("seq",))
-    target = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.lit(0).alias("seq"))
+    target = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     lost = t.orders.where("o_custkey % 5 = 0").select(
         F.lit(None).cast("bigint").alias("o_orderkey"), "o_custkey", "o_orderstatus", "o_totalprice", F.lit(1).alias("seq")
     )
     batch = order_changes(t).unionByName(lost)
-    pushed = movement.push(spec, batch, target).withColumn("is_reject", F.lit(False))
-    rejects = movement.null_key_rows(batch, spec.key_columns).withColumn("is_reject", F.lit(True))
-    return pushed.unionByName(rejects).drop("seq").withColumn("o_orderkey", F.coalesce("o_orderkey", F.lit(-1).cast("bigint")))
+    root = fresh_path(t.spark, "orders")
+    KeyedTable(t.spark, root).merge(target)
+    pushed = KeyedTable(t.spark, root, spec.key_columns)
+    pushed.merge(batch, spec.order_columns, helper="seq")
+    rows = pushed.read().withColumn("is_reject", F.lit(False))
+    rejects = pushed.rejects().drop("reason").withColumn("is_reject", F.lit(True))
+    return rows.unionByName(rejects).withColumn("o_orderkey", F.coalesce("o_orderkey", F.lit(-1).cast("bigint")))
 
 
 @query(
@@ -386,8 +397,8 @@ def composite_in_subquery(t: Tables) -> DataFrame:
     '"}},{{"column":"event_id","dataType":"integer","value":"' || max(event_id) || '"}}]' filter_val from merged""",
 )
 def advance_watermark(t: Tables) -> DataFrame:
-    target = incremental_pull(t).target
-    return versions.advance_watermark(target, [SINCE, FilterCondition("event_id", "integer", "0")])
+    """The watermark that the table's version holds after the pull."""
+    return t.spark.createDataFrame([(incremental_pull(t).version().state,)], "filter_val string")
 
 
 _CODED = f"""'[{{"column":"ts","dataType":"datetime","value":"' || {sql_ts('ts')} ||
@@ -450,7 +461,10 @@ _MIDDLE, _OVERLAP = "2024-01-16 00:00:00", "2024-01-10 00:00:00"
 
 
 def _pull_twice(t: Tables) -> jobs.Store:
-    """Two runs of a pull job: events up to the middle, then all after the watermark with some corrected; one table fails."""
+    """Two runs of a pull job: events up to the middle, then all after the watermark with some corrected.
+
+    One table fails; users of 100 have no key and those of 101 one that is no number. Every run is done twice.
+    """
     store = jobs.Store(t.spark, fresh_path(t.spark, "job"))
     columns = ["event_id", "ts", "user_id", "event_type"]
     specs = [
@@ -469,9 +483,13 @@ def _pull_twice(t: Tables) -> jobs.Store:
         def rows_of(spec: PullSpec, source: DataFrame = source) -> DataFrame:
             if spec.dest_table == "broken":
                 raise ValueError("no such table")
-            return filters.since(source, spec.filter_val) if spec.filter_val else source.select("user_id").distinct()
+            if spec.filter_val:
+                return filters.since(source, spec.filter_val)
+            users = source.select(F.col("user_id").cast("string").alias("user_id")).distinct()
+            return users.withColumn("user_id", F.when(F.col("user_id") == "101", "n/a").when(F.col("user_id") != "100", F.col("user_id")))
 
-        jobs.run_pull_job(store, 1, specs, rows_of, now, buckets=8)
+        for _ in range(2):
+            jobs.run_pull_job(store, 1, specs, rows_of, now, casts={"users": {"user_id": "int64"}})
     return store
 
 
@@ -487,7 +505,9 @@ pulled as (select event_id, user_id, event_type, {EARLIER} pull_time from first
 @query(
     "pull_job_run",
     f"""with {_PULLED} select 'events' kind, event_id id, event_type note, cast(pull_time as bigint) stamp, 0 "rows" from pulled
-    union all select 'users', user_id, '', {RUN}, 0 from (select distinct user_id from late) u
+    union all select 'users', user_id, '', {RUN}, 0 from (select distinct user_id from late) u where user_id not in (100, 101)
+    union all select 'reject', 0, case user_id when 100 then 'no key' else '[{{"column":"user_id","reason":"not a number"}}]' end, {RUN}, 0
+      from (select distinct user_id from late) u where user_id in (100, 101)
     union all select 'log', 1, 'completed', {EARLIER}, count(*) from first
     union all select 'log', 1, 'completed', {RUN}, count(*) from second
     union all select 'log', 2, 'completed', {EARLIER}, count(distinct user_id) from first
@@ -497,15 +517,16 @@ pulled as (select event_id, user_id, event_type, {EARLIER} pull_time from first
     union all select 'change', 0, 'warehouse:users', {EARLIER}, 0 union all select 'change', 0, 'warehouse:users', {RUN}, 0""",
 )
 def pull_job_run(t: Tables) -> DataFrame:
-    """Both tables of a pull job after two runs, its logs and its change messages."""
+    """Both tables of a pull job after two runs, its rejects, logs and change messages."""
     store = _pull_twice(t)
     none = F.lit(0).cast("bigint")
     line = lambda kind, id_, note, at, rows: [
         F.lit(kind).alias("kind"), id_.cast("bigint").alias("id"), note.alias("note"), at.cast("bigint").alias("stamp"), rows.cast("bigint").alias("rows")
     ]
     parts = [
-        store.table(1, "events").select(*line("events", F.col("event_id"), F.col("event_type"), F.col("pull_time"), none)),
-        store.table(1, "users").select(*line("users", F.col("user_id"), F.lit(""), F.col("pull_time"), none)),
+        store.table("events").select(*line("events", F.col("event_id"), F.col("event_type"), F.col("pull_time"), none)),
+        store.table("users").select(*line("users", F.col("user_id"), F.lit(""), F.col("pull_time"), none)),
+        store.rejects("users").select(*line("reject", none, F.col("reason"), F.col("pull_time"), none)),
         store.logs().select(*line("log", F.col("table_id"), F.col("status"), F.col("start_time"), F.col("record_count"))),
         store.changes().select(*line("change", none, F.col("message"), F.col("ts"), none)),
     ]
@@ -521,14 +542,14 @@ def pull_job_run(t: Tables) -> DataFrame:
 def push_job_run(t: Tables) -> DataFrame:
     """A push after each of two pulls: the second sends what was loaded since the first."""
     store = _pull_twice(t)
-    rows = store.table(1, "events").select("event_id", "event_type", "pull_time")
+    rows = store.table("events").select("event_id", "event_type", "pull_time")
     before = t.events.where(f"ts <= timestamp_ntz '{_MIDDLE}'").select("event_id", "event_type", F.lit(EARLIER).cast("bigint").alias("pull_time"))
     spec = PushSpec("events", "sent", "", key_columns=("event_id",))
-    jobs.run_push_job(store, 2, [spec], lambda _: before, EARLIER + 1, buckets=8)
-    jobs.run_push_job(store, 2, [spec], lambda _: rows, RUN + 1, buckets=8)
+    for frame, now in ((before, EARLIER + 1), (rows, RUN + 1), (rows, RUN + 1)):
+        jobs.run_push_job(store, 2, [spec], lambda _, frame=frame: frame, now)
     none = F.lit(0).cast("bigint")
     logs = store.logs().where("job_id = 2").select(
         F.lit("log").alias("kind"), (F.col("start_time") - 1).alias("id"), F.col("status").alias("note"), F.col("record_count").alias("rows")
     )
-    sent = store.table(2, "sent").select(F.lit("target").alias("kind"), F.col("event_id").alias("id"), F.col("event_type").alias("note"), none.alias("rows"))
+    sent = store.table("sent").select(F.lit("target").alias("kind"), F.col("event_id").alias("id"), F.col("event_type").alias("note"), none.alias("rows"))
     return sent.unionByName(logs)

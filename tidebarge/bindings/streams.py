@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.requests import burst_summary
 from ..plans.specs import PushSpec
+from ..session import fresh_path
+from ..sinks import tables as sinks
+from ..sinks.keyed import KeyedTable
 from ..streaming import bursts, feed, jobs
 from .frames import BURSTS, sql_ts, ts_text
 from .registry import Tables, query
@@ -63,14 +66,13 @@ def host_liveness(t: Tables) -> DataFrame:
 def scheduled_pull(t: Tables) -> DataFrame:
     """An existing load is caught up by a drained stream that overlaps it by a week."""
     columns = ["event_id", "event_type", "value"]
-    existing = t.events.where("ts <= timestamp_ntz '2024-01-16 00:00:00'").select(*columns).withColumn(
-        "pull_time", F.lit(0).cast("bigint")
-    )
+    target = KeyedTable(t.spark, fresh_path(t.spark, "scheduled"))
+    target.merge(sinks.stamp(t.events.where("ts <= timestamp_ntz '2024-01-16 00:00:00'").select(*columns), 0))
     changed = _stream(t, "events").where("ts > timestamp_ntz '2024-01-08 00:00:00'").withColumn(
         "event_type", F.upper("event_type")
     )
-    done = jobs.scheduled_pull(changed.select(*columns), ["event_id"], ["value"], first_stamp=RUN, existing=existing)
-    return done.drop("pull_time")
+    keyed = KeyedTable(t.spark, target.root, ["event_id"])
+    return jobs.scheduled_pull(changed.select(*columns), keyed, ["value"], clock=lambda: RUN).drop("pull_time")
 
 
 @query(

@@ -1,26 +1,25 @@
-"""Running pull and push jobs end to end: rows, target, superseded rows, watermark, logs, change messages.
+"""Running pull and push jobs end to end: rows, casts, target, superseded rows, watermark, logs, change messages.
 
-A :class:`Store` is a folder that all executors reach. Tables lie in it as key buckets (see ``sinks.merge_into``) or,
-for full refreshes, as one folder per run; states, logs and change messages are append-only tables of it. A state
-row is written after the rows it speaks of, so a run that dies in between is done again by the next one, which
-replaces the same keys.
+A :class:`Store` is a folder that all executors reach. Every table in it is a :class:`~tidebarge.sinks.keyed.KeyedTable`,
+whose newest version holds the watermark and the newest run of each job, so rows, watermark and run are one step. Logs
+and change messages lie in one folder per run, written after the tables and overwritten if the run is done again. A run
+that is repeated (same job, same ``now``) therefore changes nothing, wherever the first attempt died.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import runlog, versions
+from ..operators import conform, runlog, versions
 from ..sinks import tables as sinks
-from .movement import last_per_key, null_key_rows
-from .specs import PULL_STAMP, PullSpec, PushSpec, conditions_from_json, conditions_to_json
+from ..sinks.keyed import KeyedTable, Run
+from .specs import PULL_STAMP, PullSpec, PushSpec
 
-STATE = "job_id int, table_code string, last_run bigint, filter_val string, location string"
 LOG = "job_id int, table_id int, table_code string, start_time bigint, stop_time bigint, error_info string, record_count bigint"
 CHANGE = "message string, ts bigint"
 
@@ -32,17 +31,25 @@ class Store:
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        return self.spark.read.schema(schema).parquet(path) if sinks.exists(self.spark, path) else self.spark.createDataFrame([], schema)
+        if not sinks.exists(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(f"{schema}, run string").parquet(path).drop("run")
 
-    def _add(self, name: str, schema: str, rows: Sequence[tuple]) -> None:
+    def _put(self, name: str, schema: str, run: str, rows: Sequence[tuple]) -> None:
         if rows:
-            self.spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+            frame = self.spark.createDataFrame(list(rows), schema).coalesce(1)
+            frame.write.mode("overwrite").parquet(f"{self.root}/{name}/run={run}")
 
-    def states(self, job_id: int) -> dict[str, tuple[int, str, str]]:
-        """Last run, watermark and location of each table of a job: a row per configured table."""
-        newest = F.max_by(F.struct("last_run", "filter_val", "location"), "last_run").alias("s")
-        rows = self._read("state", STATE).where(F.col("job_id") == job_id).groupBy("table_code").agg(newest).collect()
-        return {r["table_code"]: tuple(r["s"]) for r in rows}
+    def keyed(self, name: str, keys: Sequence[str] = ()) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.root}/tables/{name}", keys)
+
+    def table(self, name: str) -> DataFrame:
+        """The table as the jobs left it."""
+        return self.keyed(name).read()
+
+    def rejects(self, name: str) -> DataFrame:
+        """Rows that could not be placed, with the reason."""
+        return self.keyed(name).rejects()
 
     def logs(self) -> DataFrame:
         return runlog.fold_run_events(self._read("log", LOG), ["job_id", "table_id", "table_code"])
@@ -50,95 +57,90 @@ class Store:
     def changes(self) -> DataFrame:
         return self._read("changes", CHANGE)
 
-    def table(self, job_id: int, name: str) -> DataFrame:
-        """The table as the job left it."""
-        return sinks.read_merged(self.spark, self.states(job_id)[name][2])
 
-
-def _run(store: Store, job_id: int, specs: Sequence, move: Callable, now: int, skip_hours: Sequence[int], workers: int, clock: Callable[[], int]) -> bool:
+def _run(
+    store: Store, kind: str, job_id: int, specs: Sequence, move: Callable, now: int, skip_hours: Sequence[int], workers: int,
+    clock: Callable[[], int],
+) -> bool:
     """Move every enabled table, up to ``workers`` at a time; a table that fails is logged and the others go on.
 
-    ``move(spec, state)`` returns the table's name, its rows, its new watermark, its location and the change message.
-    In a skipped hour (UTC) nothing runs. Returns whether every table went well.
+    ``move(spec, run)`` returns the number of rows and the change message. In a skipped hour (UTC) nothing runs.
+    Returns whether every table went well.
     """
     if now // 3600 % 24 in skip_hours:
         return True
-    states = store.states(job_id)
+    run = Run(f"{kind}-{job_id}", now)
 
-    def one(item: tuple) -> tuple[tuple, tuple | None, tuple | None]:
+    def one(item: tuple) -> tuple[tuple, tuple | None]:
         table_id, spec = item
         try:
-            name, count, watermark, location, message = move(spec, states)
+            count, message = move(spec, run)
         except Exception as e:
             text = (str(e).splitlines() or [""])[0] or type(e).__name__
-            return (job_id, table_id, spec.dest_table, now, clock(), text, 0), None, None
-        log = (job_id, table_id, spec.dest_table, now, clock(), "", count)
-        return log, (job_id, name, now, watermark, location), (message, now) if message else None
+            return (job_id, table_id, spec.dest_table, now, clock(), text, 0), None
+        return (job_id, table_id, spec.dest_table, now, clock(), "", count), (message, now) if message else None
 
     work = [(i, s) for i, s in enumerate(specs, 1) if s.enabled]
     with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:  # bounded by the caller; the loop is over configuration
         done = list(pool.map(one, work))
-    store._add("state", STATE, [s for _, s, _ in done if s])
-    store._add("changes", CHANGE, [c for _, _, c in done if c])
-    store._add("log", LOG, [log for log, _, _ in done])
-    return all(s for _, s, _ in done)
+    store._put("changes", CHANGE, f"{run.writer}-{now}", [c for _, c in done if c])
+    store._put("log", LOG, f"{run.writer}-{now}", [log for log, _ in done])
+    return all(not log[5] for log, _ in done)
+
+
+def _cast(rows: DataFrame, wanted: Mapping[str, str]) -> DataFrame:
+    """Rows in the wanted types; ``__reason`` names the values of a row that do not fit."""
+    cast = conform.cast_table(rows, dict(wanted), [c for c in rows.columns if c not in wanted])
+    return cast.withColumn("__reason", F.when(F.size("rejects") > 0, F.to_json("rejects"))).drop("rejects")
 
 
 def run_pull_job(
     store: Store, job_id: int, specs: Sequence[PullSpec], rows_of: Callable[[PullSpec], DataFrame], now: int, database: str = "warehouse",
-    skip_hours: Sequence[int] = (), workers: int = 4, buckets: int = 64, clock: Callable[[], int] | None = None,
+    casts: Mapping[str, Mapping[str, str]] | None = None, skip_hours: Sequence[int] = (), workers: int = 4,
+    clock: Callable[[], int] | None = None,
 ) -> bool:
     """One run of a pull job. ``rows_of`` runs a spec's SELECT with the watermark bound to it.
 
-    Without a watermark a table is refreshed into a folder of its own and the state then points there; with one its
-    rows are merged by key into the touched buckets (appended when there are no keys).
+    Without a watermark a table is replaced as a whole; with one its rows are merged by key (added when there are no
+    keys). ``casts`` gives the types (see ``conform.cast_table``) of a table's columns. Rows without a key or with a
+    value that does not fit are stored as rejects with the reason; the others go on.
     """
 
-    def move(spec: PullSpec, states: dict) -> tuple:
-        known = states.get(spec.dest_table)
-        spec = replace(spec, filter_val=conditions_from_json(known[1])) if known and known[1] else spec
-        rows = rows_of(spec)
-        if spec.key_columns and not null_key_rows(rows, spec.key_columns).isEmpty():
-            raise ValueError("rows without a key")
-        loaded = sinks.stamp(rows, now)
-        order = [*spec.tiebreak, *[c.column for c in spec.filter_val if c.column not in spec.tiebreak]]
-        path, watermark = f"{store.root}/tables/{spec.dest_table}", spec.filter_val
-        if not spec.filter_val:
-            path = f"{path}/run={now}-{job_id}"
-            fresh = last_per_key(loaded, spec.key_columns, order) if spec.key_columns else loaded
-            count = sinks.append_counted(fresh, path)
-        elif spec.key_columns:
-            count, watermark = sinks.merge_into(store.spark, path, loaded, spec.key_columns, order, buckets, spec.filter_val)
-        else:
-            count, watermark = sinks.write_with_watermark(loaded, f"{path}/run={now}", spec.filter_val)
-        return spec.dest_table, count, conditions_to_json(watermark), path, f"{database}:{spec.dest_table}"
-
-    return _run(store, job_id, specs, move, now, skip_hours, workers, clock or (lambda: now))
+    def move(spec: PullSpec, run: Run) -> tuple[int, str]:
+        target = store.keyed(spec.dest_table, spec.key_columns)
+        state = target.state() or spec.filter_val
+        rows = rows_of(replace(spec, filter_val=state))
+        wanted = (casts or {}).get(spec.dest_table)
+        rows = _cast(rows, wanted) if wanted else rows
+        order = [*spec.tiebreak, *[c.column for c in state if c.column not in spec.tiebreak]]
+        count = target.merge(
+            sinks.stamp(rows, now), order, state, run, reason="__reason" if wanted else None, whole=not spec.filter_val
+        )
+        return count, f"{database}:{spec.dest_table}"
+
+    return _run(store, "pull", job_id, specs, move, now, skip_hours, workers, clock or (lambda: now))
 
 
 def run_push_job(
     store: Store, job_id: int, specs: Sequence[PushSpec], rows_of: Callable[[PushSpec], DataFrame], now: int,
-    skip_hours: Sequence[int] = (), workers: int = 4, buckets: int = 64, clock: Callable[[], int] | None = None,
+    skip_hours: Sequence[int] = (), workers: int = 4, clock: Callable[[], int] | None = None,
 ) -> bool:
     """One run of a push job: rows loaded since its previous run go to the target by key, or replace it without keys.
 
     ``rows_of`` gives a spec's rows with their ``pull_time``.
     """
 
-    def move(spec: PushSpec, states: dict) -> tuple:
-        known = states.get(spec.dest_table)
+    def move(spec: PushSpec, run: Run) -> tuple[int, None]:
+        target = store.keyed(spec.dest_table, spec.key_columns)
         rows = rows_of(spec)
         columns = [*(spec.insert_columns or [c for c in rows.columns if c != PULL_STAMP])]
-        path = f"{store.root}/tables/{spec.dest_table}"
         if not spec.key_columns:
-            path = f"{path}/run={now}-{job_id}"
-            return spec.dest_table, sinks.append_counted(rows.select(*columns), path), "", path, None
-        since = versions.since_pull(rows, known[0]) if known else rows
-        if not null_key_rows(since, spec.key_columns).isEmpty():
-            raise ValueError("rows without a key")
+            return target.merge(rows.select(*columns), run=run, whole=True), None
+        last = target.version().runs.get(run.writer)
+        since = versions.since_pull(rows, last["number"]) if last else rows
+        # the order of the versions of a key need not be among the columns that are sent
         order = [c for c in spec.order_columns if c in since.columns] or [PULL_STAMP]
-        picked = last_per_key(since, spec.key_columns, order).select(*columns)
-        count, _ = sinks.merge_into(store.spark, path, picked, spec.key_columns, [], buckets)
-        return spec.dest_table, count, "", path, None
+        batch = since.select(*columns, F.struct(*order).alias("__order")) if set(order) - set(columns) else since.select(*columns)
+        return target.merge(batch, order if "__order" not in batch.columns else ["__order"], run=run, helper="__order"), None
 
-    return _run(store, job_id, specs, move, now, skip_hours, workers, clock or (lambda: now))
+    return _run(store, "push", job_id, specs, move, now, skip_hours, workers, clock or (lambda: now))

@@ -7,13 +7,12 @@ same rows twice gives the same table as once. A pull with a watermark and withou
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,32 +120,3 @@ def key_integrity(batch: DataFrame, table: str, keys: Sequence[str]) -> DataFram
         F.coalesce(F.sum(F.when(has_null, F.col("__n"))), F.lit(0)).cast("bigint").alias("null_key_rows"),
     ).withColumn("is_fit", (F.col("repeated_keys") == 0) & (F.col("null_key_rows") == 0))
 
-
-def run_tables(
-    spark: SparkSession,
-    job_id: int,
-    specs: Iterable[PullSpec | PushSpec],
-    move: Callable[[PullSpec | PushSpec, int], int],
-    clock: Callable[[], float] = time.time,
-) -> DataFrame:
-    """Run a job's enabled tables one after the other and return their log rows.
-
-    ``move`` does one table and returns its row count. A table that fails is
-    logged and the job goes on; ``runlog.job_status`` then calls the job failed.
-    The loop is over configuration; the data stays in Spark.
-    """
-    log = []
-    for table_id, spec in enumerate(specs, 1):
-        if not spec.enabled:
-            continue
-        start, error, count = int(clock()), "", 0
-        try:
-            count = move(spec, start)
-        except Exception as e:
-            error = str(e).splitlines()[0] if str(e) else type(e).__name__
-        log.append((job_id, table_id, start, int(clock()), "failed" if error else "completed", error, count))
-    return spark.createDataFrame(
-        log,
-        "job_id int, table_id int, start_time bigint, stop_time bigint, status string, error_info string, "
-        "record_count bigint",
-    )

@@ -182,12 +182,16 @@ class KeyedTable:
 
     def merge(
         self, batch: DataFrame, order_by: Sequence[str] = (), state: Sequence[FilterCondition] = (), run: Run | None = None,
-        reason: str | None = None, step: Callable[[str], None] = lambda name: None,
+        reason: str | None = None, helper: str | None = None, whole: bool = False, step: Callable[[str], None] = lambda name: None,
     ) -> int:
         """Keyed replace: a row of the batch takes the place of the old row with its key. Returns the rows of the batch.
 
+        With ``whole`` the table then holds the batch and nothing else, in the batch's columns; readers see the old
+        content until all is written.
+
         Of batch rows that share a key the first by ``order_by`` descending, then by hash, wins. Rows with a NULL key
-        go to the rejects, as do rows whose ``reason`` column (named by the caller, not part of the table) is not NULL.
+        go to the rejects, as do rows whose ``reason`` column is not NULL. ``reason`` and ``helper`` name columns of the
+        batch that are no part of the table; the latter may stand in ``order_by``.
         Without keys all rows are added. ``state`` is the watermark to start from if the table has none; it advances to
         the maxima of the rows placed. A batch without rows makes no version unless a run or rejects are to be noted.
         ``step`` is told what has been written (for tests of runs that die).
@@ -196,9 +200,9 @@ class KeyedTable:
         if (known := self._done(old, run)) is not None:
             return known
         state = conditions_from_json(old.state) or tuple(state)
-        columns = [c for c in batch.columns if c != reason]
+        columns = [c for c in batch.columns if c not in (reason, helper)]
         schema = json.dumps(T.StructType([replace_nullable(batch.schema[c]) for c in columns]).jsonValue())
-        if old.schema and old.schema != schema:
+        if old.schema and old.schema != schema and not whole:
             raise ValueError("the batch has other columns than the table")
         lost = reduce(or_, [F.col(k).isNull() for k in self.keys], F.lit(False))
         bad = lost | (F.col(reason).isNotNull() if reason else F.lit(False))
@@ -215,18 +219,18 @@ class KeyedTable:
         step("data")
         got, put = seen.get, seen_placed.get
         changes: dict = {"schema": schema, "state": self._advanced(state, got)}
-        rejects = dict(old.rejects)
+        rejects = {} if whole else dict(old.rejects)
         if got["bad"]:
-            why = F.when(lost, F.lit("no key")) if not reason else F.when(lost, F.lit("no key")).otherwise(F.col(reason))
+            why = F.coalesce(*([F.col(reason)] if reason else []), F.lit("no key"))
             rejects[self._write("rejects", batch.where(bad).select(*columns, why.alias("reason")))] = got["bad"]
             step("rejects")
-        folders, deletes = dict(old.folders), dict(old.deletes)
+        folders, deletes = ({}, {}) if whole else (dict(old.folders), dict(old.deletes))
         if put["n"]:
             if self.keys and folders:
                 folders, deletes = self._replaced(old, name, put)
                 step("deletes")
             folders[name] = (put["n"], 0)
-        if not (put["n"] or got["bad"] or run) and old.number:
+        if not (put["n"] or got["bad"] or run or whole) and old.number:
             return 0
         new = self._publish(self._next(old, run, got["rows"], folders=folders, deletes=deletes, rejects=rejects, **changes))
         step("version")
@@ -259,19 +263,6 @@ class KeyedTable:
         deletes = {d: [n for n in o if n in folders] for d, o in (old.deletes | {gone: sorted(of)}).items()}
         return folders, {d: o for d, o in deletes.items() if o}
 
-    def replace_all(self, rows: DataFrame, run: Run | None = None, state: Sequence[FilterCondition] = ()) -> int:
-        """The table holds these rows and no others, of any columns; readers see the old content until all are written."""
-        old = self.version()
-        if (known := self._done(old, run)) is not None:
-            return known
-        seen = Observation()
-        name = self._write("data", rows.observe(seen, F.count(F.lit(1)).alias("n")))
-        n = seen.get["n"]
-        schema = json.dumps(T.StructType([replace_nullable(f) for f in rows.schema.fields]).jsonValue())
-        text = conditions_to_json(state) if state else ""
-        self._publish(self._next(old, run, n, schema=schema, folders={name: (n, 0)}, deletes={}, rejects={}, state=text))
-        return n
-
     def compact(self, deleted: float = 0.25, small: float = 0.05) -> int:
         """Rewrite folders of which a share ``deleted`` or more is gone, or that hold under ``small`` of the largest's rows.
 

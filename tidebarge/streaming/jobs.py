@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import types as T
 
 from ..plans.movement import last_per_key, replace_rows
 from ..plans.specs import PULL_STAMP, PushSpec
+from ..sinks.keyed import KeyedTable, Run
+from ..sinks.tables import stamp
 from .feed import batch_folder, drain_batches
 
 
@@ -18,30 +21,26 @@ def _with_fields(df: DataFrame, **types: T.DataType) -> T.StructType:
 
 
 def scheduled_pull(
-    stream: DataFrame, keys: Sequence[str], tiebreak: Sequence[str], label: str = "pull", first_stamp: int = 0,
-    existing: DataFrame | None = None, out: str | None = None, checkpoint: str | None = None,
+    stream: DataFrame, target: KeyedTable, tiebreak: Sequence[str] = (), label: str = "scheduled", checkpoint: str | None = None,
+    clock: Callable[[], int] = lambda: int(time.time()),
 ) -> DataFrame:
-    """Incremental pull on every trigger; a streaming query never overlaps itself.
+    """Incremental pull on every trigger into a keyed table; a streaming query never overlaps itself.
 
-    The stream's checkpoint is the watermark. A batch goes to a folder of its
-    own, so a replay overwrites it. ``pull_time`` is ``first_stamp`` (epoch seconds of
-    the first run) and rises by one per batch. With ``out`` and ``checkpoint`` a later call
-    reads only what is new and goes on after a crash. Returns the newest version per
-    key; ``existing`` holds one row per key already.
+    The stream's checkpoint is the watermark. Every micro-batch is one merge: it writes its own rows, never the table,
+    and notes batch and stamp in the table's version. ``pull_time`` is the time of the run in epoch seconds, above that
+    of the batch before. A batch that is replayed after its merge is not applied again, so its stamps stay; a call with
+    nothing new writes nothing. With ``checkpoint`` a later call goes on from there.
     """
-    spark = stream.sparkSession
-    schema = _with_fields(stream, **{PULL_STAMP: T.LongType()})
-    out = batch_folder(spark, label, schema, out)
 
     def load(frame: DataFrame, batch_id: int) -> None:
-        frame.withColumn(PULL_STAMP, F.lit(first_stamp + batch_id).cast("bigint")).write.mode("overwrite").parquet(
-            f"{out}/batch={batch_id}"
-        )
+        last = target.version().runs.get(label)
+        now = max(clock(), int(last["note"]) + 1) if last else clock()
+        target.merge(stamp(frame, now), tiebreak, run=Run(label, batch_id, str(now)))
 
     drain_batches(stream, label, load, checkpoint=checkpoint)
-    loaded = spark.read.schema(schema).parquet(out).drop("batch")
-    order = [PULL_STAMP, *tiebreak]
-    return last_per_key(loaded, keys, order) if existing is None else replace_rows(existing, loaded, keys, order)
+    if not target.version().schema:  # no batch has come yet
+        return stream.sparkSession.createDataFrame([], _with_fields(stream, **{PULL_STAMP: T.LongType()}))
+    return target.read()
 
 
 def push_on_change(
