@@ -14,6 +14,7 @@ from ..plans.specs import FilterCondition, PullSpec, PushSpec
 from ..session import fresh_path
 from ..sinks import tables as sinks
 from ..sinks.keyed import KeyedTable, Run
+from ..sources import ranges
 from ..sources.jdbc import slice_predicates
 from ..sources.tables import run_select
 from . import frames
@@ -100,6 +101,25 @@ def source_select_partitioned(t: Tables) -> DataFrame:
     return t.lineitem.select(which.alias("slice")).groupBy("slice").agg(F.count(F.lit(1)).alias("row_count"))
 
 
+@query(
+    "source_select_equi_depth",
+    """select case when l_orderkey % 3 = 0 then 7 else l_orderkey end hot_key, l_orderkey, l_linenumber, l_partkey, true is_even
+    from lineitem""",
+)
+def source_select_equi_depth(t: Tables) -> DataFrame:
+    """Rows of eight ranges, read one by one; a third of all rows has one key. ``is_even``: the range holds an eighth, to a tenth."""
+    hot = F.when(F.col("l_orderkey") % 3 == 0, F.lit(7).cast("bigint")).otherwise(F.col("l_orderkey"))
+    lines = t.lineitem.select(hot.alias("hot_key"), "l_orderkey", "l_linenumber", "l_partkey")
+    columns = ["hot_key", "l_orderkey", "l_linenumber"]
+    cuts = ranges.equi_depth_bounds(lines, columns, 8)
+    parts = [lines.where(p).withColumn("slice", F.lit(i)) for i, p in enumerate(ranges.range_predicates(columns, cuts))]
+    read = reduce(DataFrame.unionByName, parts)
+    sizes = read.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    fair = sizes.agg(F.sum("n") / 8).first()[0] or 0
+    even = sizes.select("slice", F.col("n").between(0.9 * fair, 1.1 * fair).alias("is_even"))
+    return read.join(F.broadcast(even), "slice").drop("slice")  # a row per range
+
+
 @query(
     "warehouse_select",
     """select l_returnflag, l_linestatus, count(*) row_count, cast(sum(cast(l_quantity as bigint)) as bigint) quantity

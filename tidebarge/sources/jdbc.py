@@ -47,6 +47,15 @@ def slice_predicates(column: str, lower: int, upper: int, partitions: int) -> li
     return [f"{column} < {cuts[0]} OR {column} IS NULL", *inner, f"{column} >= {cuts[-1]}"]
 
 
+def read_ranges(spark: SparkSession, url: str, table: str, predicates: Sequence[str], **options: str) -> DataFrame:
+    """The same SELECT with one connection per range (see ``ranges.range_predicates``): tasks of equal size for any key.
+
+    The ranges can be made from :func:`read_partitioned` over the key columns only, whose equal-width slices are
+    summarised where they are read.
+    """
+    return spark.read.jdbc(url, table, predicates=list(predicates), properties=options)
+
+
 def reserved_words(spark: SparkSession, url: str, **options: str) -> DataFrame:
     """The source's own reserved words, for ``reserved_names``."""
     return read_query(spark, url, "select word from information_schema.keywords where reserved = 1", **options)
