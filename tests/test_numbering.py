@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -100,6 +101,38 @@ def test_chained_slices_equal_one_fold(times, window, limit, cuts):
     assert got == whole.tolist()
 
 
+def described(part, window, limit):
+    upto, exit_start, exit_count = requests.step_function(part, window, limit)
+    return pd.DataFrame({"upto": np.append(upto, requests._END), "exit_start": np.append(exit_start, -1),
+                         "exit_count": np.append(exit_count, -1), "n": len(part), "first": part[0]})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 200), min_size=2, max_size=50), st.integers(1, 80), st.integers(1, 5), st.integers(2, 7), st.booleans())
+def test_composed_slices_equal_one_fold(times, window, limit, cuts, from_the_right):
+    """Any order of composition, and any window that can be open before the first request."""
+    t = np.array(sorted(times), dtype=np.int64)
+    parts = [described(p, window, limit) for p in np.array_split(t, cuts) if len(p)]
+    while len(parts) > 1:
+        at = len(parts) - 2 if from_the_right else 0
+        parts[at : at + 2] = [requests.compose(parts[at], parts[at + 1], window, limit)]
+    whole = parts[0]
+    assert len(whole) <= (t < t[0] + window).sum() + 2
+    for start, count in [(s, c) for s in range(int(t[0]) - window, int(t[0]) + 1) for c in (1, limit)]:
+        *_, want_start, want_count = requests.mark_requests(t, start, count, window, limit)
+        row = whole.iloc[int(np.searchsorted(whole["upto"].to_numpy(), start + window, side="left"))]
+        got = (start, min(limit, count + len(t))) if row["exit_start"] < 0 else (row["exit_start"], row["exit_count"])
+        assert tuple(got) == (want_start, want_count)
+
+
+def test_a_window_over_many_slices(spark):
+    """One client, one window that all slices lie in, and one that a few span."""
+    df = spark.range(4000).select("id", F.lit("hot").alias("client"), F.timestamp_micros(F.col("id") * 1000).alias("ts"))
+    for seconds in (60, 1):
+        got = requests.burst_audit(df, "client", "ts", "id", limit=10, window_seconds=seconds, slices=16)
+        assert got.where("allowed").count() == 10 * (4 // seconds or 1)
+
+
 def test_burst_audit_with_one_client_across_slices(spark):
     r = random.Random(3)
     data = [(i, "hot" if r.random() < 0.6 else f"c{r.randrange(30)}", r.randrange(20_000)) for i in range(6000)]

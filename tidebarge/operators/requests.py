@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .numbering import _POS, _SLICE, slice_by_range
 
 INVALID_JSON = "Invalid JSON"
@@ -68,8 +69,10 @@ def latency_by(df: DataFrame, group: str, start: str, stop: str) -> DataFrame:
 # requests is spread over many tasks:
 #   1. every slice describes its first client's step function and its last
 #      client's closing window,
-#   2. the descriptions of a client are chained, which gives the window open at
-#      the start of each slice (at most one row per slice),
+#   2. the descriptions of a client are composed pairwise, level by level, up to
+#      one for all its slices; going down again, the window open at the start of a
+#      pair is taken through its left half, which gives that of the right half
+#      (at the bottom at most one row per slice),
 #   3. every slice marks its requests, starting from that window.
 
 
@@ -143,7 +146,7 @@ def step_function(t: np.ndarray, window: int, limit: int) -> tuple[np.ndarray, n
     return t[:m][keep], t[exits][keep], np.minimum(limit, n - exits)[keep]
 
 
-_SUMMARY = "client string, slice int, seq int, upto long, exit_start long, exit_count int, n long"
+_SUMMARY = "client string, slice int, upto long, exit_start long, exit_count int, n long, first long"
 
 
 def _summarise(window: int, limit: int):
@@ -168,10 +171,10 @@ def _summarise(window: int, limit: int):
         upto, exit_start, exit_count = step_function(t, window, limit)
         yield pd.DataFrame(
             {
-                "client": first, "slice": slice_id, "seq": np.arange(len(upto) + 1),
+                "client": first, "slice": slice_id,
                 # past every entry all requests still belong to the entering window
                 "upto": np.append(upto, _END), "exit_start": np.append(exit_start, -1),
-                "exit_count": np.append(exit_count, -1), "n": len(t),
+                "exit_count": np.append(exit_count, -1), "n": len(t), "first": t[0],
             }
         )
         if last != first:
@@ -179,38 +182,91 @@ def _summarise(window: int, limit: int):
             _, _, start, count = mark_requests(t, None, 0, window, limit)
             yield pd.DataFrame(
                 {
-                    "client": [last], "slice": [slice_id], "seq": [0], "upto": [_END],
-                    "exit_start": [start], "exit_count": [count], "n": [len(t)],
+                    "client": [last], "slice": [slice_id], "upto": [_END],
+                    "exit_start": [start], "exit_count": [count], "n": [len(t)], "first": [t[0]],
                 }
             )
 
     return run
 
 
-_ENTRY = "client string, slice int, open_start long, open_count int"
+def compose(left: pd.DataFrame, right: pd.DataFrame, window: int, limit: int) -> pd.DataFrame:
+    """The step function of two neighbouring slices, the left one first.
 
-
-def _chain(window: int, limit: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["slice", "seq"])
-        start, count, out = None, 0, []
-        for slice_id, part in pdf.groupby("slice", sort=True):
-            upto = part["upto"].to_numpy()
-            if start is None:
-                at = 0
-            else:
-                out.append((part["client"].iloc[0], slice_id, start, count))
-                at = int(np.searchsorted(upto, start + window, side="left"))
-            exit_start = int(part["exit_start"].iloc[at])
-            if exit_start < 0:
-                count = min(limit, count + int(part["n"].iloc[at]))
-            else:
-                start, count = exit_start, int(part["exit_count"].iloc[at])
-        return pd.DataFrame(out, columns=["client", "slice", "open_start", "open_count"])
+    An entry of the left one leads to a window, and that to an entry of the right one. A window that closes after all
+    requests of the left slice goes on into the right one; none does that opened a window length before the first request.
+    Associative, so any tree of compositions gives the same function.
+    """
+    upto = right["upto"].to_numpy()
+    starts, counts = left["exit_start"].to_numpy(), left["exit_count"].to_numpy()
+    through = starts >= 0  # all but the entry of a window that takes in the whole slice
+    at = np.searchsorted(upto, starts[through] + window, side="left")
+    absorbed = right["exit_start"].to_numpy()[at] < 0
+    exit_start = np.where(absorbed, starts[through], right["exit_start"].to_numpy()[at])
+    exit_count = np.where(absorbed, np.minimum(limit, counts[through] + right["n"].iloc[0]), right["exit_count"].to_numpy()[at])
+    made_upto, n, first = left["upto"].to_numpy()[through], int(left["n"].iloc[0] + right["n"].iloc[0]), int(left["first"].iloc[0])
+    if not through.all():
+        made_upto = np.append(made_upto, upto)
+        exit_start = np.append(exit_start, right["exit_start"].to_numpy())
+        exit_count = np.append(exit_count, right["exit_count"].to_numpy())
+        # entries that no window reaches; the first one beyond stays for those that close in between
+        most = int(np.searchsorted(made_upto, first + window, side="left")) + 1
+        made_upto, exit_start, exit_count = made_upto[:most].copy(), exit_start[:most], exit_count[:most]
+    made_upto[-1] = _END
+    keep = np.append((exit_start[1:] != exit_start[:-1]) | (exit_count[1:] != exit_count[:-1]), True)
+    return pd.DataFrame({"upto": made_upto[keep], "exit_start": exit_start[keep], "exit_count": exit_count[keep], "n": n, "first": first})
+
+
+_NODE = "client string, node int, upto long, exit_start long, exit_count int, n long, first long"
+
+
+def _pairs(window: int, limit: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["node", "upto"], kind="stable")
+        odd = pdf["node"].to_numpy() % 2 == 1
+        made = compose(pdf[~odd], pdf[odd], window, limit) if odd.any() else pdf[["upto", "exit_start", "exit_count", "n", "first"]]
+        return made.assign(client=key[0], node=key[1])[["client", "node", "upto", "exit_start", "exit_count", "n", "first"]]
 
     return run
 
 
+def _entries(summaries: DataFrame, window: int, limit: int) -> DataFrame:
+    """``(client, slice, open_start, open_count)``: the window open at the start of every slice but a client's first.
+
+    A task of any level reads two descriptions, each of at most the requests of one window.
+    """
+    held = Window.partitionBy("client")
+    slices = summaries.select("client", "slice").distinct()  # a row per slice, two where a client begins in it
+    slices = slices.withColumns({"low": F.min("slice").over(held), "high": F.max("slice").over(held)}).where("high > low")
+    level = cut_lineage(summaries.join(F.broadcast(slices), ["client", "slice"]))
+    levels, width = [level.withColumn("node", F.col("slice") - F.col("low"))], 0
+    most = level.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0
+    levels[0] = levels[0].select("client", "node", "upto", "exit_start", "exit_count", "n", "first")
+    while most >> (width + 1):  # the last pair need not be composed: nothing follows it
+        pair = F.floor(F.col("node") / 2).cast("int").alias("node")
+        rows = levels[-1].groupBy("client", pair)
+        levels.append(cut_lineage(rows.applyInPandas(_pairs(window, limit), _NODE)))
+        width += 1
+    none = F.lit(None).cast("long").alias("start")
+    tops = levels[-1].select("client", "node").distinct()
+    states = tops.where("node = 0").select("client", "node", none, F.lit(0).alias("count"))
+    for i, nodes in enumerate(reversed(levels)):
+        if i:  # a pair's window is that of its left half
+            states = states.select("client", (F.col("node") * 2).alias("node"), "start", "count")
+        closes = F.coalesce(F.col("start") + window, F.lit(-_END))
+        at = nodes.join(states, ["client", "node"]).where(F.col("upto") >= closes)
+        found = at.groupBy("client", "node", "start", "count").agg(F.min_by(F.struct("exit_start", "exit_count", "n"), "upto").alias("x"))
+        took_all = F.col("x.exit_start") < 0
+        right = found.select(
+            "client", (F.col("node") + 1).alias("node"), F.when(took_all, F.col("start")).otherwise(F.col("x.exit_start")).alias("start"),
+            F.when(took_all, F.least(F.lit(limit), F.col("count") + F.col("x.n"))).otherwise(F.col("x.exit_count")).cast("int").alias("count"),
+        )
+        known = nodes.select("client", "node").distinct()
+        states = cut_lineage(states.unionByName(right.join(known, ["client", "node"], "left_semi")))
+    entered = states.where("start is not null").join(F.broadcast(slices.select("client", "low").distinct()), "client")
+    return entered.select("client", (F.col("node") + F.col("low")).alias("slice"), F.col("start").alias("open_start"), F.col("count").alias("open_count"))
+
+
 def _mark(window: int, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry, at = None, -1
@@ -256,8 +312,7 @@ def burst_audit(
     )
     ranged = slice_by_range(narrow, [F.col("client"), F.col("ts_us"), F.col("request_id")], slices)
     summaries = ranged.select("client", "ts_us", _SLICE).mapInPandas(_summarise(window, limit), _SUMMARY)
-    # one summary per slice boundary: the groups are as long as the slice list, not the data
-    entries = summaries.groupBy("client").applyInPandas(_chain(window, limit), _ENTRY)
+    entries = _entries(cut_lineage(summaries), window, limit)
     opened = ranged.join(
         F.broadcast(entries.withColumnRenamed("slice", _SLICE)),  # at most one row per slice
         ["client", _SLICE],
