@@ -241,6 +241,24 @@ def test_scheduled_pull_keeps_the_newest_batch(spark, tmp_path):
     assert got.agg(F.max("pull_time")).first()[0] == 501  # two batches in one second
 
 
+def test_a_silent_host_expires_without_a_further_beat(spark, tmp_path):
+    path, out, state = str(tmp_path / "beats"), str(tmp_path / "out"), str(tmp_path / "state")
+
+    def beat(*pairs):
+        spark.createDataFrame([(h, s) for h, s in pairs], "host string, s long").selectExpr("host", "timestamp_seconds(s) ts").coalesce(1).write.mode("append").parquet(path)
+        stream = feed.expiry_stream(feed.table_stream(spark, path, max_files=1), "host", "ts", 60, "10 seconds")
+        got = feed.drain_to_table(stream, "expiry-test", out, state)
+        return rows(got.selectExpr("host_id", "unix_seconds(up_from)", "unix_seconds(last_seen)", "unix_seconds(expired_at)"))
+
+    assert beat(("a", 0), ("b", 0), ("a", 50), ("b", 59), ("a", 109)) == []
+    assert beat(("a", 128)) == []  # b may still come, up to ten seconds late
+    lost = [("b", 0, 59, 119)]
+    assert beat(("a", 129)) == lost
+    assert beat(("b", 189), ("a", 189)) == lost  # exactly sixty seconds: a was lost at 189
+    assert beat(("a", 199)) == sorted(lost + [("a", 0, 129, 189)], key=repr)
+    assert beat(("c", 9999)) == sorted(lost + [("a", 0, 129, 189), ("a", 189, 199, 259), ("b", 189, 189, 249)], key=repr)
+
+
 def test_liveness_over_batches(spark, tmp_path):
     path = str(tmp_path / "beats")
     for lo in (0, 50):

@@ -155,6 +155,28 @@ def test_burst_stream_over_several_batches(spark, tmp_path):
     for lo in range(0, 300, 100):
         df.where((F.col("id") >= lo) & (F.col("id") < lo + 100)).coalesce(1).write.mode("append").parquet(path)
     stream = feed.table_stream(spark, path, max_files=1)
-    got = feed.drain_to_table(bursts.burst_stream(stream, "client", "ts", "id", 10, 100), "burst-test")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    got = bursts.burst_stream(stream, "client", "ts", "id", 10, 100, out, state)
     batch = requests.burst_audit(df, "client", "ts", "id", 10, 100)
     assert rows(got) == rows(batch)
+    # a client that stops: its window goes from the state; the others go on from theirs
+    later = [(300 + i, "a", 2100 + i * 7) for i in range(40)]
+    spark.createDataFrame(later, "id int, client string, s int").withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(path)
+    got = bursts.burst_stream(feed.table_stream(spark, path, max_files=1), "client", "ts", "id", 10, 100, out, state)
+    everything = spark.read.parquet(path)
+    assert rows(got) == rows(requests.burst_audit(everything, "client", "ts", "id", 10, 100))
+    assert [r.client for r in bursts.open_now(spark, out, 2).orderBy("client").collect()] == ["a", "b"]
+    assert [r.client for r in bursts.open_now(spark, out, 3).collect()] == ["a"]
+
+
+def test_windows_carried_into_many_slices(spark):
+    """Cut anywhere in time, two audits with the open windows between them equal one."""
+    r = random.Random(8)
+    data = sorted(((r.randrange(900), i, "hot" if r.random() < 0.6 else f"c{r.randrange(9)}") for i in range(1500)))
+    df = spark.createDataFrame(data, "s int, id int, client string").withColumn("ts", F.timestamp_seconds("s"))
+    whole = rows(requests.burst_audit(df, "client", "ts", "id", 5, 60))
+    for cut in (200, 640):
+        first = requests.burst_audit(df.where(F.col("s") < cut), "client", "ts", "id", 5, 60, slices=5).cache()
+        between = requests.open_windows(first, None, 5, 60)
+        second = requests.burst_audit(df.where(F.col("s") >= cut), "client", "ts", "id", 5, 60, slices=7, entering=between)
+        assert rows(first.union(second)) == whole

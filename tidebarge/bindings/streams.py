@@ -109,5 +109,23 @@ def push_on_change(t: Tables) -> DataFrame:
 @query("burst_stream", BURSTS)
 def burst_stream(t: Tables) -> DataFrame:
     """The request limit of ``burst_audit``, kept by a stream."""
-    marked = bursts.burst_stream(_stream(t, "events"), "user_id", "ts", "event_id", limit=2, window_seconds=6 * 3600)
-    return burst_summary(feed.drain_to_table(marked, "bursts"))
+    return burst_summary(bursts.burst_stream(_stream(t, "events"), "user_id", "ts", "event_id", limit=2, window_seconds=6 * 3600))
+
+
+_GAP = 36 * 3600
+
+
+@query(
+    "host_expiries",
+    f"""with b as (select user_id, ts, lag(ts) over (partition by user_id order by ts) before from events),
+    s as (select user_id, ts, sum(case when before is null or epoch_us(ts) - epoch_us(before) >= {_GAP}000000 then 1 else 0 end)
+      over (partition by user_id order by ts rows unbounded preceding) up from b),
+    g as (select user_id, min(ts) up_from, max(ts) last_seen from s group by user_id, up)
+    select user_id host_id, {sql_ts('up_from')} up_from, {sql_ts('last_seen')} last_seen,
+      {sql_ts(f'last_seen + interval {_GAP} seconds')} expired_at from g
+    where epoch_us(last_seen) + {_GAP}000000 - 1 <= (select epoch_us(max(ts)) // 1000 * 1000 - 60000000 from events)""",
+)
+def host_expiries(t: Tables) -> DataFrame:
+    """Every time a host was lost: no heartbeat for 36 hours, found without waiting for its next one."""
+    lost = feed.drain_to_table(feed.expiry_stream(_stream(t, "events"), "user_id", "ts", _GAP), "expiries")
+    return lost.select("host_id", *[ts_text(c).alias(c) for c in ("up_from", "last_seen", "expired_at")])

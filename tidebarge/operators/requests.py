@@ -97,10 +97,13 @@ def mark_requests(
 
 
 def mark_sorted(
-    clients: np.ndarray, t: np.ndarray, window: int, limit: int, carry: tuple[str | None, int | None, int]
+    clients: np.ndarray, t: np.ndarray, window: int, limit: int, carry: tuple[str | None, int | None, int],
+    entered: np.ndarray | None = None, counts: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, tuple[str, int, int]]:
     """Fold rows ordered by client and time; ``carry`` is the last client with its open window and count.
 
+    ``entered`` and ``counts`` are, for every row, the window its client had open before all rows (-1: none).
+
     A pause of a whole window length always opens a new window, so rows fall into
     runs that do not touch each other. A run shorter than a window is one window;
     only longer runs are walked.
@@ -116,10 +119,15 @@ def mark_sorted(
     walk = t[ends - 1] - t[starts] >= window
     carried = clients[0] == carry[0]
     walk[0] |= carried
+    begins = np.r_[not carried, clients[starts[1:]] != clients[starts[1:] - 1]]  # runs that a client begins with
+    if entered is not None:
+        walk |= begins & (entered[starts] >= 0)
     start, count = int(t[starts[-1]]), min(limit, int(n - starts[-1]))
     for k in np.flatnonzero(walk):
         lo, hi = starts[k], ends[k]
         before = carry[1:] if k == 0 and carried else (None, 0)
+        if entered is not None and begins[k] and entered[lo] >= 0:
+            before = (int(entered[lo]), int(counts[lo]))
         passed[lo:hi], opened[lo:hi], s, c = mark_requests(t[lo:hi], *before, window, limit)
         if hi == n:
             start, count = s, c
@@ -146,12 +154,13 @@ def step_function(t: np.ndarray, window: int, limit: int) -> tuple[np.ndarray, n
     return t[:m][keep], t[exits][keep], np.minimum(limit, n - exits)[keep]
 
 
-_SUMMARY = "client string, slice int, upto long, exit_start long, exit_count int, n long, first long"
+_SUMMARY = "client string, slice int, upto long, exit_start long, exit_count int, n long, first long, e_start long, e_count int"
 
 
 def _summarise(window: int, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = last = slice_id = None
+        entered: dict = {}  # windows that the first and the last client had open before
         head, tail = [], []  # times of the slice's first client, and of its last one if that is another
         for b in batches:
             if len(b) == 0:
@@ -159,10 +168,12 @@ def _summarise(window: int, limit: int):
             clients, t = b["client"].to_numpy(), b["ts_us"].to_numpy()
             if slice_id is None:
                 first, slice_id = clients[0], int(b[_SLICE].iloc[0])
+                entered[first] = (int(b["e_start"].iloc[0]), int(b["e_count"].iloc[0]))
             if clients[0] == first:
                 head.append(t[clients == first])
             if clients[-1] != last:
                 last, tail = clients[-1], []
+                entered = {first: entered[first], last: (int(b["e_start"].iloc[-1]), int(b["e_count"].iloc[-1]))}
             if last != first:
                 tail.append(t[clients == last])
         if slice_id is None:
@@ -175,15 +186,18 @@ def _summarise(window: int, limit: int):
                 # past every entry all requests still belong to the entering window
                 "upto": np.append(upto, _END), "exit_start": np.append(exit_start, -1),
                 "exit_count": np.append(exit_count, -1), "n": len(t), "first": t[0],
+                "e_start": entered[first][0], "e_count": entered[first][1],
             }
         )
         if last != first:
             t = np.concatenate(tail)
-            _, _, start, count = mark_requests(t, None, 0, window, limit)
+            before = entered[last] if entered[last][0] >= 0 else (None, 0)
+            _, _, start, count = mark_requests(t, *before, window, limit)
             yield pd.DataFrame(
                 {
                     "client": [last], "slice": [slice_id], "upto": [_END],
                     "exit_start": [start], "exit_count": [count], "n": [len(t)], "first": [t[0]],
+                    "e_start": [entered[last][0]], "e_count": [entered[last][1]],
                 }
             )
 
@@ -236,9 +250,9 @@ def _entries(summaries: DataFrame, window: int, limit: int) -> DataFrame:
     A task of any level reads two descriptions, each of at most the requests of one window.
     """
     held = Window.partitionBy("client")
-    slices = summaries.select("client", "slice").distinct()  # a row per slice, two where a client begins in it
+    slices = summaries.select("client", "slice", "e_start", "e_count").distinct()  # a row per slice, two where a client begins in it
     slices = slices.withColumns({"low": F.min("slice").over(held), "high": F.max("slice").over(held)}).where("high > low")
-    level = cut_lineage(summaries.join(F.broadcast(slices), ["client", "slice"]))
+    level = cut_lineage(summaries.join(F.broadcast(slices.drop("e_start", "e_count")), ["client", "slice"]))
     levels, width = [level.withColumn("node", F.col("slice") - F.col("low"))], 0
     most = level.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0
     levels[0] = levels[0].select("client", "node", "upto", "exit_start", "exit_count", "n", "first")
@@ -247,9 +261,8 @@ def _entries(summaries: DataFrame, window: int, limit: int) -> DataFrame:
         rows = levels[-1].groupBy("client", pair)
         levels.append(cut_lineage(rows.applyInPandas(_pairs(window, limit), _NODE)))
         width += 1
-    none = F.lit(None).cast("long").alias("start")
-    tops = levels[-1].select("client", "node").distinct()
-    states = tops.where("node = 0").select("client", "node", none, F.lit(0).alias("count"))
+    before = F.when(F.col("e_start") >= 0, F.col("e_start")).alias("start")
+    states = slices.select("client", F.lit(0).alias("node"), before, F.greatest("e_count", F.lit(0)).alias("count")).distinct()
     for i, nodes in enumerate(reversed(levels)):
         if i:  # a pair's window is that of its left half
             states = states.select("client", (F.col("node") * 2).alias("node"), "start", "count")
@@ -273,15 +286,16 @@ def _mark(window: int, limit: int):
         for b in batches:
             if len(b) == 0:
                 continue
+            entered, counts = b["e_start"].to_numpy(), b["e_count"].to_numpy()
             pos = b[_POS].to_numpy()
             if pos[0] <= at or (np.diff(pos) <= 0).any():
                 raise RuntimeError("slice rows out of order")
             at = int(pos[-1])
             clients, t = b["client"].to_numpy(), b["ts_us"].to_numpy()
             if carry is None:
-                entered = b["open_start"].iloc[0]
-                carry = (None, None, 0) if pd.isna(entered) else (clients[0], int(entered), int(b["open_count"].iloc[0]))
-            passed, opened, carry = mark_sorted(clients, t, window, limit, carry)
+                open_start = b["open_start"].iloc[0]
+                carry = (None, None, 0) if pd.isna(open_start) else (clients[0], int(open_start), int(b["open_count"].iloc[0]))
+            passed, opened, carry = mark_sorted(clients, t, window, limit, carry, entered, counts)
             yield pd.DataFrame(
                 {"client": clients, "request_id": b["request_id"], "ts_us": t, "allowed": passed, "window_us": opened}
             )
@@ -297,12 +311,14 @@ def burst_audit(
     limit: int = BURST_LIMIT,
     window_seconds: int = BURST_WINDOW_SECONDS,
     slices: int | None = None,
+    entering: DataFrame | None = None,
 ) -> DataFrame:
     """Which requests pass a limit of ``limit`` per window and client, exactly and for clients of any size.
 
     Returns ``(client, request_id, ts_us, allowed, window_us)``. ``request_id``
     is unique and orders requests of equal time. The windows are not tumbling:
-    each opens at a request.
+    each opens at a request. ``entering`` has the windows that clients have open before these requests
+    (``client``, ``open_start`` in microseconds, ``open_count``), one row per client.
     """
     window = window_seconds * 1_000_000
     narrow = df.select(
@@ -310,19 +326,42 @@ def burst_audit(
         F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"),
         F.col(request_id).cast("bigint").alias("request_id"),
     )
+    if entering is None:
+        narrow = narrow.withColumns({"e_start": F.lit(-1).cast("long"), "e_count": F.lit(0)})
+    else:
+        before = entering.select("client", F.col("open_start").alias("e_start"), F.col("open_count").alias("e_count"))
+        narrow = narrow.join(before, "client", "left").fillna({"e_start": -1, "e_count": 0})
     ranged = slice_by_range(narrow, [F.col("client"), F.col("ts_us"), F.col("request_id")], slices)
-    summaries = ranged.select("client", "ts_us", _SLICE).mapInPandas(_summarise(window, limit), _SUMMARY)
+    summaries = ranged.select("client", "ts_us", "e_start", "e_count", _SLICE).mapInPandas(_summarise(window, limit), _SUMMARY)
     entries = _entries(cut_lineage(summaries), window, limit)
     opened = ranged.join(
         F.broadcast(entries.withColumnRenamed("slice", _SLICE)),  # at most one row per slice
         ["client", _SLICE],
         "left",
     )
-    return opened.select("client", "ts_us", "request_id", _POS, "open_start", "open_count").mapInPandas(
+    return opened.select("client", "ts_us", "request_id", "e_start", "e_count", _POS, "open_start", "open_count").mapInPandas(
         _mark(window, limit), "client string, request_id long, ts_us long, allowed boolean, window_us long"
     )
 
 
+def open_windows(marked: DataFrame, entering: DataFrame | None, limit: int, window_seconds: int) -> DataFrame:
+    """Windows that are still open after the last of these requests, for the ``entering`` of the next ones.
+
+    Windows that closed before it are dropped, so there are as many rows as clients of the last window length.
+    """
+    last = marked.groupBy("client", "window_us").agg(F.count(F.lit(1)).alias("n"))
+    last = last.groupBy("client").agg(F.max_by("n", "window_us").alias("n"), F.max("window_us").alias("open_start"))
+    if entering is not None:
+        before = entering.select("client", F.col("open_start").alias("b_start"), F.col("open_count").alias("b_count"))
+        last = last.join(before, "client", "full").select(
+            "client", F.coalesce("open_start", "b_start").alias("open_start"),
+            (F.coalesce("n", F.lit(0)) + F.when(F.coalesce("open_start", "b_start") == F.col("b_start"), F.col("b_count")).otherwise(0)).alias("n"),
+        )
+    now = marked.agg(F.max("ts_us")).first()[0]
+    rows = last if now is None else last.where(F.col("open_start") + window_seconds * 1_000_000 > now)
+    return rows.select("client", "open_start", F.least(F.lit(limit), F.col("n")).cast("int").alias("open_count"))
+
+
 def burst_summary(marked: DataFrame) -> DataFrame:
     return marked.groupBy("client").agg(
         F.count(F.lit(1)).alias("requests"),

@@ -105,6 +105,20 @@ def with_expiry(last: DataFrame, now, limit_seconds: int = EXPIRY_SECONDS) -> Da
     return last.withColumn("is_expired", age >= limit_seconds * 1_000_000)
 
 
+def expiry_stream(beats: DataFrame, host: str, ts: str, limit_seconds: int = EXPIRY_SECONDS, delay: str = "60 seconds") -> DataFrame:
+    """``(host_id, up_from, last_seen, expired_at)``: one row whenever a host has been silent for ``limit_seconds``.
+
+    A host's beats form a session that closes by event time, so the row comes without a further beat of that host, once
+    the beats of others are ``delay`` beyond it. The state holds the open sessions only: hosts that are up.
+    """
+    seen = beats.select(F.col(host).alias("host_id"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    # sessions that touch are one; a beat that comes exactly at the limit is not in time
+    up = seen.groupBy("host_id", F.session_window("ts", f"{limit_seconds * 1_000_000 - 1} microseconds").alias("up"))
+    return up.agg(F.max("ts").alias("last_seen")).select(
+        "host_id", F.col("up.start").alias("up_from"), "last_seen", (F.col("last_seen") + F.expr(f"interval {limit_seconds} seconds")).alias("expired_at")
+    )
+
+
 def liveness_stream(
     beats: DataFrame, host: str, ts: str, label: str = "liveness", out: str | None = None, checkpoint: str | None = None
 ) -> DataFrame:
