@@ -267,28 +267,58 @@ def test_liveness_over_batches(spark, tmp_path):
     assert rows(got.selectExpr("host_id", "unix_seconds(last_seen)")) == [(i, 95 + i) for i in range(5)]
 
 
+def _pushed(spark, path, *rows_):
+    KeyedTable(spark, path).merge(spark.createDataFrame(list(rows_), "k int, v string"))
+    return KeyedTable(spark, path, ["k"])
+
+
 def test_push_on_change_runs_named_specs_only(spark, tmp_path):
     path = str(tmp_path / "changes")
     spark.createDataFrame([("w:a", 1), ("w:other", 2)], "message string, change_id int").coalesce(1).write.parquet(path)
     specs = [PushSpec(s, "t", "", key_columns=("k",)) for s in ("a", "b")]
-    data = {"a": spark.createDataFrame([(1, "new")], "k int, v string"), "b": spark.createDataFrame([(1, "wrong")], "k int, v string")}
-    target = spark.createDataFrame([(1, "old"), (2, "kept")], "k int, v string")
-    got = jobs.push_on_change(feed.table_stream(spark, path), specs, lambda s: data[s.source_table], target, "push-test")
+    data = {s: spark.createDataFrame([(1, v, 5)], "k int, v string, pull_time long") for s, v in (("a", "new"), ("b", "wrong"))}
+    target = _pushed(spark, str(tmp_path / "t"), (1, "old"), (2, "kept"))
+    got = jobs.push_on_change(feed.table_stream(spark, path), specs, lambda s: data[s.source_table], target)
     assert rows(got) == [(1, "new"), (2, "kept")]
-    assert rows(push(specs[0], data["a"], got)) == rows(got)
+    assert rows(push(specs[0], data["a"].drop("pull_time"), got)) == rows(got)
 
 
-def test_push_on_change_is_replayable_and_later_specs_win(spark, tmp_path):
-    path = str(tmp_path / "changes")
-    for m in ("w:b", "w:a"):
-        spark.createDataFrame([(m,)], "message string").coalesce(1).write.mode("append").parquet(path)
+def test_push_on_change_sends_what_lies_beyond_the_cursor(spark, tmp_path):
+    path, state = str(tmp_path / "changes"), str(tmp_path / "state")
+    schema = "k int, v string, pull_time long"
+    data = {"a": [(1, "a", 1), (2, "a", 1)], "b": [(1, "b", 1)]}
     specs = [PushSpec(s, "t", "", key_columns=("k",)) for s in ("a", "b")]
-    data = {s: spark.createDataFrame([(1, s), (2, s)] if s == "b" else [(1, s)], "k int, v string") for s in "ab"}
-    target = spark.createDataFrame([(1, "old"), (3, "kept")], "k int, v string")
-    together = jobs.push_on_change(feed.table_stream(spark, path), specs, lambda s: data[s.source_table], target, "push-one")
-    assert rows(together) == [(1, "b"), (2, "b"), (3, "kept")]
+    target = _pushed(spark, str(tmp_path / "t"), (1, "old"), (3, "kept"))
+
+    def run(*tables, checkpoint=state):
+        if tables:
+            spark.createDataFrame([(f"w:{m}",) for m in tables], "message string").coalesce(1).write.mode("append").parquet(path)
+        stream = feed.table_stream(spark, path)
+        return rows(jobs.push_on_change(stream, specs, lambda s: spark.createDataFrame(data[s.source_table], schema), target, checkpoint=checkpoint))
+
+    assert run("b", "a") == [(1, "b"), (2, "a"), (3, "kept")]  # the later spec wins within a batch
+    data["a"] += [(2, "new", 2), (4, "new", 2)]
+    before = target.version()
+    assert run("a") == [(1, "b"), (2, "new"), (3, "kept"), (4, "new")]
+    assert sum(n for f, (n, _) in target.version().folders.items() if f not in before.folders) == 2  # not the whole source
+    number = target.version().number
+    assert len(run("a")) == 4 and len(run(checkpoint=str(tmp_path / "lost"))) == 4 and target.version().number == number
     with pytest.raises(ValueError):
-        jobs.push_on_change(feed.table_stream(spark, path), [PushSpec("a", "t", "")], lambda s: data["a"], target)
+        jobs.push_on_change(feed.table_stream(spark, path), [PushSpec("a", "t", "")], lambda s: None, target)
+
+
+def test_pending_changes_are_those_of_others_beyond_the_cursor(spark):
+    log = [("t", o, i) for i, o in enumerate([1, 2, 1, 3, 1, 1])] + [("u", 1, 9)]
+    cursors = [(1, 2), (2, -1), (3, 99), (4, 3)]
+    got = feed.pending(spark.createDataFrame(log, "message string, origin long, offset long"), spark.createDataFrame(cursors, "receiver long, cursor long"))
+    want = []
+    for r, c in cursors:
+        for m in "tu":
+            others = [i for n, o, i in log if n == m and o != r]
+            if others:
+                left = [i for i in others if i > c]
+                want.append((r, m, len(left), max(left, default=None)))
+    assert rows(got) == sorted(want, key=repr)
 
 
 def test_write_with_watermark(spark, tmp_path):
@@ -315,9 +345,7 @@ def test_streams_without_input(spark, tmp_path):
     target = KeyedTable(spark, str(tmp_path / "target"), ["id"])
     target.merge(existing.withColumn("pull_time", F.col("pull_time").cast("bigint")))
     assert rows(jobs.scheduled_pull(stream, target, ["v"])) == [(1, "a", 0)]
-    got = jobs.push_on_change(feed.table_stream(spark, path), [PushSpec("a", "t", "", key_columns=("id",))],
-                              lambda s: existing, existing, "none")
-    assert rows(got) == rows(existing)
+    assert rows(jobs.push_on_change(feed.table_stream(spark, path), [PushSpec("a", "t", "", key_columns=("id",))], lambda s: existing, target)) == [(1, "a", 0)]
 
 
 def test_streams_over_an_empty_folder(spark, tmp_path):

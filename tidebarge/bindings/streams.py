@@ -99,11 +99,25 @@ def push_on_change(t: Tables) -> DataFrame:
             "ts", "event_id",
         )
 
-    target = t.customer.select(
-        "c_custkey", "c_name", F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("bigint").alias("event_id")
-    )
-    done = jobs.push_on_change(_changes(_stream(t, "events")), specs, rows_of, target)
-    return done.select("c_custkey", "c_name")
+    base = KeyedTable(t.spark, fresh_path(t.spark, "pushed"))
+    base.merge(t.customer.select("c_custkey", "c_name"))
+    target = KeyedTable(t.spark, base.root, ["c_custkey"])
+    return jobs.push_on_change(_changes(_stream(t, "events")), specs, rows_of, target, "event_id")
+
+
+@query(
+    "change_deliveries",
+    """with e as (select event_id, event_type, user_id % 25 origin from events),
+    r as (select cast(n_nationkey as bigint) receiver, n_nationkey * 997 cur from nation)
+    select receiver, 'warehouse:' || event_type message, count(*) filter (event_id > cur) pending,
+      max(event_id) filter (event_id > cur) newest
+    from e, r where receiver <> origin group by 1, 2""",
+)
+def change_deliveries(t: Tables) -> DataFrame:
+    """What every host still has to be told of every table, from its cursor in the one change log."""
+    changes = _changes(t.events).withColumn("offset", F.col("change_id"))
+    cursors = t.nation.select(F.col("n_nationkey").cast("bigint").alias("receiver"), (F.col("n_nationkey") * 997).cast("bigint").alias("cursor"))
+    return feed.pending(changes, cursors)
 
 
 @query("burst_stream", BURSTS)

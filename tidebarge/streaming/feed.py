@@ -6,10 +6,11 @@ drained stream is a table, so its result is read back as an ordinary frame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.numbering import with_group_position
 from ..operators.versions import latest_version
 from ..session import fresh_path, shuffle_width
 
@@ -95,6 +96,46 @@ def fan_out(changes: DataFrame, hosts: DataFrame, lanes: int | None = None) -> D
     return dealt.join(known, "__lane").where(F.col("receiver") != F.col("origin")).drop("__lane")
 
 
+def pending(changes: DataFrame, cursors: DataFrame) -> DataFrame:
+    """``(receiver, message, pending, newest)``: changes by others beyond a receiver's cursor, counted from offsets.
+
+    A change is stored once, in a log with an ``offset``; a receiver is a row of ``cursors`` (``receiver``, ``cursor``) that
+    moves on when it has been told. Nothing is copied per receiver: a cursor takes its place among the offsets of a
+    message, and what lies behind it is a difference of two positions. A receiver's own changes are taken off in the same
+    way. ``newest`` is the last such offset, NULL when nothing is pending.
+    """
+    log = changes.select("message", F.col("origin").cast("bigint").alias("origin"), "offset")
+    known = cursors.select(F.col("receiver").cast("bigint").alias("receiver"), F.col("cursor").alias("offset"))
+
+    def beyond(group: list[str], asked: DataFrame) -> DataFrame:
+        """Per receiver and message: changes of the group and how many of them have an offset up to the cursor."""
+        null = F.lit(None).cast("bigint")
+        rows = log.select(*group, "offset", null.alias("receiver")).unionByName(asked.select(*group, "offset", "receiver"))
+        # at its own offset a cursor comes last: that change has been told
+        placed = with_group_position(rows, group, [F.col("offset"), F.col("receiver").asc_nulls_first()], "at").where("receiver is not null")
+        before = F.row_number().over(Window.partitionBy(*group).orderBy("at"))  # receivers only, one row each
+        return placed.select(*group, "receiver", (F.col("at") - before).alias("told"))
+
+    by_origin = log.groupBy("message", "origin").agg(F.count(F.lit(1)).alias("n"), F.max("offset").alias("last"))
+    by_message = by_origin.groupBy("message").agg(
+        F.sum("n").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("last", "origin")), asc=False), 1, 2).alias("tops")  # a row per host
+    )
+    asked = known.join(F.broadcast(by_message.select("message")))  # messages name tables: one row each
+    every = beyond(["message"], asked).join(by_message, "message")
+    own = beyond(["message", "origin"], asked.join(by_origin.select("message", "origin"), "message").where("receiver = origin"))
+    own = own.join(by_origin.select("message", "origin", F.col("n").alias("own")), ["message", "origin"]).select(
+        "message", "receiver", "own", F.col("told").alias("own_told")
+    )
+    both = every.join(own, ["message", "receiver"], "left").join(known.withColumnRenamed("offset", "cursor"), "receiver")
+    zero = F.lit(0).cast("bigint")
+    others = F.col("n") - F.coalesce("own", zero)
+    left = others - (F.col("told") - F.coalesce("own_told", zero))
+    last = F.filter("tops", lambda x: x["origin"] != F.col("receiver"))[0]["last"]
+    return both.where(others > 0).select(
+        "receiver", "message", left.alias("pending"), F.when(left > 0, last).alias("newest")
+    )
+
+
 def last_heartbeats(beats: DataFrame, host: str, ts: str) -> DataFrame:
     return beats.groupBy(F.col(host).alias("host_id")).agg(F.max(ts).alias("last_seen"))
 

@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.movement import last_per_key, replace_rows
 from ..plans.specs import PULL_STAMP, PushSpec
 from ..sinks.keyed import KeyedTable, Run
 from ..sinks.tables import stamp
-from .feed import batch_folder, drain_batches
+from .feed import drain_batches
 
 
 def _with_fields(df: DataFrame, **types: T.DataType) -> T.StructType:
@@ -44,40 +43,39 @@ def scheduled_pull(
 
 
 def push_on_change(
-    changes: DataFrame,
-    specs: Sequence[PushSpec],
-    rows_of: Callable[[PushSpec], DataFrame],
-    target: DataFrame,
-    label: str = "push",
-    out: str | None = None,
-    checkpoint: str | None = None,
+    changes: DataFrame, specs: Sequence[PushSpec], rows_of: Callable[[PushSpec], DataFrame], target: KeyedTable, stamp: str = PULL_STAMP,
+    label: str = "push", checkpoint: str | None = None,
 ) -> DataFrame:
     """Run the push of every spec whose source table is named in a micro-batch of changes.
 
-    All specs push into ``target`` by the same keys. A batch writes only the rows
-    it pushes, in a folder of its own (overwritten on replay), not the target;
-    the result is the target with the newest pushed row per key in place. Within
-    a batch, later specs win. Of the changes only the known table names reach the
-    driver, at most one per spec.
+    Every spec is a subscriber with a cursor: the highest ``stamp`` it has sent, kept in the target's version beside the
+    rows. A push reads and sends only rows beyond it, in one merge by key; within a batch, later specs win. A replayed
+    batch is not applied again. Of the changes only the known table names reach the driver, at most one per spec.
     """
-    keyed = {tuple(s.key_columns) for s in specs}
-    if len(keyed) != 1 or not (keys := keyed.pop()):
-        raise ValueError("specs must share one non-empty set of key columns")
-    spark = target.sparkSession
+    if not target.keys or {tuple(s.key_columns) for s in specs} != {tuple(target.keys)}:
+        raise ValueError("specs must share the key columns of the target")
     by_source = {s.source_table: (i, s) for i, s in enumerate(specs) if s.enabled}
-    schema = _with_fields(target, __spec=T.IntegerType())
-    out = batch_folder(spark, label, schema, out)
+
+    def send(i: int, spec: PushSpec, batch_id: int) -> None:
+        writer = f"{label}-{i}"
+        last = target.version().runs.get(writer)
+        rows = rows_of(spec)
+        if last and last["note"]:
+            rows = rows.where(F.col(stamp) > F.lit(last["note"]).cast(rows.schema[stamp].dataType))
+        high = rows.agg(F.max(stamp).cast("string")).first()[0]  # one column; rows that come meanwhile wait for the next push
+        if high is None:
+            return
+        rows = rows.where(F.col(stamp) <= F.lit(high).cast(rows.schema[stamp].dataType))
+        columns = [f.name for f in target.read().schema.fields] if target.version().schema else [c for c in rows.columns if c != stamp]
+        order = [c for c in spec.order_columns if c in rows.columns] or [stamp]
+        batch = rows.select(*columns, F.struct(*order).alias("__order"))
+        target.merge(batch, ["__order"], run=Run(writer, batch_id, high), helper="__order")
 
     def apply(frame: DataFrame, batch_id: int) -> None:
         name = F.substring_index("message", ":", -1)
         touched = frame.select(name.alias("t")).where(F.col("t").isin(list(by_source))).distinct().collect()
-        pushed = spark.createDataFrame([], schema)
         for i, spec in sorted((by_source[r.t] for r in touched), key=lambda x: x[0]):
-            rows = last_per_key(rows_of(spec), keys, spec.order_columns).select(*target.columns)
-            pushed = pushed.unionByName(rows.withColumn("__spec", F.lit(i)))
-        pushed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            send(i, spec, batch_id)
 
     drain_batches(changes, label, apply, checkpoint=checkpoint)
-    pushed = spark.read.schema(_with_fields(target, __spec=T.IntegerType(), batch=T.LongType())).parquet(out)
-    ranked = target.withColumns({"__spec": F.lit(None).cast("int"), "batch": F.lit(None).cast("long")})
-    return replace_rows(ranked, pushed, keys, ["batch", "__spec"]).drop("__spec", "batch")
+    return target.read()
