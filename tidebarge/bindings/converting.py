@@ -283,7 +283,8 @@ def denorm_default_text(t: Tables) -> DataFrame:
 
 @query(
     "conform_to_target",
-    """select l_orderkey, cast(l_linenumber as smallint) l_linenumber, l_tax is not null has_tax,
+    """select l_orderkey, cast(l_linenumber as smallint) l_linenumber, cast(l_tax as varchar) tax,
+    cast(cast(cast(l_extendedprice as decimal(12, 2)) as decimal(38, 10)) as varchar) price,
     cast(l_shipdate as varchar) shipped, l_returnflag from lineitem""",
 )
 def conform_to_target(t: Tables) -> DataFrame:
@@ -292,15 +293,15 @@ def conform_to_target(t: Tables) -> DataFrame:
         [
             Col("l_orderkey", "Int64", is_key=True), Col("l_linenumber", "UInt8"),
             Col("l_tax", "Decimal128", "tax", precision=38, scale=31), Col("l_shipdate", "DateTime64", "shipped", precision=9),
-            Col("l_returnflag", "String", max_length=1),
+            Col("l_returnflag", "String", max_length=1), Col("l_extendedprice", "Decimal128", "price", precision=38, scale=10),
         ],
     )
-    return out.withColumn("has_tax", F.col("tax").isNotNull()).drop("tax")
+    return out.withColumn("price", F.col("price").cast("string"))
 
 
-@query("insert_columns", "select c_nationkey, c_custkey, c_name from customer where c_acctbal > 0")
+@query("insert_columns", "select c_nationkey, c_custkey, c_name from customer")
 def insert_columns(t: Tables) -> DataFrame:
-    chosen = t.customer.where("c_acctbal > 0").select("c_nationkey", "c_custkey", "c_name")
+    chosen = t.customer.select("c_nationkey", "c_custkey", "c_name")
     return normalize.insert_columns(chosen, t.customer.columns)
 
 
@@ -389,7 +390,9 @@ def cast_unsigned(t: Tables) -> DataFrame:
       try_cast(s as double) d from s)
     select event_id, ok is true and d is not null is_double, case when s is null then '' when not ok then 'not a number'
       when abs(d) > 3.4028234663852886e38 then 'value out of range' else '' end float32_reason,
-      coalesce(case when ok and abs(d) < 1e9 then cast(floor(d) as bigint) end, -1) floor_value from f""",
+      coalesce(case when ok and abs(d) < 1e9 then cast(floor(d) as bigint) end, -1) floor_value,
+      coalesce(case when ok then d end, -1) float64, coalesce(case when ok and abs(d) <= 3.4028234663852886e38 then cast(cast(d as float) as double) end, -1) float32
+      from f""",
 )
 def cast_float(t: Tables) -> DataFrame:
     grown = F.concat(
@@ -398,10 +401,11 @@ def cast_float(t: Tables) -> DataFrame:
     )
     rows = raw_text(t).select("event_id", grown.alias("s"))
     d, _ = casts.cast_float(F.col("s"), 64)
-    _, narrow_reason = casts.cast_float(F.col("s"), 32)
+    narrow, narrow_reason = casts.cast_float(F.col("s"), 32)
     return rows.select(
         "event_id", d.isNotNull().alias("is_double"), F.coalesce(narrow_reason, F.lit("")).alias("float32_reason"),
         F.coalesce(F.when(F.abs(d) < 1e9, F.floor(d).cast("bigint")), F.lit(-1)).alias("floor_value"),
+        F.coalesce(d, F.lit(-1.0)).alias("float64"), F.coalesce(narrow.cast("double"), F.lit(-1.0)).alias("float32"),
     )
 
 
@@ -436,18 +440,23 @@ CAST_TABLE_SQL = f"""with {RAW_SQL}, c as (select event_id,
 
 @query(
     "cast_table",
-    f"""{CAST_TABLE_SQL} select event_id, 'txt' "column", r1 reason from c where r1 is not null
-    union all select event_id, 'value', r2 from c where r2 is not null
-    union all select event_id, 'kind', r3 from c where r3 is not null
-    union all select event_id, '', '' from c where r1 is null and r2 is null and r3 is null""",
+    f"""{CAST_TABLE_SQL}, v as (select c.event_id, r1, r2, r3, case when r1 is null then cast(trim(txt) as integer) else -99999 end txt,
+      case when r2 is null then cast("value" as integer) else -99999 end "value", case when r3 is null then event_type else '' end kind
+      from c join raw using (event_id))
+    select event_id, txt, "value", kind, 'txt' "column", r1 reason from v where r1 is not null
+    union all select event_id, txt, "value", kind, 'value', r2 from v where r2 is not null
+    union all select event_id, txt, "value", kind, 'kind', r3 from v where r3 is not null
+    union all select event_id, txt, "value", kind, '', '' from v where r1 is null and r2 is null and r3 is null""",
 )
 def cast_table(t: Tables) -> DataFrame:
-    """Rejects per column, and the good rows with both fields empty."""
+    """All cast values beside the rejects per column; a good row has both fields empty, a value that does not fit is -99999 or ''."""
     rows = raw_text(t).withColumn("kind", F.nullif("event_type", F.lit("error")))
     cast = conform.cast_table(
         rows, {"txt": "int16", "value": "int8", "kind": "text"}, ["event_id"], required=["txt", "kind"]
     )
-    return cast.select("event_id", F.inline_outer("rejects")).fillna("", ["column", "reason"])
+    shown_values = [F.coalesce(F.col(c).cast("int"), F.lit(-99999)).alias(c) for c in ("txt", "value")]
+    listed = cast.select("event_id", *shown_values, "kind", F.inline_outer("rejects"))
+    return listed.fillna("", ["column", "reason", "kind"])
 
 
 @query(
@@ -617,7 +626,9 @@ def _coarse_sql() -> str:
 
 @query("coarse_type", _coarse_sql())
 def coarse_type(t: Tables) -> DataFrame:
-    described = profile.profile_tables({n: getattr(t, n) for n in TABLES}, KEYS)
-    return described.select(
-        "table_code", "column_code", conform.coarse_type(F.col("data_type")).alias("class"), "row_count"
-    )
+    """Classes from the schemas, row counts from the file footers; no column is read."""
+    schemas = {n: getattr(t, n) for n in TABLES}
+    of = F.create_map(*[x for n, df in schemas.items() for x in (
+        F.lit(n), F.array(*[F.struct(F.lit(c).alias("column_code"), F.lit(d).alias("data_type")) for c, d in df.dtypes]))])
+    listed = profile.table_inventory(schemas).select("table_code", "row_count", F.inline(of[F.col("table_code")]))
+    return listed.select("table_code", "column_code", conform.coarse_type(F.col("data_type")).alias("class"), "row_count")

@@ -144,15 +144,16 @@ def table_last_run(t: Tables) -> DataFrame:
 
 def job_logs(t: Tables) -> DataFrame:
     """One log per job and start, folded from its tables' logs."""
-    return table_logs(t).groupBy("job_id", "start_time").agg(
-        F.max("status").alias("status"), F.max("error_info").alias("error_info")
-    )
+    logs = table_logs(t)
+    errors = logs.groupBy("job_id", "start_time").agg(F.max("error_info").alias("error_info"))
+    status = runlog.job_status(logs, ["job_id", "start_time"]).select("job_id", "start_time", "status")
+    return status.join(errors, ["job_id", "start_time"])
 
 
 @query(
     "job_last_run",
-    f"""with {TABLE_LOGS}, jl as (select job_id, start_time, max(status) status, max(error_info) error_info from logs
-    group by 1, 2), owners as (select job_id, max(start_time) last_run from jl group by 1
+    f"""with {TABLE_LOGS}, jl as (select job_id, start_time, case when bool_or(status = 'failed') then 'failed'
+      when bool_or(status = 'running') then 'running' else 'completed' end status, max(error_info) error_info from logs group by 1, 2), owners as (select job_id, max(start_time) last_run from jl group by 1
     union all select c_custkey + 1000000, 0 from customer)
     select o.job_id, o.last_run, coalesce(l.status, '') run_status, coalesce(l.error_info, '') last_error
     from owners o left join jl l on o.job_id = l.job_id and o.last_run = l.start_time""",

@@ -342,16 +342,25 @@ def truncate_target(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "batched_write",
-    "select count(*) \"rows\", true within_cap, (count(*) + 1999) // 2000 <= count(*) has_files from lineitem",
-)
+def _batched_sql(batch: int) -> str:
+    columns = {n: len(c.split(", ")) for n, c in COLUMNS.items()}
+    return " union all ".join(
+        f"select '{n}' table_code, count(*) \"rows\", least({batch}, 65534 // {c}) per_statement, "
+        f"cast(ceil(count(*) / least({batch}, 65534 // {c})) as bigint) statements, "
+        f"cast(greatest(count(*) - 1, 0) % least({batch}, 65534 // {c}) + least(count(*), 1) as bigint) last_rows from {n}"
+        for n, c in columns.items()
+    )
+
+
+@query("batched_write", _batched_sql(10_000))
 def batched_write(t: Tables) -> DataFrame:
-    """A write in files of at most 2000 rows, told from the files."""
-    files = sinks.written_files(t.lineitem, fresh_path(t.spark, "batches"), 2000)
-    return files.agg(
-        F.sum("rows").alias("rows"), (F.max("rows") <= 2000).alias("within_cap"),
-        (F.count(F.lit(1)) >= F.expr("(sum(rows) + 1999) div 2000")).alias("has_files"),
+    """The statements that a push in batches of 10,000 rows sends for each table: a wide table goes in smaller ones."""
+    sizes = profile.table_inventory({n: getattr(t, n) for n in TABLES})
+    fits = F.create_map(*[F.lit(x) for n in TABLES for x in (n, sinks.rows_per_statement(10_000, len(getattr(t, n).columns)))])
+    rows = sizes.select("table_code", F.col("row_count").alias("rows"), fits[F.col("table_code")].alias("per_statement"))
+    last = F.greatest(F.col("rows") - 1, F.lit(0)) % F.col("per_statement") + F.least(F.col("rows"), F.lit(1))
+    return rows.select(
+        "*", F.ceil(F.col("rows") / F.col("per_statement")).alias("statements"), last.cast("bigint").alias("last_rows")
     )
 
 

@@ -38,8 +38,8 @@ def since(df: DataFrame, conditions: Iterable[FilterCondition], inclusive: bool
     """
     conditions = list(conditions)
     types = dict(df.dtypes)
-    # one row of configuration: a value that cannot be read must not look like a watermark without rows
-    values = df.sparkSession.range(1).select(*[typed_literal(c).alias(f"v{i}") for i, c in enumerate(conditions)]).first()
+    # one constant row, folded by the optimizer without a job: a value that cannot be read must not look like a watermark without rows
+    values = df.sparkSession.sql("select * from values (1) one(one)").select(*[typed_literal(c).alias(f"v{i}") for i, c in enumerate(conditions)]).first()
     for c, v in zip(conditions, values):
         if v is None:
             raise ValueError(f"cannot read {c.value!r} as {c.data_type}")

@@ -38,22 +38,26 @@ def last_run(owners: DataFrame, logs: DataFrame, ids: Sequence[str]) -> DataFram
 def first_gap(df: DataFrame, id_column: str, group: Sequence[str] = ()) -> DataFrame:
     """Smallest free id from 1 upwards, overall or per group.
 
-    Every used id proposes its successor, and 1 is always proposed; the smallest
-    proposal nobody uses wins. One aggregate on group and id tells used from
-    proposed: no join, duplicates collapse before the shuffle, and a large group
-    is spread over its ids.
+    Ids are collected as bitmaps: a block of 64 ids is one row with a bit per id before anything is shuffled, so a large
+    group sends a row per block and spreads over its blocks. A full block asks for the next one, and block 0 is always
+    asked for; of the blocks that are asked for and not full the first has the gap. Ids below 1 are not looked at.
     """
-    used = F.col(id_column).cast("bigint")
-
-    def candidate(value, is_used):
-        return F.struct(value.cast("bigint").alias("__id"), F.lit(is_used).alias("__used"))
-
-    candidates = df.select(
-        *group, F.inline(F.array(candidate(used, True), candidate(used + 1, False), candidate(F.lit(1), False)))
-    )
-    free = candidates.groupBy(*group, "__id").agg(F.max("__used").alias("__used")).where("not __used")
-    # an empty table has no proposals: its first free id is 1
-    return free.groupBy(*group).agg(F.coalesce(F.min("__id"), F.lit(1)).alias("first_gap"))
+    used = F.col(f"`{id_column}`").cast("bigint") - 1
+    bit = F.expr("shiftleft(1L, cast(__at & 63 as int))")
+    rows = df.select(*group, used.alias("__at")).withColumn("__block", F.shiftright("__at", 6))
+    rows = rows.select(*group, F.when(F.col("__at") >= 0, F.col("__block")).otherwise(0).alias("__block"), F.when(F.col("__at") >= 0, bit).otherwise(0).alias("__bit"))
+    blocks = rows.groupBy(*group, "__block").agg(F.bit_or("__bit").alias("__bits"))
+    none, yes = F.lit(0).cast("bigint"), F.lit(True)
+    own = F.struct(F.col("__block").alias("__b"), F.col("__bits").alias("__bits"), (F.col("__block") == 0).alias("__asked"))
+    following = F.struct((F.col("__block") + 1).alias("__b"), none.alias("__bits"), yes.alias("__asked"))
+    first = F.struct(none.alias("__b"), none.alias("__bits"), yes.alias("__asked"))
+    asked = blocks.select(*group, F.inline(F.array_append(F.array(own, first), F.when(F.col("__bits") == -1, following).otherwise(first))))
+    asked = asked.groupBy(*group, "__b").agg(F.bit_or("__bits").alias("__bits"), F.max("__asked").alias("__asked"))
+    # the lowest bit that is not set: count what lies below it
+    low = F.bit_count(F.col("__bits").bitwiseAND(F.bitwise_not(F.col("__bits") + 1)))
+    free = asked.where(F.col("__asked") & (F.col("__bits") != -1)).select(*group, (F.col("__b") * 64 + low + 1).alias("__id"))
+    # an empty table has no blocks: its first free id is 1
+    return free.groupBy(*group).agg(F.coalesce(F.min("__id"), F.lit(1)).cast("bigint").alias("first_gap"))
 
 
 def with_sentinel(df: DataFrame, id_column: str) -> DataFrame:

@@ -166,7 +166,7 @@ class KeyedTable:
             if high is not None:
                 a, b = (typed_literal(replace(c, value=v)) for v in (high, c.value))
                 # constants only: folded by the optimizer, no job
-                later = self.spark.sql("select 1 as one").select(F.coalesce(a > b, F.lit(True))).first()[0]
+                later = self.spark.sql("select * from values (1) one(one)").select(F.coalesce(a > b, F.lit(True))).first()[0]
                 c = replace(c, value=high) if later else c
             new.append(c)
         return conditions_to_json(new) if new else ""

@@ -30,7 +30,7 @@ def bind_values(spark: SparkSession, conditions: Iterable[FilterCondition]) -> l
         for c in conditions
     ]
     # one row of configuration, not data
-    row = spark.range(1).select(*[t.alias(f"v{i}") for i, t in enumerate(typed)]).first()
+    row = spark.sql("select * from values (1) one(one)").select(*[t.alias(f"v{i}") for i, t in enumerate(typed)]).first()
     for c, v in zip(conditions, row):
         if v is None and c.data_type in _TIME_TYPES:
             raise ValueError(f"cannot read {c.value!r} as a time")
@@ -39,7 +39,7 @@ def bind_values(spark: SparkSession, conditions: Iterable[FilterCondition]) -> l
 
 def check_select(spark: SparkSession, sql: str, reserved: Iterable[str] = RESERVED_WORDS) -> None:
     """Refuse a statement that is unsafe, names no table, or names one by a reserved word."""
-    statement = spark.range(1).select(F.lit(sql).alias("sql"))  # the audits' own expressions, on one row
+    statement = spark.sql("select * from values (1) one(one)").select(F.lit(sql).alias("sql"))  # the audits' own expressions, on one row
     hits, names = (
         sql_safety(statement, "sql").select("hits", table_names(F.col("sql")).alias("names")).first()
     )
