@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidebarge.operators import numbering, relations, requests
+from tidebarge.operators import numbering, ranked, relations, requests
 from tidebarge.streaming import bursts, feed
 
 
@@ -180,3 +180,32 @@ def test_windows_carried_into_many_slices(spark):
         between = requests.open_windows(first, None, 5, 60)
         second = requests.burst_audit(df.where(F.col("s") >= cut), "client", "ts", "id", 5, 60, slices=7, entering=between)
         assert rows(first.union(second)) == whole
+
+
+def test_pages_of_a_ranked_table(spark, tmp_path):
+    """Every page holds what ORDER BY, OFFSET, LIMIT gives; ties are settled by the order's last column."""
+    df = spark.range(1000).select("id", (F.col("id") * 7919 % 13).alias("t"), F.lit("x").alias("v")).repartition(5)
+    order = [F.col("t").desc(), F.col("id")]
+    want = [r.id for r in df.orderBy(*order).collect()]
+    table = ranked.write_ranked(df, order, str(tmp_path / "list"), slices=9)
+    assert table.total == 1000 and table.pages(30) == 34
+    for index in (1, 2, 17, 33, 34):
+        got = table.page(index, 30).collect()
+        low = (index - 1) * 30
+        assert [r.id for r in got] == want[low : low + 30] and [r.position for r in got] == list(range(low + 1, low + 1 + len(got)))
+        assert {r.total for r in got} == {1000}
+    assert [r.id for r in table.page(1, 5000).collect()] == want  # a page over all slices
+    again = ranked.RankedTable(spark, str(tmp_path / "list"))
+    assert again.page(40, 30, strict=False).count() == 0
+    with pytest.raises(IndexError):
+        again.page(35, 30)
+
+
+def test_a_page_reads_its_slice_only(spark, tmp_path):
+    table = ranked.write_ranked(spark.range(10_000), [F.col("id")], str(tmp_path / "list"), slices=20)
+    page = table.page(5_000 // 10, 10)
+    assert [r.id for r in page.collect()] == list(range(4990, 5000))
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [slice__" in plan and len({r[0] for r in page.select(F.input_file_name()).collect()}) == 1
+    empty = ranked.write_ranked(spark.range(0), [F.col("id")], str(tmp_path / "none"))
+    assert empty.total == 0 and empty.page(1, 10).collect() == []

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..operators import filters, numbering, relations, requests, retention, runlog, versions
+from ..operators import filters, numbering, ranked, relations, requests, retention, runlog, versions
 from ..plans.specs import FilterCondition
+from ..session import fresh_path
 from ..sources.tables import run_select
 from . import frames
 from .frames import BURSTS, SYSTEM_LOG, TABLE_LOGS, sql_ts, system_log, table_logs, ts_text
@@ -263,21 +264,27 @@ def distinct_drivers(t: Tables) -> DataFrame:
 
 @query(
     "page_desc",
-    f"with {SYSTEM_LOG} select log_id, log_time, log_type from sys_log order by log_id desc limit 50 offset 100",
+    f"""with {SYSTEM_LOG} select log_id, log_time, log_type, (select count(*) from sys_log) total from sys_log
+    order by log_id desc limit 50 offset (select (count(*) // 100) * 50 from sys_log)""",
 )
 def page_desc(t: Tables) -> DataFrame:
-    page = numbering.page_by_offset(system_log(t), [F.col("log_id").desc()], 3, 50)
-    return page.select("log_id", "log_time", "log_type")
+    """The page in the middle of the system log, sought in its ranked table."""
+    logs = system_log(t).select("log_id", "log_time", "log_type")
+    ranked_logs = ranked.write_ranked(logs, [F.col("log_id").desc()], fresh_path(t.spark, "ranked"))
+    return ranked_logs.page(ranked_logs.total // 100 + 1, 50).drop("position")
 
 
 @query(
     "page_asc",
-    """select c_custkey, c_name, c_nationkey from customer where c_mktsegment like '%BUILD%'
-    order by c_custkey limit 50 offset 50""",
+    """with f as (select * from customer where c_mktsegment like '%BUILD%')
+    select c_custkey, c_name, c_nationkey, (select count(*) from f) total from f
+    order by c_custkey limit 10 offset (select (count(*) // 20) * 10 from f)""",
 )
 def page_asc(t: Tables) -> DataFrame:
-    found = filters.contains_any(t.customer, {"c_mktsegment": "BUILD"})
-    return numbering.page_by_offset(found, [F.col("c_custkey")], 2, 50).select("c_custkey", "c_name", "c_nationkey")
+    """The page in the middle of the customers found, with how many there are."""
+    found = filters.contains_any(t.customer, {"c_mktsegment": "BUILD"}).select("c_custkey", "c_name", "c_nationkey")
+    customers = ranked.write_ranked(found, [F.col("c_custkey")], fresh_path(t.spark, "ranked"))
+    return customers.page(customers.total // 20 + 1, 10).drop("position")
 
 
 @query(
@@ -370,11 +377,14 @@ def run_info(t: Tables) -> DataFrame:
     "log_page",
     f"""with {TABLE_LOGS}, l as (select *, abs(stop_time - start_time) d from logs where job_id = 7 and status = 'completed'
       order by start_time desc, table_id desc limit 5 offset 5)
-    select job_id, table_id, start_time, stop_time, {SPENT_SQL} time_spent from l""",
+    select job_id, table_id, start_time, stop_time, {SPENT_SQL} time_spent,
+      (select count(*) from logs where job_id = 7 and status = 'completed') total from l""",
 )
 def log_page(t: Tables) -> DataFrame:
-    page = runlog.log_page(table_logs(t), 7, "completed", 2, 5)
-    return page.select("job_id", "table_id", "start_time", "stop_time", "time_spent")
+    mine = filters.with_status(table_logs(t).where("job_id = 7"), "completed").select("job_id", "table_id", "start_time", "stop_time")
+    order = [F.col("start_time").desc(), F.col("table_id").desc()]
+    page = ranked.write_ranked(mine, order, fresh_path(t.spark, "ranked")).page(2, 5, strict=False)
+    return runlog.with_time_spent(page).select("job_id", "table_id", "start_time", "stop_time", "time_spent", "total")
 
 
 STUCK_AT = 1706745600
