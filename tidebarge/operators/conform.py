@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import casts, text, times
+from ..functions import casts, text, times, wkb
 from ..plans.specs import PULL_STAMP, ColumnDescriptor
 
 # source type -> (warehouse type, Spark type). Fixed values.
@@ -146,6 +146,7 @@ def coarse_type(data_type: Column) -> Column:
 
 _CHECKED = {"uuid": text.valid_uuid, "ipv4": text.valid_ipv4, "ipv6": text.valid_ip}
 _EMPTY = {
+    "wkt": "string",
     "array": "array<string>", "map": "map<string,string>", "point": "struct<x:double,y:double>", "uuid": "string",
     "ipv4": "string", "ipv6": "string",
 }
@@ -160,6 +161,8 @@ def _cast_for(want: str, col: Column, kind: str) -> casts.Cast:
         return casts.cast_float(col, int(want[5:]), kind)
     if want == "text":
         return casts.cast_text(col, kind)
+    if want == "wkt" and kind in ("binary", "text"):
+        return wkb.cast_wkt(col, kind)
     if want == "bool":
         return casts.cast_bool_strict(col, kind)
     if want in ("time", "date"):
@@ -189,7 +192,7 @@ def cast_table(
     """Cast every column of ``wanted`` in one projection.
 
     Types: int8..int64, uint8..uint64, float32, float64, decimal(p,s), text, bool, time, date, uuid, ipv4,
-    ipv6, point, array, map.
+    ipv6, point, wkt, array, map.
 
     Adds ``rejects``: one ``(column, reason)`` per value that does not fit, empty
     for a good row. ``good_rows`` and ``rejected_values`` split the result; to

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.wkb import wkb_text
 from ..plans.specs import ColumnDescriptor
 
 # type names by family. Fixed values.
@@ -63,7 +64,7 @@ def json_text(col: Column) -> Column:
 
 
 def point_wkt(col: Column) -> Column:
-    """WKT of a point struct; other geometries are turned into text by the source's own SELECT."""
+    """WKT of a point struct. Bytes of any geometry and ready text are taken as well, see ``_converted``."""
     return F.concat(
         F.lit("POINT("), col["x"].cast("string"), F.lit(" "), col["y"].cast("string"), F.lit(")")
     )
@@ -141,6 +142,8 @@ def _converted(d: ColumnDescriptor, dtype: str, rule) -> Column:
             col = F.conv(F.hex(col), 16, 10).cast("bigint")
     if rule is pull_rule and d.data_type.startswith(GEOMETRY_PREFIXES) and dtype == "string":
         return col  # the SELECT has made text of it
+    if rule is pull_rule and d.data_type.startswith(GEOMETRY_PREFIXES) and dtype == "binary":
+        return wkb_text(col)
     return rule(d)(col)
 
 
