@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, put
+from .base import bounded_batches, put, shielded
 
 #: Pre-tokens of a generation that a worker remembers (two generations, about 160 bytes each).
 REMEMBERED = 1 << 17
@@ -348,6 +348,7 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded")
     return put(df, **{out: run(F.col(ids))})
 
 
+@shielded
 def encode_and_decode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
     """:func:`encode` and :func:`decode` in one pass: the ids do not travel to a second worker."""
     bounded_batches(df.sparkSession)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, cut_lineage
+from .base import bounded_batches, cut_lineage, shielded
 from .graph import components
 
 #: Vectors the centres are fitted on, and most centres.
@@ -195,6 +195,7 @@ def links(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", l
     return per_vector.join(groups, F.col("vec_id") == F.col("node")).select("vec_id", "n_links", F.col("component").alias("component_id"))
 
 
+@shielded
 def dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.95) -> DataFrame:
     """``df`` with ``n_links``, ``component_id`` and ``kept`` (the smallest id of its component).
 

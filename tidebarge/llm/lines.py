@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut_lineage, put
+from .base import cut_lineage, put, shielded
 
 #: Boilerplate lines (all sites) up to which their lists are broadcast: at most some 16 MB.
 BROADCAST_LINES = 1_000_000
@@ -49,6 +49,7 @@ def boilerplate(pages: DataFrame, host: Column, text: str = "text", separator: s
     )
 
 
+@shielded
 def drop_boilerplate(
     pages: DataFrame, host: Column, text: str = "text", separator: str = "\n", ratio: float = 0.08, least: int = 5,
     lines: str | None = None, dropped: str | None = None,

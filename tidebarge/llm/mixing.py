@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.numbering import with_position
-from .base import cut_lineage, put, uniform
+from .base import cut_lineage, put, shielded, uniform
 
 #: Documents of a group, on average; groups are dealt by a hash, so none is much larger.
 GROUP = 48
@@ -190,6 +190,7 @@ def copies(
     )
 
 
+@shielded
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
     weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0,

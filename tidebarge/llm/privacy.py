@@ -26,7 +26,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import put
+from .base import put, shielded
 
 ROUNDS = 8
 CARD = r"(?<![\d.])\d{13,19}(?!\d)|(?<!\d)\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?!\d)|(?<!\d)\d{4}[ -]\d{6}[ -]\d{5}(?!\d)"
@@ -217,6 +217,7 @@ def pseudonym(key: Key, value: Column) -> Column:
     ))
 
 
+@shielded
 def pseudonymise(df: DataFrame, key: Column | str, text: str = "text", replaced: str | None = None, undo: bool = False) -> DataFrame:
     """``df`` with the personal values of ``text`` replaced; ``replaced`` names a column for their number.
 

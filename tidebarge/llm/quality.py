@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, put
+from .base import bounded_batches, put, shielded
 
 #: Slots of the hashed trigrams, of each hashed name in the metadata, and the other metadata values.
 TRIGRAMS, NAMES, VALUES = 1024, 32, 14
@@ -203,6 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
     return co_train(text[have], meta[have], y[have].astype(float), text[~have], meta[~have], rounds)
 
 
+@shielded
 def score(docs: DataFrame, model: Model | None, out: str = "quality_score", views: bool = False) -> DataFrame:
     """Add the probability of good quality; with ``views`` also ``text_score`` and ``meta_score``.
 

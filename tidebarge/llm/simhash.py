@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, cut_lineage, put, shuffle_width, without
+from .base import bounded_batches, cut_lineage, put, shielded, shuffle_width, without
 from .graph import components
 
 BITS = 64
@@ -102,6 +102,7 @@ def _names(words: int, prefix: str = "fp") -> list[str]:
     return [prefix if i == 0 else f"{prefix}_{i}" for i in range(words)]
 
 
+@shielded
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = 4, seed: int = 42, words: int = 1) -> DataFrame:
     """Add the fingerprint of ``text`` as longs ``out``, ``out_1`` and so on.
 
@@ -247,6 +248,7 @@ def link_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return marked.join(low.select(*names, "group").join(ids, "group").select(*names, "component_id"), names, "left")
 
 
+@shielded
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, cut: Cut | None = None, seed: int = 42) -> DataFrame:
     """The rows of ``df`` without near copies: of each component the document with the smallest id stays.
 
