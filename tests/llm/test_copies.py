@@ -115,12 +115,27 @@ def near_pairs(texts, least=0.8, k=5):
     return [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9]
 
 
-@pytest.mark.parametrize("common", [2, 10**6])
-def test_pipeline_copies_against_brute_force(spark, monkeypatch, common):
+def family(n=60):
+    """Edits of one text that are near copies of some of each other only, and outsiders that share a part of it."""
+    r = random.Random(5)
+    words = prose(77, 70).split()
+    out = []
+    for i in range(n):
+        some = list(words)
+        for _ in range(r.choice((1, 1, 2, 6))):
+            some[r.randrange(len(some))] = f"edit{i}x{r.randrange(10**6)}"
+        out.append(" ".join(some))
+    return out + [" ".join(words[:50]) + " " + prose(900 + i, 15) for i in range(20)]
+
+
+@pytest.mark.parametrize("common, few, open_pairs, block, cast", [(2, 64, 8, 1 << 19, 10**6), (10**6, 2, 0, 900, 1), (2, 2, 0, 1 << 19, 1), (2, 2, 10**9, 300, 10**6)])
+def test_pipeline_copies_against_brute_force(spark, monkeypatch, common, few, open_pairs, block, cast):
+    """Every way of meeting: common hashes or none, turns over random members or none, one block or many, tables broadcast or not."""
     import corpus_pipeline
 
-    monkeypatch.setattr(jaccard, "COMMON_DOCS", common)
-    texts = edited_texts()
+    for name, value in (("COMMON_DOCS", common), ("FEW", few), ("OPEN_PAIRS", open_pairs), ("BLOCK_HASHES", block), ("BROADCAST_ROWS", cast)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = edited_texts() + family()
     pairs = near_pairs(texts)
     comp = reach(range(len(texts)), pairs)
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
