@@ -110,14 +110,14 @@ def push_on_change(t: Tables) -> DataFrame:
     """with e as (select event_id, event_type, user_id % 25 origin from events),
     r as (select cast(n_nationkey as bigint) receiver, n_nationkey * 997 cur from nation)
     select receiver, 'warehouse:' || event_type message, count(*) filter (event_id > cur) pending,
-      max(event_id) filter (event_id > cur) newest
+      coalesce(max(event_id) filter (event_id > cur), -1) newest
     from e, r where receiver <> origin group by 1, 2""",
 )
 def change_deliveries(t: Tables) -> DataFrame:
     """What every host still has to be told of every table, from its cursor in the one change log."""
     changes = _changes(t.events).withColumn("offset", F.col("change_id"))
     cursors = t.nation.select(F.col("n_nationkey").cast("bigint").alias("receiver"), (F.col("n_nationkey") * 997).cast("bigint").alias("cursor"))
-    return feed.pending(changes, cursors)
+    return feed.pending(changes, cursors).fillna(-1, ["newest"])
 
 
 @query("burst_stream", BURSTS)
