@@ -29,6 +29,12 @@ def test_ranges_of_a_skewed_key_are_even(spark, parts):
     assert len(got) == parts and sum(got) == 60_000 and max(got) <= 1.1 * min(got)
 
 
+def test_a_task_with_more_rows_than_it_sorts_at_a_time(spark):
+    df = spark.range(2 * ranges.CHUNK + 5, numPartitions=1)
+    got = sizes(df, ["id"], ranges.equi_depth_bounds(df, ["id"], 4))
+    assert len(got) == 4 and sum(got) == 2 * ranges.CHUNK + 5 and max(got) <= 1.1 * min(got)
+
+
 def test_one_value_cannot_be_cut(spark):
     df = spark.createDataFrame([(1,)] * 90 + [(i,) for i in range(2, 12)], "k int")
     cuts = ranges.equi_depth_bounds(df, ["k"], 4)

@@ -39,8 +39,9 @@ def compress(points: pa.Table, most: int) -> pa.Table:
     if not len(ends):
         return points
     at = np.unique(np.searchsorted(ends, ends[-1] * np.arange(1, most + 1) / most - 1e-9))
-    kept = points.take(pa.array(at))
-    return kept.set_column(kept.column_names.index(_WEIGHT), _WEIGHT, pa.array(np.diff(ends[at], prepend=0), pa.int64()))
+    kept, i = points.take(pa.array(at)), points.column_names.index(_WEIGHT)
+    # the field as it came (not null), so that the points can be put together with further batches
+    return kept.set_column(i, points.schema.field(i), pa.array(np.diff(ends[at], prepend=0), pa.int64()))
 
 
 def _summarise(most: int) -> Callable:
