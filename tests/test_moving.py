@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tidebarge.bindings import QUERIES, TABLES
 from tidebarge.operators import conform, filters, normalize
 from tidebarge.plans import movement
 from tidebarge.plans.movement import push
@@ -46,6 +47,24 @@ def test_written_files(spark, tmp_path, n):
     assert sum(r.rows for r in files) == n and len(files) == -(-n // 4) and all(r.rows <= 4 for r in files)
 
 
+@pytest.mark.parametrize("n", [0, 3, 4, 9])
+def test_batches_are_written(spark, tmp_path, n):
+    got = sinks.batch_report(spark.range(n).coalesce(1), str(tmp_path / "out"), 4).first()
+    assert tuple(got) == (n, True, True, 4, -(-n // 4), n - 4 * max(0, -(-n // 4) - 1))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == n
+
+
+def test_the_batched_query_writes_every_table(spark, tmp_path, monkeypatch):
+    for i, name in enumerate(TABLES):
+        spark.range(2001 * (i % 2) + i).write.parquet(str(tmp_path / f"{name}.parquet"))
+    made = []
+    monkeypatch.setattr(sinks, "written_files", lambda df, path, most, f=sinks.written_files: made.append(path) or f(df, path, most))
+    got = {r.table_code: r for r in QUERIES["batched_write"](spark, str(tmp_path)).collect()}
+    assert sorted(spark.read.parquet(p).count() for p in made) == sorted(2001 * (i % 2) + i for i in range(len(TABLES)))
+    assert all(r.within_cap and r.has_files for r in got.values())
+    assert got["nation"].rows == 2002 and got["nation"].statements == 2 and got["nation"].last_rows == 2 and got["region"].statements == 0
+
+
 def test_winner_of_a_tie_does_not_depend_on_partitions(spark):
     batch = spark.createDataFrame([(i % 3, 1, f"row{i}") for i in range(60)], "k int, v int, name string")
     spec = PullSpec("t", "", (FilterCondition("v", "integer", "0"),), ("k",))

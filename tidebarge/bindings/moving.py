@@ -345,22 +345,21 @@ def truncate_target(t: Tables) -> DataFrame:
 def _batched_sql(batch: int) -> str:
     columns = {n: len(c.split(", ")) for n, c in COLUMNS.items()}
     return " union all ".join(
-        f"select '{n}' table_code, count(*) \"rows\", least({batch}, 65534 // {c}) per_statement, "
+        f"select '{n}' table_code, count(*) \"rows\", true within_cap, "
+        f"(count(*) + least({batch}, 65534 // {c}) - 1) // least({batch}, 65534 // {c}) <= count(*) has_files, "
+        f"least({batch}, 65534 // {c}) per_statement, "
         f"cast(ceil(count(*) / least({batch}, 65534 // {c})) as bigint) statements, "
         f"cast(greatest(count(*) - 1, 0) % least({batch}, 65534 // {c}) + least(count(*), 1) as bigint) last_rows from {n}"
         for n, c in columns.items()
     )
 
 
-@query("batched_write", _batched_sql(10_000))
+@query("batched_write", _batched_sql(2000))
 def batched_write(t: Tables) -> DataFrame:
-    """The statements that a push in batches of 10,000 rows sends for each table: a wide table goes in smaller ones."""
-    sizes = profile.table_inventory({n: getattr(t, n) for n in TABLES})
-    fits = F.create_map(*[F.lit(x) for n in TABLES for x in (n, sinks.rows_per_statement(10_000, len(getattr(t, n).columns)))])
-    rows = sizes.select("table_code", F.col("row_count").alias("rows"), fits[F.col("table_code")].alias("per_statement"))
-    last = F.greatest(F.col("rows") - 1, F.lit(0)) % F.col("per_statement") + F.least(F.col("rows"), F.lit(1))
-    return rows.select(
-        "*", F.ceil(F.col("rows") / F.col("per_statement")).alias("statements"), last.cast("bigint").alias("last_rows")
+    """Every table written in batches of 2000 rows (a wide one in smaller ones), told from the files, and the statements of such a push."""
+    return reduce(
+        DataFrame.unionByName,
+        [sinks.batch_report(getattr(t, n), fresh_path(t.spark, f"batches-{n}"), 2000).withColumn("table_code", F.lit(n)) for n in TABLES],
     )
 
 

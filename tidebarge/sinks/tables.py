@@ -92,6 +92,25 @@ def written_files(df: DataFrame, path: str, max_rows_per_file: int) -> DataFrame
     return df.sparkSession.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def batch_report(df: DataFrame, path: str, batch: int) -> DataFrame:
+    """Write in files of at most ``batch`` rows, or as many as fit a statement, and report what the files hold, in one row.
+
+    ``rows``; ``within_cap``: no file has more; ``has_files``: there are as many files as that takes; then rows of a
+    statement, how many statements the written rows take and the rows of the last one.
+    """
+    most = rows_per_statement(batch, len(df.columns))
+    files = written_files(df, path, most)
+    told = files.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.max("rows") <= most, F.lit(True)).alias("within_cap"),
+        F.count(F.lit(1)).alias("files"), F.lit(most).alias("per_statement"),
+    )
+    told = told.withColumn("statements", F.ceil(F.col("rows") / most))
+    last = F.greatest(F.col("rows") - 1, F.lit(0)) % most + F.least(F.col("rows"), F.lit(1))
+    return told.select(
+        "rows", "within_cap", (F.col("files") >= F.col("statements")).alias("has_files"), "per_statement", "statements", last.cast("bigint").alias("last_rows")
+    )
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
