@@ -38,6 +38,19 @@ def test_components(spark, seed):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_small_graph_takes_few_tasks(spark):
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = graph.components(spark.createDataFrame([(i, i + 1) for i in range(0, 60, 2)], "a long, b long"))
+        assert got.count() == 60 and got.where("node <> component").rdd.getNumPartitions() <= 64 + graph.LEAST_SLICES
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def plain_fingerprint(text, k=4):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ")
     words = [w for w in words if w]

@@ -29,6 +29,8 @@ from .base import bounded_batches, cut_lineage, put, shielded, shuffle_width, wi
 from .graph import components
 
 BITS = 64
+#: Fingerprints a task starts from, and tasks that even few fingerprints get.
+SLICE_NODES, LEAST_SLICES = 20_000, 12
 
 
 @dataclass(frozen=True)
@@ -168,6 +170,9 @@ def link_groups(fps: DataFrame, cut: Cut) -> DataFrame:
     # small rows that grow into a key for each bit: kept in as many parts as the keys need
     nodes = fps.select(*names).where("fp is not null").distinct().repartition(width, *names)
     nodes = cut_lineage(nodes.withColumn("id", F.xxhash64(*names) if cut.words > 1 else F.col("fp")))
+    # few fingerprints need few tasks, and there are many stages
+    slices = max(LEAST_SLICES, -(-nodes.count() // SLICE_NODES))
+    nodes = nodes.coalesce(slices)
 
     def spelled(rows: DataFrame, of: str, prefix: str) -> DataFrame:
         """``rows`` with the words of the fingerprint whose id is in column ``of``."""
@@ -186,13 +191,13 @@ def link_groups(fps: DataFrame, cut: Cut) -> DataFrame:
     bits = [x for n, e, o in zip(names, every, some) for x in (F.bit_and(n).alias(e), F.bit_or(n).alias(o))]
     values = rows.groupBy("v").agg(F.min("id").alias("p"), F.max("id").alias("q"), F.count(F.lit(1)).alias("n"), *bits)
     values = cut_lineage(values.repartition(width, "v"))
-    keys = values.select("p", "n", *every, *some, F.explode(variant_keys(F.col("v"), cut)).alias("key"))
+    keys = values.coalesce(slices).select("p", "n", *every, *some, F.explode(variant_keys(F.col("v"), cut)).alias("key"))
     # any two fingerprints of twins differ where one side has a bit throughout and the other nowhere
     bits = [x for e, o in zip(every, some) for x in (F.bit_or(e).alias(e), F.bit_and(o).alias(o))]
     apart = sum((F.bit_count(F.col(e).bitwiseAND(F.bitwise_not(F.col(o)))) for e, o in zip(every, some)), F.lit(0))
     found = cut_lineage(
         keys.groupBy("key").agg(F.count(F.lit(1)).alias("twins"), F.sum("n").alias("n"), F.min("p").alias("p"), F.max("p").alias("q"), *bits)
-        .where("twins = 2").where(apart <= cut.bits).select("key", "n", "p", "q")
+        .where("twins = 2").where(apart <= cut.bits).select("key", "n", "p", "q").coalesce(slices)
     )
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 56) as int))")
     without_bit = F.col("key").bitwiseAND(F.lit((1 << 56) - 1))
@@ -206,17 +211,18 @@ def link_groups(fps: DataFrame, cut: Cut) -> DataFrame:
     heads = found.where("p <> q").select("p", "q")
     pairs = spelled(spelled(couples.unionByName(star).unionByName(heads).distinct(), "p", "x"), "q", "y")
     first = components(pairs.where(near).select(F.col("p").alias("a"), F.col("q").alias("b")))
-    grouped = cut_lineage(renamed(nodes.withColumn("c", F.col("id")), first))
+    grouped = cut_lineage(renamed(nodes.withColumn("c", F.col("id")), first).coalesce(slices))
 
     # what is left: fingerprints outside the largest group of their value are met by all that are alike
     rows = grouped.select("c", *names, F.explode(segment_values(col("fp"), cut)).alias("v"))
     main = cut_lineage(
         rows.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.min("c").alias("low"), F.max("c").alias("high"), F.sum("n").alias("n"))
+        .coalesce(slices)
     )
     # values and twins of a single group have nothing to tell
     open_twins = twins.join(main, "v").join(main.toDF("w", "main_w", "low_w", "high_w", "n_w"), "w").where("least(low, low_w) < greatest(high, high_w)")
-    open_twins = cut_lineage(open_twins.select("v", "w", (F.col("main") == F.col("main_w")).alias("alike")))
+    open_twins = cut_lineage(open_twins.select("v", "w", (F.col("main") == F.col("main_w")).alias("alike")).coalesce(slices))
     of_value = main.select("v", "main", F.expr("low < high and n > 2").alias("mixed"))  # two have been compared
     ends = open_twins.select("v").unionByName(open_twins.select(F.col("w").alias("v"))).distinct().withColumn("twin", F.lit(True))
     members = rows.join(of_value.join(ends, "v", "left").where("mixed or twin"), "v")
@@ -242,8 +248,8 @@ def link_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     names = _names(cut.words)
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = cut_lineage(fingerprints(rows, "text", "fp", shingle, seed, cut.words).select("doc_id", *names))
-    groups = cut_lineage(link_groups(marked, cut))
-    low = marked.groupBy(*names).agg(F.min("doc_id").alias("low")).join(groups, names)
+    groups = link_groups(marked, cut)
+    low = cut_lineage(marked.groupBy(*names).agg(F.min("doc_id").alias("low")).join(groups, names))
     ids = low.groupBy("group").agg(F.min("low").alias("component_id"))
     return marked.join(low.select(*names, "group").join(ids, "group").select(*names, "component_id"), names, "left")
 
