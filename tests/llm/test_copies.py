@@ -142,20 +142,33 @@ def family(n=60):
 
 
 @pytest.mark.parametrize("common, few, open_pairs, block, cast", [(2, 64, 8, 1 << 19, 10**6), (10**6, 2, 0, 900, 1), (2, 2, 0, 1 << 19, 1), (2, 2, 10**9, 300, 10**6)])
-def test_pipeline_copies_against_brute_force(spark, monkeypatch, common, few, open_pairs, block, cast):
+def test_jaccard_copies_against_brute_force(spark, monkeypatch, common, few, open_pairs, block, cast):
     """Every way of meeting: common hashes or none, turns over random members or none, one block or many, tables broadcast or not."""
-    import corpus_pipeline
-
     for name, value in (("COMMON_DOCS", common), ("FEW", few), ("OPEN_PAIRS", open_pairs), ("BLOCK_HASHES", block), ("BROADCAST_ROWS", cast)):
         monkeypatch.setattr(jaccard, name, value)
     texts = edited_texts() + family()
     pairs = near_pairs(texts)
     comp = reach(range(len(texts)), pairs)
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").collect()}
+    kept = {r.doc_id for r in jaccard.keep_one(df, shingle=5, least=0.8).collect()}
     assert len(pairs) > 50 and kept == {i for i in comp if comp[i] == i}
 
 
+def test_pipeline_copies_are_those_of_simhash(spark, docs):
+    """The stage keeps one text of each component of fingerprints within four bits, and no row for its id alone."""
+    import corpus_pipeline
+
+    texts = edited_texts() + family()
+    fps = [plain_fingerprint(t, 5) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if (fps[a] ^ fps[b]).bit_count() <= 4]
+    comp = reach(range(len(texts)), links)
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").collect()}
+    assert len(links) > 5 and kept == {i for i in comp if comp[i] == i}
+    rows = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, [1, 3, 4, 6, 7, 7, 9, None]))
+
+
 def test_rows_with_one_id_and_different_texts_stay(spark, docs, no_docs):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns

@@ -19,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .base import bounded_batches, cut_lineage, free_name, shuffle_width
+from .base import bounded_batches, cut_lineage, shuffle_width
 from .graph import components
 from .simhash import shingle_hashes
+from .survivors import BROADCAST_ROWS, first_of_groups, small
 
 #: Documents that common hashes are looked for in, how many of them must hold one, and most common hashes (8 MB).
 SAMPLE, COMMON_DOCS, MOST_COMMON = 5_000, 3, 1_000_000
@@ -35,8 +35,6 @@ BLOCK_HASHES = 1 << 19
 FEW = 64
 #: Turns of comparing with a member chosen at random, taken while pairs outside groups are so many times the postings.
 MOST_TURNS, OPEN_PAIRS = 8, 8
-#: Rows of eight or sixteen bytes up to which a table is broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def shingle_set(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
@@ -69,7 +67,7 @@ def _sets(shingle: int, seed: int, least: float = 0.0, common: Broadcast | None
 
 def _small(rows: DataFrame) -> DataFrame:
     """``rows``, to be broadcast if they are few."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return small(rows, BROADCAST_ROWS)
 
 
 def _common(df: DataFrame, text: str, shingle: int, seed: int) -> Broadcast:
@@ -262,19 +260,5 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     one stays. Work names give way to the input's columns. Survivors are chosen on hashes; whole rows are only
     filtered by them.
     """
-    tx, rh, c = (free_name(df, n) for n in ("tx", "rh", "c"))
-    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    marked = df.withColumns({tx: F.xxhash64(F.col(f"`{text}`")), rh: F.xxhash64(*hashable)})
-    groups = linked_texts(df, text, shingle, least, seed).toDF("node", "group")
-    rows = marked.groupBy(F.col(f"`{doc_id}`").alias("id"), F.col(tx).alias("tx"), F.col(rh).alias("rh")).agg(F.count(F.lit(1)).alias("copies"))
-    rows = rows.join(groups, F.col("tx") == F.col("node"))
-    best = F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "tx", "rh", "copies"))
-    stay = cut_lineage(rows.groupBy("group").agg(best.alias("best")).select("best.tx", "best.rh", "best.copies"))
-    chosen = marked.join(_small(stay.select(F.col("tx").alias(tx), F.col("rh").alias(rh), F.col("copies").alias(c))), [tx, rh])
-    names = [F.col(f"`{n}`") for n in df.columns]
-    single = chosen.where(F.col(c) == 1).select(*names)
-    if stay.where("copies > 1").isEmpty():
-        return single
-    rank = Window.partitionBy(tx, rh).orderBy(F.col(tx))
-    one = chosen.where(F.col(c) > 1).withColumn(c, F.row_number().over(rank)).where(F.col(c) == 1)
-    return single.unionByName(one.select(*names))
+    groups = linked_texts(df, text, shingle, least, seed)
+    return first_of_groups(df, groups, doc_id, text, BROADCAST_ROWS)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .base import bounded_batches, cut_lineage, put, shielded, shuffle_width, without
 from .graph import components
+from .survivors import first_of_groups
 
 BITS = 64
 #: Fingerprints a task starts from, and tasks that even few fingerprints get.
@@ -278,3 +279,16 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     first = Window.partitionBy("__group").orderBy(F.col(text).asc_nulls_last())
     rest = idless.join(groups, marks).withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
     return named.unionByName(without(rest, *marks, "__group", "__rank"))
+
+
+def keep_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, cut: Cut | None = None, seed: int = 42) -> DataFrame:
+    """The rows of ``df`` without near copies: of each component the row with the smallest id stays, then by the text's hash.
+
+    Unlike :func:`keep_one`, rows that share an id are told apart by their contents, see :func:`survivors.first_of_groups`.
+    """
+    cut = cut or exact_cut()
+    names = _names(cut.words)
+    texts = fingerprints(df.select(F.col(f"`{text}`").alias("text")), "text", "fp", shingle, seed, cut.words)
+    texts = cut_lineage(texts.select(F.xxhash64("text").alias("tx"), *names))
+    groups = texts.distinct().join(link_groups(texts, cut), names).select("tx", "group")
+    return first_of_groups(df, groups, doc_id, text)
